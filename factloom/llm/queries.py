@@ -1,6 +1,12 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
-from factloom.llm import ngram_join
+from factloom.llm import mixing, ngram_join, packing, records, tokens
 
-QUERIES = {"op2_ngram_jaccard_join": ngram_join.query}
-SQL = {"op2_ngram_jaccard_join": ngram_join.SQL}
+QUERIES = {
+    "op2_ngram_jaccard_join": ngram_join.query,
+    "op5_cost_balanced_packing": packing.query,
+    "op6_binary_records": records.query,
+    "op9_token_counts": tokens.query,
+    "op10_mixing": mixing.query,
+}
+SQL = {"op2_ngram_jaccard_join": ngram_join.SQL, "op10_mixing": mixing.SQL}
