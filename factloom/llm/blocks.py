@@ -77,15 +77,20 @@ def spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD) -> tup
     return starts, stops, np.searchsorted(offsets, starts, "right") - 1
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int = 0) -> np.ndarray:
+def hash_sums(raw: np.ndarray) -> np.ndarray:
+    """Prefix sums from which span_hashes reads any span's hash."""
+    sums = np.empty(len(raw) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(BYTE_VALUE[raw] * powers(len(raw) + 1)[0][: len(raw)], out=sums[1:])
+    return sums
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of each span's bytes, equal for equal bytes anywhere."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = powers(len(raw) + 1)
-    sums = np.empty(len(raw) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(BYTE_VALUE[raw] * up[: len(raw)], out=sums[1:])
-    return mix((sums[stops] - sums[starts]) * down[starts] + U64(seed) + (stops - starts).astype(np.uint64))
+    sums = hash_sums(raw) if sums is None else sums
+    return mix((sums[stops] - sums[starts]) * powers(len(raw) + 1)[1][starts] + (stops - starts).astype(np.uint64))
 
 
 def hash_words(words: list[str]) -> np.ndarray:

@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
-from factloom.llm import mixing, ngram_join, packing, records, tokens
+from factloom.llm import mixing, ngram_join, packing, records, tokens, toxicity
 
 QUERIES = {
     "op2_ngram_jaccard_join": ngram_join.query,
     "op5_cost_balanced_packing": packing.query,
     "op6_binary_records": records.query,
+    "op7_noisy_channel_toxicity": toxicity.query,
     "op9_token_counts": tokens.query,
     "op10_mixing": mixing.query,
 }
