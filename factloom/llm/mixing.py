@@ -16,7 +16,7 @@ columns are kept by :func:`mix_documents` and ignored by :func:`mix`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.packing import word_count
@@ -68,9 +68,11 @@ def mix(counts: DataFrame, weights: dict[str | None, float] | None = None, total
     return whole.unionByName(cut)
 
 
-def first_words(text: str, n: str):
+def first_words(text: str, n: str) -> Column:
     """The first ``n`` words of a text and what stands before them."""
-    return F.expr(f"regexp_extract({text}, concat('^(?:[ \\\\t\\\\n\\\\r\\\\f\\\\x0b]*[^ \\\\t\\\\n\\\\r\\\\f\\\\x0b]+){{', {n}, '}}'), 0)")
+    white = r"[ \t\n\r\f\x0b]"
+    words = F.regexp_extract_all(text, F.lit(rf"{white}*[^{white[1:]}+"), F.lit(0))
+    return F.array_join(F.slice(words, 1, F.col(n).cast("int")), "")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
