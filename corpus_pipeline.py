@@ -4,16 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm.ngram_join import keep_one
+from factloom.llm import mixing, ngram_join, packing, pii, toxicity
 from factloom.session import stage_table
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go; lexicon and language model come from this stage's own input."""
+    return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("ngram_jaccard_join", deduplicate)]
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of smallest id stays."""
+    return ngram_join.keep_one(docs)
 
+
+def redact_identifiers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal identifiers become their kind in brackets; no document goes."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source's documents up to its exact token budget, repeated where the budget asks for it."""
+    return mixing.mix_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: shard, sequence and position."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_jaccard_join", keep_one_of_group),
+    ("pii", redact_identifiers),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: the toxicity, PII and packing stages are iterative or sequential, which SQL doesn't express
 ORACLE_SQL = None
 
 
