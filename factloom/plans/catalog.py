@@ -1,12 +1,453 @@
-"""Every query of the library by name, with its SQL."""
+"""Every query of the library by name, with its SQL where SQL can express it. All run over whole tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from factloom import schema
+from factloom.functions import text as T
+from factloom.operators import chain, extract, graph, similarity, vectors
+from factloom.operators import facts as O
+from factloom.plans.views import BLOCK_SQL, CLAIMS_SQL, EDGES_SQL, FACTS_SQL, RANK_SQL, claims, facts, table
+from factloom.sources import ingest
+from factloom.streaming import events
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+NORM = "trim(regexp_replace(lower(coalesce({}, '')), '\\s+', ' ', 'g'))"
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def over_facts(name: str, sql: str | None = None, edges: bool = False):
+    """A query of the fact view (and of its links)."""
+    text = None if sql is None else f"WITH {FACTS_SQL.strip()}{EDGES_SQL if edges else ''} {sql}"
+
+    def keep(f: Callable[[DataFrame], DataFrame]):
+        @query(name, text)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            rows = facts(spark, sf_dir)
+            return f(rows, graph.link(rows)) if edges else f(rows)
+
+        return f
+
+    return keep
+
+
+# --- filters, projections, summaries -------------------------------------------------------------------------------
+
+over_facts("quality_score", "SELECT fact_id, quality_score FROM facts")(lambda f: f.select("fact_id", "quality_score"))
+over_facts("reliability_filter", f"SELECT fact_id, reliability_rating FROM facts WHERE {RANK_SQL.format('reliability_rating')} >= 3")(lambda f: O.at_least(f, "LIKELY_TRUE").select("fact_id", "reliability_rating"))
+over_facts("attribute_filter", "SELECT fact_id FROM facts WHERE category = 'Market' AND source = 'src2'")(lambda f: O.matching(f, category="Market", source="src2").select("fact_id"))
+over_facts("catalog_query", "SELECT fact_id, quality_score FROM facts WHERE category = 'Market' AND quality_score >= 30 ORDER BY quality_score DESC, fact_id LIMIT 100")(
+    lambda f: O.catalog_query(f, min_quality=30, limit=100, category="Market").select("fact_id", "quality_score")
+)
+over_facts("select_top", "SELECT fact_id, (row_number() OVER (ORDER BY quality_score DESC, fact_id))::INTEGER AS rank FROM facts QUALIFY rank <= 50")(lambda f: O.select_top(f, 50).select("fact_id", "rank"))
+over_facts("reliability_summary", "SELECT t.reliability_rating, count(f.fact_id) AS n FROM (VALUES ('UNVERIFIED'), ('POSSIBLY_TRUE'), ('LIKELY_TRUE'), ('VERIFIED')) t(reliability_rating) LEFT JOIN facts f USING (reliability_rating) GROUP BY 1")(O.reliability_summary)
+over_facts("category_summary", "SELECT category, count(*) AS n FROM facts GROUP BY 1")(O.category_summary)
+_TIERS = ", ".join(f"count(*) FILTER (reliability_rating = '{t}') AS {t.lower()}" for t in schema.TIERS)
+over_facts("catalog_stats", f"SELECT count(*) AS total_facts, count(DISTINCT drop_id) AS total_drops, count(DISTINCT source) AS sources, {_TIERS} FROM facts")(O.catalog_stats)
+over_facts(
+    "store_stats",
+    "SELECT count(*) AS drops, sum(n)::BIGINT AS facts, string_agg(source, ',' ORDER BY source) AS sources FROM (SELECT source, count(*) AS n FROM facts GROUP BY 1)",
+)(lambda f: O.store_stats(O.drop_tables(f)))
+over_facts(
+    "drop_tables",
+    "SELECT substr(sha256(body), 1, 16) AS drop_id, source, sha256(body) AS source_hash, n AS num_facts FROM (SELECT source, count(*) AS n, string_agg(fact_statement, chr(10) ORDER BY fact_statement) AS body FROM facts GROUP BY 1)",
+)(O.drop_tables)
+over_facts(
+    "audit_summary",
+    f"""SELECT count(DISTINCT drop_id) AS drops, count(*) AS facts, count(*) FILTER (trim(subject) = '' OR trim(predicate) = '' OR trim(object) = '' OR trim(fact_statement) = '') AS missing,
+    count(*) - count(DISTINCT lower(trim(subject)) || chr(0) || lower(trim(predicate)) || chr(0) || lower(trim(object))) AS duplicates, {_TIERS} FROM facts""",
+)(O.audit)
+over_facts(
+    "quality_filter",
+    """SELECT fact_id, length(subject) >= 2 AND object <> '' AND regexp_matches(subject, '^\\p{Lu}') AND NOT regexp_matches(subject, '^[A-Z][a-z]+ing$') AND length(object) <= 80 AS acceptable,
+    CASE WHEN length(subject) >= 2 AND object <> '' AND regexp_matches(subject, '^\\p{Lu}') AND NOT regexp_matches(subject, '^[A-Z][a-z]+ing$') AND length(object) <= 80 THEN round(0.5 + 0.2 * (1 - length(object) / 80.0), 6)
+    ELSE 0.2 END::DOUBLE AS score FROM facts""",
+)(lambda f: f.select("fact_id", T.is_acceptable().alias("acceptable"), F.round(T.quality(), 6).alias("score")))
+over_facts(
+    "heuristic_critique",
+    """SELECT fact_id, CASE WHEN lower(subject) IN ('he','it','she','that','them','these','they','this','those') OR lower(object) IN ('he','it','she','that','them','these','they','this','those') THEN false
+    WHEN length(fact_statement) < 5 THEN false WHEN lower(subject) = lower(predicate) OR lower(predicate) = lower(object) THEN false ELSE true END AS is_factual,
+    CASE WHEN length(fact_statement) < 5 THEN 0.9 WHEN lower(subject) = lower(predicate) OR lower(predicate) = lower(object) THEN 0.85 ELSE 0.7 END::DOUBLE AS confidence_score FROM facts""",
+)(lambda f: f.withColumn("c", T.critique()).select("fact_id", "c.is_factual", "c.confidence_score"))
+over_facts(
+    "critic_demotion", "SELECT fact_id, CASE WHEN length(object) <= 4 THEN 'UNVERIFIED' ELSE reliability_rating END AS reliability_rating, CASE WHEN length(object) <= 4 THEN 0 ELSE quality_score END::DOUBLE AS quality_score FROM facts"
+)(lambda f: O.demote(f, F.length("object") <= 4).select("fact_id", "reliability_rating", "quality_score"))
+
+
+def _qa(f: DataFrame) -> DataFrame:
+    return f.withColumns({"question": T.question("subject", "predicate"), "answer": F.col("object")})
+
+
+_Q_SQL = "CASE predicate WHEN 'located_in' THEN 'Where is ' || subject || ' located?' ELSE 'What does ' || subject || ' ' || replace(predicate, '_', ' ') || '?' END"
+over_facts("qa_pairs", f"SELECT fact_id, {_Q_SQL} AS question, object AS answer FROM facts")(lambda f: _qa(f).select("fact_id", "question", "answer"))
+_J = lambda x: f"to_json({x})::VARCHAR"
+over_facts("compile_chat", f"""SELECT fact_id, '{{"messages":[{{"role":"user","content":' || {_J(_Q_SQL)} || '}},{{"role":"assistant","content":' || {_J('object')} || '}}]}}' AS record FROM facts""")(
+    lambda f: _qa(f).select("fact_id", extract.record("chat").alias("record"))
+)
+over_facts("compile_instruction", f"""SELECT fact_id, '{{"instruction":' || {_J(_Q_SQL)} || ',"input":"","output":' || {_J('object')} || '}}' AS record FROM facts""")(
+    lambda f: _qa(f).select("fact_id", extract.record("instruction").alias("record"))
+)
+_ABOUT = "'State a verified fact about ' || subject || '.'"
+over_facts("compile_alpaca", f"""SELECT fact_id, '{{"instruction":' || {_J(_ABOUT)} || ',"input":"","output":' || {_J('fact_statement')} || '}}' AS record FROM facts""")(
+    lambda f: _qa(f).select("fact_id", extract.record("alpaca").alias("record"))
+)
+over_facts("compile_sharegpt", f"""SELECT fact_id, '{{"conversations":[{{"from":"human","value":' || {_J(_ABOUT)} || '}},{{"from":"gpt","value":' || {_J('fact_statement')} || '}}]}}' AS record FROM facts""")(
+    lambda f: _qa(f).select("fact_id", extract.record("sharegpt").alias("record"))
+)
+over_facts("compile_text", "SELECT fact_id, '- ' || fact_statement AS record FROM facts")(lambda f: _qa(f).select("fact_id", extract.record("text").alias("record")))
+over_facts("block_id", f"SELECT fact_id, {BLOCK_SQL} AS block_id FROM facts")(lambda f: f.select("fact_id", T.block_id("subject", "predicate", "object").alias("block_id")))
+over_facts("predicate_family", "SELECT fact_id, split_part(lower(predicate), '_', 1) AS family, CASE WHEN regexp_matches(object, '^\\p{Lu}') THEN 'ENTITY' ELSE 'CONCEPT' END AS object_type, greatest(1, length(fact_statement) // 4) AS tokens FROM facts")(
+    lambda f: f.select("fact_id", T.predicate_family("predicate").alias("family"), T.coarse_type("object").alias("object_type"), T.token_estimate("fact_statement").alias("tokens"))
+)
+over_facts("unseen_facts", f"SELECT min(fact_id) AS fact_id, {NORM.format('fact_statement')} AS fingerprint FROM facts WHERE {NORM.format('fact_statement')} NOT IN (SELECT {NORM.format('fact_statement')} FROM facts WHERE source = 'src0') GROUP BY 2")(
+    lambda f: O.unseen(f, f.where("source = 'src0'").select(T.norm("fact_statement").alias("fingerprint")).distinct()).select("fact_id", "fingerprint")
+)
+over_facts("drops_used", "SELECT category, string_agg(DISTINCT drop_id, ',' ORDER BY drop_id) AS drops FROM facts WHERE quality_score >= 30 GROUP BY 1")(
+    lambda f: O.catalog_query(f, min_quality=30).groupBy("category").agg(F.array_join(F.array_sort(F.collect_set("drop_id")), ",").alias("drops"))
+)
+_SEARCH = " + ".join(f"contains(lower({c}), '{w}')::INTEGER" for c in ("subject", "object", "fact_statement") for w in ("nation", "located")) + " + " + " + ".join(f"2 * contains(lower({c}), 'nation located')::INTEGER" for c in ("subject", "object", "fact_statement"))
+over_facts("search_facts", f"SELECT fact_id, ({_SEARCH})::INTEGER AS score FROM facts WHERE {_SEARCH} > 0")(lambda f: O.search(f, "nation located", ["subject", "object", "fact_statement"]).select("fact_id", "score"))
+
+
+# --- lifecycle and corroboration -----------------------------------------------------------------------------------
+
+_PROMOTE = f"SELECT {NORM.format('object')} AS key, count(DISTINCT source) AS sources, max({RANK_SQL.format('reliability_rating')}) AS r FROM facts GROUP BY 1"
+
+
+@over_facts(
+    "promote_reliability",
+    f"""SELECT key AS statement, sources, CASE r WHEN 3 THEN 'LIKELY_TRUE' WHEN 2 THEN 'POSSIBLY_TRUE' ELSE 'UNVERIFIED' END AS current, CASE r WHEN 3 THEN 'VERIFIED' WHEN 2 THEN 'LIKELY_TRUE' ELSE 'POSSIBLY_TRUE' END AS proposed
+    FROM (SELECT {NORM.format("predicate || ' ' || object")} AS key, count(DISTINCT source) AS sources, max({RANK_SQL.format('reliability_rating')}) AS r FROM facts WHERE reliability_rating <> 'VERIFIED' GROUP BY 1) WHERE sources >= 2 AND r < 4""",
+)
+def _promote(f: DataFrame) -> DataFrame:
+    # what is said of an object, whoever it is said of
+    said = f.where("reliability_rating <> 'VERIFIED'").withColumn("fact_statement", T.norm(F.concat_ws(" ", "predicate", "object")))
+    return O.promote(said)
+
+
+@query(
+    "lifecycle_contradictions",
+    """WITH s AS (SELECT 'part ' || l_partkey AS subject, 'supplied_by' AS predicate, 'supplier ' || l_suppkey AS object, string_agg(DISTINCT 'src' || (l_linenumber % 5), ',' ORDER BY 'src' || (l_linenumber % 5)) AS sources FROM lineitem GROUP BY 1, 2, 3)
+    SELECT subject, predicate, count(*)::INTEGER AS n_objects, string_agg(object || '<-' || sources, '; ' ORDER BY object) AS objects FROM s GROUP BY 1, 2 HAVING count(*) > 1""",
+)
+def _lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.contradictions(claims(spark, sf_dir).withColumn("source", F.replace("model", F.lit("m"), F.lit("src"))))
+
+
+@query(
+    "agreement_reliability",
+    f"""WITH {CLAIMS_SQL}, a AS (SELECT subject, predicate, object, count(DISTINCT model) AS agreement, string_agg(DISTINCT model, ',' ORDER BY model) AS source_models FROM claims GROUP BY 1, 2, 3)
+    SELECT subject, predicate, object, agreement, source_models, CASE WHEN agreement >= 3 THEN 'VERIFIED' WHEN agreement = 2 THEN 'LIKELY_TRUE' ELSE 'POSSIBLY_TRUE' END AS reliability_rating,
+    CASE WHEN w >= 3 THEN 'VERIFIED' WHEN w >= 1.5 THEN 'LIKELY_TRUE' ELSE 'POSSIBLY_TRUE' END AS weighted_rating FROM (SELECT *, agreement * 1.0 AS w FROM a)""",
+)
+def _agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.agree_exact(claims(spark, sf_dir))
+
+
+_WEIGHTED = [("gpt-4", 3.0), ("qwen2.5-0.5b", 0.5), ("llama3-8b", 1.5), ("other", 1.0), ("gemini-1.5-flash", 2.0)]
+
+
+@query(
+    "weighted_reliability",
+    f"""WITH {CLAIMS_SQL}, m AS (SELECT DISTINCT subject, CASE model {" ".join(f"WHEN 'm{i}' THEN {w}" for i, (_, w) in enumerate(_WEIGHTED))} END AS w, model FROM claims)
+    SELECT subject, round(sum(w), 3)::DOUBLE AS weight, CASE WHEN sum(w) >= 3 THEN 'VERIFIED' WHEN sum(w) >= 1.5 THEN 'LIKELY_TRUE' WHEN sum(w) >= 0.5 THEN 'POSSIBLY_TRUE' ELSE 'UNVERIFIED' END AS reliability_rating FROM m GROUP BY 1""",
+)
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.element_at(F.array(*[F.lit(n) for n, _ in _WEIGHTED]), F.substring("model", 2, 3).cast("int") + 1)
+    per = claims(spark, sf_dir).select("subject", names.alias("model")).distinct().groupBy("subject").agg(F.sum(T.model_weight("model")).alias("w"))
+    return per.select("subject", F.round("w", 3).alias("weight"), T.weighted_tier(F.col("w")).alias("reliability_rating"))
+
+
+for _name, _rule in (("higher_reliability", f"CASE WHEN b.fact_id IS NULL OR {RANK_SQL.format('a.reliability_rating')} >= {RANK_SQL.format('b.reliability_rating')} THEN 1 ELSE 2 END"), ("keep_first", "1"), ("keep_second", "2")):
+
+    @over_facts(
+        f"merge_{_name}",
+        f""", a AS (SELECT * FROM facts WHERE category <> 'Market'), b AS (SELECT fact_id, CASE reliability_rating WHEN 'VERIFIED' THEN 'POSSIBLY_TRUE' ELSE 'LIKELY_TRUE' END AS reliability_rating, 'second' AS source FROM facts WHERE category <> 'Supply')
+        SELECT coalesce(a.fact_id, b.fact_id) AS fact_id, CASE WHEN a.fact_id IS NULL THEN b.reliability_rating WHEN b.fact_id IS NULL THEN a.reliability_rating WHEN {_rule} = 1 THEN a.reliability_rating ELSE b.reliability_rating END AS reliability_rating,
+        CASE WHEN a.fact_id IS NULL THEN b.source WHEN b.fact_id IS NULL THEN a.source WHEN {_rule} = 1 THEN a.source ELSE b.source END AS source FROM a FULL JOIN b ON a.fact_id = b.fact_id""",
+    )
+    def _merge(f: DataFrame, how: str = _name) -> DataFrame:
+        second = f.where("category <> 'Supply'").withColumns({"reliability_rating": F.when(F.col("reliability_rating") == "VERIFIED", "POSSIBLY_TRUE").otherwise("LIKELY_TRUE"), "source": F.lit("second")})
+        return O.merge(f.where("category <> 'Market'"), second, how).select("fact_id", "reliability_rating", "source")
+
+
+_WORDS = "list_distinct(list_filter(string_split(" + NORM + ", ' '), lambda x: x <> ''))"
+
+
+@query(
+    "jaccard_pairs",
+    f"""WITH t AS (SELECT p_partkey AS id, {_WORDS.format("p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_size")} AS w FROM part), e AS (SELECT id, len(w) AS n, unnest(w) AS k FROM t)
+    SELECT x.id AS a, y.id AS b, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS similarity FROM e x JOIN e y ON x.k = y.k AND x.id < y.id GROUP BY 1, 2 HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.8""",
+)
+def _jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_size").alias("text"))
+    return similarity.jaccard_pairs(rows, 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("near_dup_dedup")
+def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("fact_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_size").alias("fact_statement"), F.col("p_retailprice").alias("quality_score"))
+    return similarity.deduplicate(rows).select("fact_id")
+
+
+@query("cluster_leaders")
+def _cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("subject"), F.lit("makes").alias("predicate"), F.concat_ws(" ", "p_name", "p_type", "p_size").alias("object"), F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_size").alias("fact_statement"))
+    return similarity.cluster(rows)
+
+
+@over_facts("entity_resolution")
+def _entities(f: DataFrame) -> DataFrame:
+    return similarity.resolve_entities(f.where("category <> 'Market'"))[1].select("block_id", "subject", "predicate", "object")
+
+
+@query("tf_similarity")
+def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("x"), F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("y"))
+    return rows.select("p_partkey", F.round(similarity.tf_similarity("x", "y"), 6).alias("similarity"))
+
+
+# --- graph ---------------------------------------------------------------------------------------------------------
+
+over_facts("find_by_subject", "SELECT fact_id FROM facts WHERE contains(lower(subject), 'nation')")(lambda f: graph.find_by_subject(f, "Nation").select("fact_id"))
+over_facts("find_by_reliability", "SELECT block_id, quality_score FROM facts WHERE reliability_rating = 'VERIFIED' ORDER BY quality_score DESC, block_id LIMIT 100")(lambda f: graph.find_by_reliability(f, "VERIFIED").select("block_id", "quality_score"))
+over_facts("auto_link", "SELECT src, dst, predicate, weight FROM edges", edges=True)(lambda f, e: e)
+_NEG = "list_has_any(string_split(lower({}), ' '), ['not', 'never', 'no', 'cannot', 'fails'])"
+_PAIRS = "facts a JOIN facts b ON lower(a.subject) = lower(b.subject) AND lower(a.object) = lower(b.object) AND a.block_id < b.block_id"
+over_facts("graph_contradictions", f"SELECT a.block_id AS a, b.block_id AS b FROM {_PAIRS} WHERE {_NEG.format('a.predicate')} <> {_NEG.format('b.predicate')}")(
+    lambda f: graph.contradictions(f).select(F.col("a_block_id").alias("a"), F.col("b_block_id").alias("b"))
+)
+over_facts(
+    "transitive_inferences",
+    """SELECT t.* FROM (SELECT a.subject, a.predicate, b.object, a.fact_statement AS step1, b.fact_statement AS step2 FROM edges e JOIN facts a ON e.src = a.block_id JOIN facts b ON e.dst = b.block_id WHERE a.predicate = b.predicate
+    QUALIFY row_number() OVER (PARTITION BY lower(a.subject), lower(a.predicate), lower(b.object) ORDER BY e.src, e.dst) = 1) t""",
+    edges=True,
+)(graph.transitive)
+over_facts("conflict_pairs", "SELECT subject, object, count(DISTINCT predicate) AS predicates FROM facts GROUP BY 1, 2 HAVING count(DISTINCT predicate) > 1")(graph.conflict_pairs)
+over_facts(
+    "reconcile_demote",
+    f""", c AS (SELECT a.block_id AS ai, b.block_id AS bi, a.quality_score AS aq, b.quality_score AS bq FROM {_PAIRS} WHERE {_NEG.format('a.predicate')} <> {_NEG.format('b.predicate')} AND a.reliability_rating <> 'UNVERIFIED' AND b.reliability_rating <> 'UNVERIFIED'),
+    d AS (SELECT ai AS block_id FROM c WHERE aq <= bq UNION SELECT bi FROM c WHERE bq <= aq)
+    SELECT block_id, CASE WHEN d.block_id IS NOT NULL THEN 'UNVERIFIED' ELSE reliability_rating END AS reliability_rating, d.block_id IS NOT NULL AS demoted FROM facts LEFT JOIN d USING (block_id)""",
+)(lambda f: graph.reconcile(f).select("block_id", "reliability_rating", "demoted"))
+over_facts(
+    "chain_instructions",
+    """SELECT src, dst, t.k::INTEGER AS template, CASE t.k WHEN 0 THEN 'Trace the relationship connection starting from ' || a.subject || ' to ' || b.object || '.' WHEN 1 THEN 'Explain the sequence of connections linking ' || a.subject || ' to ' || b.object || '.'
+    ELSE 'If ' || a.fact_statement || ' and we know that ' || b.subject || ' connects to ' || b.object || ', what is the second step in the path?' END AS instruction,
+    CASE t.k WHEN 0 THEN 'According to the knowledge graph, ' || a.subject || ' connects to ' || b.object || ' through the intermediate concept ' || a.object || '. Specifically, we know that: ' || chr(10) || '- ' || a.fact_statement || ' (Reliability: ' || a.reliability_rating || ')' || chr(10) || '- ' || b.fact_statement || ' (Reliability: ' || b.reliability_rating || ')'
+    WHEN 1 THEN 'The logical path connecting ' || a.subject || ' to ' || b.object || ' is:' || chr(10) || '1. ' || a.fact_statement || chr(10) || '2. ' || b.fact_statement ELSE 'The second step in the path is: ' || b.fact_statement END AS response
+    FROM edges e JOIN facts a ON e.src = a.block_id JOIN facts b ON e.dst = b.block_id, (VALUES (0), (1), (2)) t(k) WHERE a.reliability_rating <> 'UNVERIFIED' AND b.reliability_rating <> 'UNVERIFIED'""",
+    edges=True,
+)(graph.chain_instructions)
+over_facts(
+    "contradiction_instructions",
+    f"""SELECT a.block_id AS a, b.block_id AS b, 'Evaluate the following two conflicting claims and determine which is more reliable:' || chr(10) || '1. ' || a.fact_statement || chr(10) || '2. ' || b.fact_statement AS instruction,
+    CASE WHEN ra > rb THEN 'Claim 1 (''' || a.fact_statement || ''') is more reliable. It is rated ' || a.reliability_rating || ' (Agreement count: ' || a.agreement || '), whereas Claim 2 (''' || b.fact_statement || ''') is rated ' || b.reliability_rating || ' (Agreement count: ' || b.agreement || ').'
+    WHEN rb > ra THEN 'Claim 2 (''' || b.fact_statement || ''') is more reliable. It is rated ' || b.reliability_rating || ' (Agreement count: ' || b.agreement || '), whereas Claim 1 (''' || a.fact_statement || ''') is rated ' || a.reliability_rating || ' (Agreement count: ' || a.agreement || ').'
+    WHEN a.agreement > b.agreement THEN 'Claim 1 (''' || a.fact_statement || ''') is more reliable. It has higher model agreement count (' || a.agreement || ') compared to Claim 2 (' || b.agreement || ').'
+    WHEN b.agreement > a.agreement THEN 'Claim 2 (''' || b.fact_statement || ''') is more reliable. It has higher model agreement count (' || b.agreement || ') compared to Claim 1 (' || a.agreement || ').'
+    ELSE 'Both claims have equal reliability ratings (' || a.reliability_rating || ') and agreement counts (' || a.agreement || '). Neither claim can be conclusively preferred without additional context.' END AS response
+    FROM (SELECT *, {RANK_SQL.format('reliability_rating')} AS ra FROM facts) a JOIN (SELECT *, {RANK_SQL.format('reliability_rating')} AS rb FROM facts) b ON lower(a.subject) = lower(b.subject) AND lower(a.object) = lower(b.object) AND a.block_id < b.block_id WHERE lower(a.predicate) <> lower(b.predicate)""",
+)(graph.contradiction_instructions)
+over_facts("taxonomy", "SELECT object AS parent, string_agg(DISTINCT subject, '|' ORDER BY subject) AS children FROM facts WHERE lower(predicate) IN ('is a', 'is a type of', 'subclass of', 'type of') GROUP BY 1")(graph.taxonomy)
+_TYPES = """, x AS (SELECT subject AS concept, 'out' AS side, predicate AS p FROM facts UNION ALL SELECT object, 'in', predicate FROM facts),
+types AS (SELECT concept, CASE WHEN regexp_matches(lower(concept), '(ation|ing|process|sis)$') THEN 'PROCESS' WHEN bool_or(side = 'out' AND p IN ('causes','contains','fuels','produce','produces','synthesizes')) THEN 'ENTITY'
+WHEN bool_or(side = 'in' AND p IN ('is located in','is part of','located in','occurs in','part of')) THEN 'LOCATION' WHEN bool_or(side = 'out' AND p IN ('exhibits','has','is')) THEN 'ATTRIBUTE' ELSE 'CONCEPT' END AS type FROM x GROUP BY 1)"""
+_spoken = lambda f: f.withColumn("predicate", F.replace("predicate", F.lit("_"), F.lit(" ")))
+_SPOKEN = ", said AS (SELECT subject, replace(predicate, '_', ' ') AS predicate, object FROM facts)" + _TYPES.replace("FROM facts", "FROM said")
+over_facts("semantic_types", _SPOKEN + " SELECT concept, type FROM types")(lambda f: graph.semantic_types(_spoken(f)))
+over_facts("relation_schema", _SPOKEN + " SELECT DISTINCT a.type AS subject_type, predicate, b.type AS object_type FROM said JOIN types a ON subject = a.concept JOIN types b ON object = b.concept")(
+    lambda f: graph.relation_schema(_spoken(f), graph.semantic_types(_spoken(f)))
+)
+_HIT = " + ".join(f"contains(lower(fact_statement), '{w}')::INTEGER + 2 * contains(lower(subject), '{w}')::INTEGER + 2 * contains(lower(object), '{w}')::INTEGER" for w in ("where", "nation_3"))
+over_facts("rag_seeds", f"SELECT block_id, score FROM (SELECT block_id, ({_HIT})::INTEGER AS score FROM facts) WHERE score > 0 ORDER BY score DESC, block_id LIMIT 20")(lambda f: graph.seeds(f, "Where is NATION_3", 20).select("block_id", "score"))
+over_facts("rag_hybrid", edges=True)(lambda f, e: graph.retrieve(f, e, "Where is NATION_3").select("block_id", "hop", "hybrid"))
+over_facts("rag_context", edges=True)(lambda f, e: graph.context(graph.retrieve(f, e, "Where is NATION_3")))
+over_facts("pagerank", edges=True)(lambda f, e: graph.pagerank(f, e).select("block_id", F.round("rank", 9).alias("rank")))
+_REACH = "both_ AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
+over_facts("components", f", {_REACH}, r AS (SELECT 1)", edges=True)(lambda f, e: graph.components(f, e))
+SQL.pop("components")
+over_facts(
+    "bfs_hops",
+    f", {_REACH}, z AS (SELECT block_id AS b FROM facts WHERE fact_id = 'n3'), h1 AS (SELECT dst AS b FROM both_ JOIN z ON src = b), h2 AS (SELECT dst AS b FROM both_ JOIN h1 ON src = b) SELECT b AS block_id, min(h)::INTEGER AS hop FROM (SELECT b, 0 AS h FROM z UNION ALL SELECT b, 1 FROM h1 UNION ALL SELECT b, 2 FROM h2) GROUP BY 1",
+    edges=True,
+)(lambda f, e: graph.hops(f.where("fact_id = 'n3'"), e, 2))
+over_facts("graph_stats", edges=True)(graph.graph_stats)
+
+
+@over_facts("fact_importance", edges=True)
+def _importance(f: DataFrame, e: DataFrame) -> DataFrame:
+    few = f.where("category = 'Geography'")
+    inner = e.join(few.select(F.col("block_id").alias("src")), "src").join(few.select(F.col("block_id").alias("dst")), "dst")
+    return graph.importance(few, graph.betweenness(few, inner)).select("block_id", F.round("importance", 6).alias("importance"))
+
+
+# --- texts, pages, conversations -----------------------------------------------------------------------------------
 
+SENTENCE_SQL = "list_filter(list_transform(regexp_extract_all({}, '[^.!?\\n]+[.!?]?'), lambda s: trim(regexp_replace(s, '^\\s+|\\s+$', '', 'g'))), lambda s: s <> '')"
+_MASKED = "coalesce(text, '')"
+for _a in T.ABBREVIATIONS:
+    _MASKED = f"replace({_MASKED}, '{_a}', '{_a.replace('.', chr(1))}')"
 
+
+@query("sentence_split", f"SELECT doc_id, (generate_subscripts(s, 1) - 1)::INTEGER AS position, replace(unnest(s), '{chr(1)}', '.') AS sentence FROM (SELECT doc_id, {SENTENCE_SQL.format(_MASKED)} AS s FROM documents)")
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("position", "sentence"))
+
+
+@query("content_hash", "SELECT doc_id, sha256(text) AS hash, greatest(1, length(text) // 4) AS tokens FROM documents")
+def _hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash("text").alias("hash"), T.token_estimate("text").alias("tokens"))
+
+
+@query("svo_facts")
+def _svo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_facts(table(spark, sf_dir, "documents"))
+
+
+@query("coref_facts")
+def _coref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_facts(table(spark, sf_dir, "documents"), resolve=True).select("fact_id", "subject", "predicate", "object")
+
+
+@query("distill_chat")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Documents to sentences, facts, those of quality, and chat records."""
+    found = extract.extract_facts(table(spark, sf_dir, "documents")).withColumn("category", F.lit("General"))
+    good = found.where(T.is_acceptable("subject", "object", F.col("subject_type"), longest=60))
+    return good.select("fact_id", F.round(T.quality("subject", "object", F.col("subject_type"), 60), 6).alias("quality"), extract.record("chat").alias("record"))
+
+
+@query("html_to_text")
+def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", ingest.html_to_text("html").alias("text"))
+
+
+@query(
+    "markdown_to_text",
+    "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '`{3}[A-Za-z0-9]*\\n?', '', 'g'), '!\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\[([^\\]]+)\\]\\([^)]*\\)', '\\1', 'g'), "
+    "'(?m)^\\s{0,3}#{1,6}\\s*', '', 'g'), '(?m)^\\s{0,3}>\\s?', '', 'g'), '(?m)^\\s{0,3}[*+-]\\s+', '', 'g'), '(?m)^\\s{0,3}\\d+\\.\\s+', '', 'g'), '[~_*`]', '', 'g'), '\\n\\n\\n+', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents",
+)
+def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", ingest.markdown_to_text("text").alias("text"))
+
+
+_CHAT = "SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn, role, text) AS m FROM conversations GROUP BY 1"
+_PROBLEM = """CASE WHEN len(m) < 2 THEN 'too few turns' WHEN len(list_filter(m, lambda x: x.role IS NULL OR x.content IS NULL)) > 0 THEN 'no role or content' WHEN len(list_filter(m, lambda x: x.role NOT IN ('user', 'assistant'))) > 0 THEN 'invalid role'
+WHEN len(list_filter(m, lambda x: trim(x.content) = '')) > 0 THEN 'empty content' WHEN NOT (list_contains(list_transform(m, lambda x: x.role), 'user') AND list_contains(list_transform(m, lambda x: x.role), 'assistant')) THEN 'one side only' END"""
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return rows.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))
+
+
+@query("chat_validate", f"SELECT conv_id, coalesce({_PROBLEM}, 'ok') AS verdict FROM ({_CHAT})")
+def _validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(spark, sf_dir).select("conv_id", F.coalesce(O.chat_problem(), F.lit("ok")).alias("verdict"))
+
+
+@query("dataset_stats", "SELECT role, count(DISTINCT conv_id) AS conversations, count(*) AS turns, round(avg(length(text)), 1) AS mean_chars FROM conversations GROUP BY 1")
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.countDistinct("conv_id").alias("conversations"), F.count("*").alias("turns"), F.round(F.avg(F.length("text")), 1).alias("mean_chars"))
+
+
+@query("token_budget")
+def _budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.col("text").alias("record"))
+    return O.budget(rows, 200, ["turn", "record"], ["conv_id"])
+
+
+_SPLIT_KEY = "conv_id::VARCHAR || ':' || turn::VARCHAR"
+
+
+@query("train_val_split", f"SELECT conv_id, turn, CASE WHEN row_number() OVER (ORDER BY md5('42:' || {_SPLIT_KEY})) <= round_even((SELECT count(*) FROM conversations) * 0.8, 0) THEN 'train' ELSE 'val' END AS part FROM conversations")
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return O.split(rows, 0.8, F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).select("conv_id", "turn", "part")
+
+
+@query("query_expansion")
+def _expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", T.expand_query(F.concat(F.lit("search data "), "p_name")).alias("expanded"))
+
+
+# --- vectors -------------------------------------------------------------------------------------------------------
+
+_DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+_COS = f"round({_DOT} / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)"
+
+
+@query("vector_topk", f"SELECT b.vec_id, {_COS} AS similarity FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id <> 0 ORDER BY 2 DESC, 1 LIMIT 20")
+def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.similar_to(table(spark, sf_dir, "embeddings"), 0, 20)
+
+
+@query(
+    "cosine_by_label",
+    "WITH p AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT label, i, sum(x) AS s FROM p GROUP BY 1, 2), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT s.label, n, round((sum(s * s) - n) / (n * (n - 1)), 5) AS cohesion FROM s JOIN n USING (label) GROUP BY s.label, n",
+)
+def _cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.mean_similarity(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "vector_clusters",
+    f"SELECT b.vec_id, (arg_max(a.vec_id, (round({_DOT} / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 9), -a.vec_id))) AS cluster FROM embeddings a, embeddings b WHERE a.vec_id < 8 GROUP BY 1",
+)
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return vectors.assign_clusters(e, e.where("vec_id < 8").select(F.col("vec_id").alias("cluster"), F.col("embedding").alias("centre")))
+
+
+@query("hash_embedding_topk")
+def _hash_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return vectors.similar_to(vectors.hash_embedding(rows, "p_partkey", "text", 64), 1, 20, key="p_partkey")
+
+
+# --- events --------------------------------------------------------------------------------------------------------
+
+
+@query("event_windows", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.windowed(table(spark, sf_dir, "events"))
+
+
+@query("event_history", "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.history(table(spark, sf_dir, "events"), 5).select("event_id", "user_id")
+
+
+@query(
+    "event_state",
+    "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) FILTER (value IS NOT NULL) AS value FROM events GROUP BY 1 HAVING arg_max(event_type, (ts, event_id)) <> 'error'",
+)
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.state(table(spark, sf_dir, "events"))
+
+
+@query("hash_chain_verify")
+def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 64).alias("ledger"), "event_id", "ts", F.to_json(F.struct("event_id", "user_id", "event_type")).alias("body"))
+    return chain.verify(chain.build(rows, "ledger", ["ts", "event_id"], "body", zeros=1))
+
+
+@over_facts("ranked_digest", "SELECT fact_id, row_number() OVER (PARTITION BY category ORDER BY quality_score DESC, fact_id) || '. ' || fact_statement || ' [' || category || '; ' || reliability_rating || ']' AS line FROM facts")
+def _digest(f: DataFrame) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("quality_score"), "fact_id"))
+    return f.select("fact_id", F.concat(n.cast("string"), F.lit(". "), "fact_statement", F.lit(" ["), "category", F.lit("; "), "reliability_rating", F.lit("]")).alias("line"))
