@@ -33,7 +33,8 @@ from factloom.llm.blocks import blocks, text_buffer
 from factloom.session import drop_path, stage_table
 
 ROUNDS, ACCEPT, ALLOWANCE = 4, 0.8, 0.5
-MIN_LENGTH = 6
+MIN_LENGTH, LONGEST = 6, 200  # characters of an identifier
+SEED_TOKENS = 9  # white-space separated groups that a seed may have: an IBAN's
 SEEDS = {
     "email": r"[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "ip": r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)",
@@ -105,23 +106,61 @@ def patterns(text: str, left: str, right: str) -> list[tuple[str, str]]:
     return out
 
 
+def pieces(run: str) -> Iterator[tuple[int, int]]:
+    """Where to cut a run of digit groups: into as many tokens of whole seeds as can be, by dynamic programming, and
+    what lies between those. A run that is a seed, or holds none, is one piece."""
+    tokens = [m.span() for m in re.finditer(r"\S+", run)]
+    if len(tokens) < 2 or not re.match(r"[+(\d]", run) or seed_kind(trimmed(run)):
+        yield 0, len(run)
+        return
+    # best[i]: (tokens in seeds, fewer pieces) of the first i tokens, and the last piece's length in tokens (0: no seed)
+    best: list[tuple[int, int, int]] = [(0, 0, 0)]
+    for i in range(1, len(tokens) + 1):
+        found = (best[i - 1][0], best[i - 1][1], 0)
+        for n in range(1, min(SEED_TOKENS, i) + 1):
+            if seed_kind(trimmed(run[tokens[i - n][0] : tokens[i - 1][1]])):
+                found = max(found, (best[i - n][0] + n, best[i - n][1] - 1, n))
+        best.append(found)
+    cuts, i = [], len(tokens)
+    while i:
+        n = best[i][2]
+        cuts.append((i - max(n, 1), i, n > 0))
+        i -= max(n, 1)
+    start = None
+    for a, b, seed in reversed(cuts):
+        if not seed:
+            start = a if start is None else start
+            continue
+        if start is not None:
+            yield tokens[start][0], tokens[a - 1][1]
+            start = None
+        yield tokens[a][0], tokens[b - 1][1]
+    if start is not None:
+        yield tokens[start][0], tokens[-1][1]
+
+
+def trimmed(s: str) -> str:
+    return s.rstrip("\"')>]},.;:!?|*#$%&").lstrip("\"'<[{")
+
+
 def candidates(text: str, marked: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, str]]:
     """Start, end, word before and word after of each candidate; ``marked`` are spans of marked tokens and those near them."""
     for a, b in marked:
         for m in JOINED.finditer(text, a, b):
-            s = m[0]
-            if len(s) < MIN_LENGTH or not re.search(r"[\d@]", s):
-                continue
-            lead = re.match(r"[\"'(<\[{]*", s).end() if not s.startswith("(") or ")" not in s else 0
-            tail = re.search(r"[\"')>\]},.;:!?|*#$%&]*$", s).start()
-            if re.search(r"[=:][ \t]*[\"']", s) and s[-1] in "\"'":
-                tail = len(s)
-            if tail - lead < MIN_LENGTH or len(s) > 200:
-                continue
-            x, y = m.start() + lead, m.start() + tail
-            before = re.search(r"(\S+)\s*$", text[max(0, x - 40) : x])
-            after = re.match(r"\W*(\S+)", text[y : y + 40])
-            yield x, y, before[1] if before else "", after[1] if after else ""
+            for p, q in pieces(m[0]):
+                s = m[0][p:q]
+                if len(s) < MIN_LENGTH or not re.search(r"[\d@]", s):
+                    continue
+                lead = re.match(r"[\"'(<\[{]*", s).end() if not s.startswith("(") or ")" not in s else 0
+                tail = re.search(r"[\"')>\]},.;:!?|*#$%&]*$", s).start()
+                if re.search(r"[=:][ \t]*[\"']", s) and s[-1] in "\"'":
+                    tail = len(s)
+                if tail - lead < MIN_LENGTH or tail - lead > LONGEST:
+                    continue
+                x, y = m.start() + p + lead, m.start() + p + tail
+                before = re.search(r"(\S+)\s*$", text[max(0, x - 40) : x])
+                after = re.match(r"\W*(\S+)", text[y : y + 40])
+                yield x, y, before[1] if before else "", after[1] if after else ""
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,11 +236,12 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every identifier replaced by its kind in brackets, ``n_chars`` adjusted where there is one."""
     found = find(docs.select(F.xxhash64("text").alias("doc_id"), "text"), **options)
     # spans are those of a text, whatever its rows
-    edits = found.select("doc_id", F.struct("start", "stop", "kind").alias("e")).groupBy("doc_id").agg(F.array_sort(F.collect_set("e")).alias("__edits")).withColumnRenamed("doc_id", "__h")
+    edits = found.select("doc_id", F.struct("start", "stop", "kind", "entity").alias("e")).groupBy("doc_id").agg(F.array_sort(F.collect_set("e")).alias("__edits")).withColumnRenamed("doc_id", "__h")
     merged = F.aggregate(
         "__edits",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, e: F.when(e["start"] < acc["at"], acc).otherwise(
+        # an edit made for another text of the same hash doesn't find its entity here
+        lambda acc, e: F.when((e["start"] < acc["at"]) | (F.substr("text", e["start"] + 1, e["stop"] - e["start"]) != e["entity"]), acc).otherwise(
             F.struct(e["stop"].alias("at"), F.concat(acc["out"], F.substr("text", acc["at"] + 1, e["start"] - acc["at"]), F.lit("["), F.upper(e["kind"]), F.lit("]")).alias("out"))
         ),
         lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.lit(2147483647))),
