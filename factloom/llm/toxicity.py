@@ -43,36 +43,51 @@ _ALPHABET = "\0abcdefghijklmnopqrstuvwxyzßàáâäãåæçèéêëìíîïñò
 SYMBOLS = len(_ALPHABET) + 1  # one for every other letter
 INDEX = {c: i for i, c in enumerate(_ALPHABET)}
 _S = re.escape(SIGNS)
-#: a look-alike before a letter in a word; a letter three times; single letters with separators
-SUSPECT = re.compile(rf"(?<![\w{_S}])(?=[{_S}]*\w)(?=[^\W\d_]*[{_S}]+[^\W\d_])[\w{_S}]{{3,40}}(?!\w)|\b(?=\w*?([^\W\d_])\1\1)\w{{4,60}}\b|(?<!\w)(?:[\w{_S}][ .\-_*~]{{1,2}}){{3,24}}[\w{_S}](?!\w)")
+#: a look-alike before a letter in a word (of 256 signs at most); a letter three times; single letters with separators
+SUSPECT = re.compile(rf"(?<![\w{_S}])(?=[{_S}]*\w)(?=[^\W\d_]*[{_S}]+[^\W\d_])[\w{_S}]{{3,256}}(?!\w)|\b(?=\w*?([^\W\d_])\1\1)\w{{4,256}}\b|(?<!\w)(?:[\w{_S}][ .\-_*~]{{1,2}}){{3,}}[\w{_S}](?!\w)")
 #: bytes that may begin one: a quick test of whole texts
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 SIGN = np.zeros(256, bool)
 SIGN[[ord(c) for c in SIGNS if ord(c) < 128]] = True
+DIGIT = np.zeros(256, bool)
+DIGIT[48:58] = True
 CASE = np.arange(256, dtype=np.uint8)
 CASE[65:91] += 32
 
 
 def suspicious(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows in which SUSPECT may match, by bytes alone (no row with a match is missed)."""
+    """Rows in which SUSPECT may match, by bytes alone (no row with a match of letters is missed)."""
     rows = np.zeros(len(offsets) - 1, bool)
     if len(raw) < 4:
         return rows
     low, letter, sign = CASE[raw], LETTER[raw], SIGN[raw]
     hit = np.zeros(len(raw), bool)
     hit[:-1] |= sign[:-1] & letter[1:]
+    for c in (c.encode() for c in SIGNS if ord(c) >= 128):
+        found = letter[len(c) :].copy()
+        for k, byte in enumerate(c):
+            found &= raw[k : len(raw) - len(c) + k] == byte
+        hit[: len(found)] |= found
     hit[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
-    # runs of a two-byte character: the same two bytes three times
-    hit[:-5] |= (raw[:-5] >= 0xC0) & (raw[:-5] == raw[2:-3]) & (raw[2:-3] == raw[4:-1]) & (raw[1:-4] == raw[3:-2])
-    word = letter | sign
-    gap = ~word
-    single = word.copy()  # a word sign alone between others; of a two-byte letter the second byte
-    single[1:] &= gap[:-1] | (raw[:-1] >= 0xC2)
-    single[:-1] &= gap[1:]
+    for n in (2, 3, 4):  # a character of n bytes three times
+        same = np.concatenate([raw[:-n] == raw[n:], np.zeros(n, bool)])
+        run = same.copy()
+        for k in range(1, 2 * n):
+            run[:-k] &= same[k:]
+            run[-k:] = False
+        hit |= run & (raw >= 0xC0)
+    # a letter, digit or sign alone between others, of a longer character the last byte; signs end letters and digits
+    alone = letter | sign
+    after, before = np.ones(len(raw), bool), np.ones(len(raw), bool)
+    plain = letter | DIGIT[raw]
+    after[:-1] = np.where(plain[:-1], ~plain[1:], ~alone[1:])
+    before[1:] = np.where(plain[1:], ~plain[:-1], ~alone[:-1]) | (raw[:-1] >= 0x80)
+    single = alone & after & before
+    single |= raw == 95
     at = np.flatnonzero(single)
     if len(at) > 3:
-        near = np.flatnonzero(at[3:] - at[:-3] <= 12)
+        near = np.flatnonzero(at[3:] - at[:-3] <= 20)
         hit[at[near]] = True
     found = np.flatnonzero(hit)
     rows[np.unique(np.searchsorted(offsets, found, "right") - 1)] = True
@@ -123,13 +138,12 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def readings(token: str, model: Model, known: set[str]) -> list[str]:
-    """The words that a suspicious span is restored to: its best path, as a lexicon word if any path spells one
-    that the language model doesn't find much less likely."""
-    joined = re.sub(r"[ .\-_~]", "", token) if re.search(r"\w[ .\-_*~]{1,2}[\w" + _S + r"](?!\w)", token) else token
-    options = lattice(joined)
-    best, score = model.decode(options)
-    spelled = {w for w in known if spells(w, options)}
-    return sorted(spelled) or [best]
+    """The words that a suspicious span is restored to: the lexicon words that a path spells (of spaced letters, holds),
+    else its best path."""
+    spaced = re.search(r"\w[ .\-_*~]{1,2}[\w" + _S + r"](?!\w)", token)
+    options = lattice(re.sub(r"[ .\-_~]", "", token) if spaced else token)
+    spelled = {w for w in known if (holds if spaced else spells)(w, options)}
+    return sorted(spelled) or [model.decode(options)[0]]
 
 
 def spells(word: str, options: list[list[tuple[str, float]]]) -> bool:
@@ -142,6 +156,16 @@ def spells(word: str, options: list[list[tuple[str, float]]]) -> bool:
     return len(word) in reach
 
 
+def holds(word: str, options: list[list[tuple[str, float]]]) -> bool:
+    """Whether some path of the lattice has ``word`` in it: spaced words follow one another without a border."""
+    reach: set[int] = set()
+    for choice in options:
+        reach = {at + len(p) for at in reach | {0} for p, _ in choice if (p or at) and word.startswith(p, at)}
+        if len(word) in reach:
+            return True
+    return False
+
+
 def restore(text: str, model: Model, known: set[str] = frozenset()) -> str:
     """The text with every suspicious span replaced by what it is read as."""
     return SUSPECT.sub(lambda m: " ".join(readings(m[0], model, known)), text)
@@ -203,7 +227,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cont
 
     schema = pa.schema([("word", pa.string()), ("left", pa.string()), ("toxic", pa.int32())])
     # the sample is bounded, so it can be sent whole
-    texts = docs.join(F.broadcast(chosen), "doc_id").select(F.col("text").cast("string").alias("text"), "toxic")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     seen = texts.mapInArrow(run, "word string, left string, toxic int").distinct()
     per = seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     stems = F.transform(F.sequence(F.lit(MIN_STEM), F.lit(MAX_STEM)), lambda k: F.when(F.length("word") > k, F.concat(F.substr("word", F.lit(1), k), F.lit("*"))))
