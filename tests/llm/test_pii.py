@@ -1,0 +1,101 @@
+from factloom.llm import pii as P
+
+DOCS = "doc_id long, text string, kind string, entity int, n_chars long"
+
+
+def spans(text):
+    return [text[a:b] for a, b, _, _ in P.candidates(text, [(0, len(text))])]
+
+
+def test_runs_are_cut_into_seeds():
+    assert spans("+1 (826) 555-4081 190.137.223.204 x") == ["+1 (826) 555-4081", "190.137.223.204"]
+    assert spans("7536784127813050 4111111111111111.") == ["7536784127813050", "4111111111111111"]
+    assert spans('a token = "abc0123456789def" b') == ['token = "abc0123456789def"']
+    assert P.seed_kind("4111 1111 1111 1111") == "card" and P.seed_kind("4111111111111112") is None
+
+
+def test_pieces_equal_brute_force():
+    def cover(tokens):  # most tokens in seeds, by trying all partitions
+        best = 0
+        for mask in range(1 << (len(tokens) - 1)):
+            groups, now = [], [tokens[0]]
+            for i, t in enumerate(tokens[1:]):
+                if mask >> i & 1:
+                    groups.append(now)
+                    now = []
+                now.append(t)
+            groups.append(now)
+            best = max(best, sum(len(g) for g in groups if P.seed_kind(" ".join(g))))
+        return best
+
+    for run in ("12 +1 (826) 555-4081 7 190.137.223.204 10.0.0.1", "1 2 3", "4111 1111 1111 1111 9", "10.1.2.3 99 +44 20 7946 0958"):
+        got = [run[a:b] for a, b in P.pieces(run)]
+        assert sum(len(g.split()) for g in got if P.seed_kind(g)) == cover(run.split())
+        assert " ".join(got).split() == run.split()
+
+
+def corpus():
+    docs = [f"the member number ZQX{(i * 7919 + 1000003) % 10**9:09d}KL is held by someone{i}@example.com today" for i in range(30)]
+    docs += [f"write to ACCT-{i % 7}{i}55-{1000 + i} or phone +1 (212) 555-{1000 + i} now" for i in range(20)]
+    docs += ["Nothing to see in version 5.0 of 2024, nor in chapter 12345678 at all."] * 10
+    # seeds of the same key teach that what follows it is a secret, whatever its form
+    docs += [f"login password: hunter{i}secret and go" for i in range(10)]
+    return docs
+
+
+def test_bootstrap_finds_what_no_seed_describes(spark):
+    texts = corpus() + [f"id AKIA{'ABCDEFGHIJKLMNOP'[i:]}{'0123456789ABCDEF'[:i]} ok" for i in range(1, 12)] + ["id AKIB0123456789ABCDEF ok"]
+    rows = P.find(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    kinds = {r.kind for r in rows}
+    assert {"email", "phone", "secret"} <= kinds
+    seeds = {(r.doc_id, r.start) for r in rows if r.seeded}
+    want = {(i, a) for i, t in enumerate(texts) for a, b, _, _ in P.candidates(t, [(0, len(t))]) if P.seed_kind(t[a:b])}
+    assert seeds == want
+    assert all(texts[r.doc_id][r.start : r.stop] == r.entity for r in rows)
+    assert not {r.entity for r in rows} & {"12345678", "2024", "chapter 12345678"}
+    assert any(r.entity == "AKIB0123456789ABCDEF" and r.kind == "secret" and not r.seeded for r in rows)
+
+
+def test_graph_scores_equal_brute_force(spark):
+    import math
+
+    occ = [(f"e{i}", "secret" if i < 6 else None, ["shape", "left"], [f"s{i % 3}", f"l{i % 2}"]) for i in range(9)]
+    df = spark.createDataFrame([(i, 0, 1, *o) for i, o in enumerate(occ)], P.OCCURRENCE)
+    got = {r.entity: round(r.score, 9) for r in P.bootstrap(df, accept=0.5).collect()}
+    edges = {(e, t, p) for e, _, ts, ps in occ for t, p in zip(ts, ps)}
+    seeds = {e: 1.0 for e, s, _, _ in occ if s}
+    known = dict(seeds)
+    for _ in range(P.ROUNDS):
+        conf = {}
+        for t, p in {(t, p) for _, t, p in edges}:
+            own = [e for e, a, b in edges if (a, b) == (t, p)]
+            s = sum(known.get(e, 0) for e in own)
+            if s >= 3 and (s - P.ALLOWANCE) / len(own) > 0.2:
+                conf[t, p] = (s - P.ALLOWANCE) / len(own)
+        nxt = dict(seeds)
+        for e in {e for e, _, _ in edges}:
+            best = {}
+            for x, t, p in edges:
+                if x == e and (t, p) in conf:
+                    best[t] = max(best.get(t, 0), conf[t, p])
+            if best:
+                score = 1 - math.exp(sum(math.log1p(-min(c if t == "shape" else 0.5 * c, 0.999)) for t, c in best.items()))
+                if score >= 0.5:
+                    nxt[e] = max(nxt.get(e, 0), score)
+        known = nxt
+    assert got == {e: round(s, 9) for e, s in known.items()}
+
+
+def test_redaction_and_defined_results(spark):
+    long = "word " * 200_000 + "a.b@example.org " + "word " * 10
+    rows = [(1, "é mail a.b@example.org, ok 10.1.2.3."), (1, "é mail a.b@example.org, ok 10.1.2.3."), (2, None), (3, ""), (None, "x@y.org"), (4, long), (5, "no such thing")]
+    df = spark.createDataFrame([(*r, "k", 3, 0) for r in rows], DOCS)
+    got = P.redact(df)
+    assert got.columns == df.columns
+    found = sorted(((str(r.doc_id), r.text, r.n_chars, r.kind, r.entity) for r in got.collect()), key=str)
+    texts = {r[0]: r for r in found}
+    assert len(found) == 7 and texts["1"][1] == "é mail [EMAIL], ok [IP]." and texts["1"][2] == len("é mail [EMAIL], ok [IP].")
+    assert texts["2"][1] is None and texts["3"][1] == "" and texts["None"][1] == "[EMAIL]" and texts["5"][1:3] == ("no such thing", 0)
+    assert texts["4"][1] == long.replace("a.b@example.org", "[EMAIL]") and texts["4"][3:] == ("k", 3)
+    assert P.find(df).where("doc_id = 1").count() == 4
+    assert P.redact(df.limit(0)).count() == 0 and P.find(df.limit(0)).count() == 0
