@@ -2,10 +2,10 @@
 
 A record is: the length of its data (8 bytes, little-endian), the masked CRC-32C of those 8 bytes, the data, the
 masked CRC-32C of the data (the TFRecord framing). The data of a document is its token ids, 2 bytes each
-(4 where the vocabulary has more than 65,536 ids). Each partition writes one shard file: under a name of its own
-attempt first, then moved to its final name, so that an attempt that is lost or runs twice leaves one whole file.
-The index, a Parquet table beside the shards, has a row for each record: shard, number, offset, length, document.
-A reader shuffles index rows and reads single records by offset.
+(4 where the vocabulary has more than 65,536 ids). Each partition writes one shard file, named for its attempt. The
+index, a Parquet table beside the shards, has a row for each record: shard, number, offset, length, document. It is
+committed with its task, so it names the file of the attempt that counts; what attempts that were lost or ran twice
+have left is deleted once the index stands. A reader shuffles index rows and reads single records by offset.
 
 Defined results: null and empty texts give a record of no tokens; a null id stays null in the index; repeated rows
 give a record each; an empty table gives an empty index and no shard; extra columns are ignored.
@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm.tokens import VOCABULARY, load_vocabulary, pretokens, text_blocks
 from factloom.session import fresh_path
@@ -137,9 +138,9 @@ def write_records(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(vocabulary)
         width = int(ids.kind[-1])
-        shard = f"shard-{TaskContext.get().partitionId():06d}.rec"
+        shard = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.rec"
         fs, base = open_fs(path)
-        own = f"{base}/_attempt-{uuid.uuid4().hex}"
+        own = f"{base}/{shard}"
         out, offset, number = None, 0, 0
         try:
             for batch in batches:
@@ -164,18 +165,34 @@ def write_records(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> D
                         ["shard", "record", "offset", "length", "doc_id", "n_tokens"],
                     )
                     offset, number = int(ends[-1]), number + len(data)
-            if out is not None:
-                out.close()
-                fs.move(own, f"{base}/{shard}")
-                out = None
         finally:
-            if out is not None:  # a failed attempt leaves nothing
+            if out is not None:
                 out.close()
-                fs.delete_file(own)
 
     index = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, INDEX)
     index.write.mode("overwrite").parquet(f"{path}/index")
-    return spark.read.schema(index.schema).parquet(f"{path}/index")
+    stored = spark.read.schema(index.schema).parquet(f"{path}/index")
+    fs, base = open_fs(path)
+    known = {r[0] for r in stored.select("shard").distinct().collect()}  # one name a partition
+    for found in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+        if found.base_name.endswith(".rec") and found.base_name not in known:
+            fs.delete_file(found.path)
+    return stored
+
+
+def read_shuffled(index: DataFrame, path: str, seed: int, width: int = 2) -> DataFrame:
+    """``doc_id, tokens`` of all records in an order that the seed makes: each partition of the shuffled index reads
+    its records by offset."""
+    kind = {2: "<u2", 4: "<u4"}[width]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            tokens = [read_record(path, r["shard"], r["offset"], r["length"], width).astype(kind).tolist() for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array(tokens, pa.list_(pa.int32()))], ["doc_id", "tokens"])
+
+    order = F.xxhash64(F.lit(seed), "shard", "record")
+    return index.repartition(order).sortWithinPartitions(order).mapInArrow(run, "doc_id long, tokens array<int>")
 
 
 def read_record(path: str, shard: str, offset: int, length: int, width: int = 2) -> np.ndarray:

@@ -41,6 +41,12 @@ def test_records_round_trip(spark, tmp_path):
     want = sorted((str(i), ENC.encode_ordinary(t or "")) for i, t in rows)
     got = sorted((str(r.doc_id), records.read_record(f"file://{tmp_path}/r", r.shard, r.offset, r.length).tolist()) for r in index)
     assert got == want and all(r.n_tokens == (r.length - records.FRAME) // 2 for r in index)
+    shuffled = records.read_shuffled(spark.read.parquet(f"file://{tmp_path}/r/index"), f"file://{tmp_path}/r", 5).collect()
+    assert sorted((str(r.doc_id), r.tokens) for r in shuffled) == want
+    assert {f.name for f in (tmp_path / "r").glob("*.rec")} == {r.shard for r in index}
+    (tmp_path / "r" / "shard-000000-lost.rec").write_bytes(b"x")
+    index = records.write_records(df, f"file://{tmp_path}/r").collect()
+    assert {f.name for f in (tmp_path / "r").glob("*.rec")} == {r.shard for r in index}
     assert records.write_records(df.limit(0), f"file://{tmp_path}/e").count() == 0
     r = max(index, key=lambda r: r.length)
     path = tmp_path / "r" / r.shard
