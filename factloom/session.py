@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if path:
-        return path.rstrip("/")
+        return qualified(spark, path)
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="factloom-")
@@ -47,8 +47,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system that Spark finds it in."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return ("file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full).rstrip("/")
+
+
+_made: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every table that this process has left in the shared folder; nothing made from them can be read after."""
+    drop_path(spark, *_made)
+    _made.clear()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:

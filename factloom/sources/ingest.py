@@ -124,7 +124,7 @@ def load_facts_json(spark: SparkSession, path: str) -> DataFrame:
 def parse_facts(table: DataFrame) -> DataFrame:
     kinds = "map<string, struct<fact_statement: string, category: string, tags: string, reliability_rating: string, source_id: string, usage_count: int, subject: string, predicate: string, object: string>>"
     rows = table.select(F.explode(F.from_json("value", kinds)).alias("fact_id", "f")).select("fact_id", "f.*")
-    return rows.withColumns({"tags": F.filter(F.transform(F.split("tags", ","), F.trim), lambda t: t != ""), "reliability_rating": valid_rating("reliability_rating")})
+    return rows.withColumns({"tags": F.filter(F.transform(F.split("tags", ","), lambda t: F.trim(t)), lambda t: t != ""), "reliability_rating": valid_rating("reliability_rating")})
 
 
 def valid_rating(column: str) -> Column:
