@@ -43,7 +43,7 @@ DC_STEP, AC_STEP, INTERVAL = 8, 160, 64
 TABLES_AT_ONCE = 64  # lookup tables, of 256 KB each, in one lockstep group
 
 
-# --- writing -------------------------------------------------------------------------------------------------------
+# writing
 
 
 def codes(bits: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +193,7 @@ def render(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, media binary")
 
 
-# --- reading -------------------------------------------------------------------------------------------------------
+# reading
 
 
 class Image:
