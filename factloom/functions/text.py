@@ -109,7 +109,7 @@ def is_acceptable(s: str | Column = "subject", o: str | Column = "object", kind:
     parts = F.filter(F.split(subject, r"(?U)\s+"), lambda w: w != "")
     head = F.regexp_replace(F.lower(F.get(parts, F.lit(0))), r"^[.,'\"]+|[.,'\"]+$", "")
     ok = (subject != "") & (obj != "") & (F.length(subject) >= shortest) & ~_in(head, schema.STOPWORDS) & subject.rlike(r"^\p{Lu}")
-    ok &= ~((F.size(parts) == 1) & subject.rlike(r"^[A-Z][a-z]+ing$")) & (F.length(obj) <= longest)
+    ok &= ~((F.size(parts) == 1) & subject.rlike(r"^\p{Upper}\p{Lower}+ing$")) & (F.length(obj) <= longest)
     if kind is not None:
         ok &= (kind.eqNullSafe(F.lit("ENTITY"))) | ((F.size(parts) >= 2) & F.forall(parts, lambda w: w.rlike(r"^\p{Lu}")))
     return F.coalesce(ok, F.lit(False))
@@ -155,7 +155,7 @@ def degenerate(s: str | Column, o: str | Column, domain: str | Column) -> Column
 def sentences(text: str | Column) -> Column:
     """Sentences of a text; the points of common abbreviations don't end one."""
     masked = reduce(lambda t, a: F.replace(t, F.lit(a), F.lit(a.replace(".", "\x01"))), ABBREVIATIONS, F.coalesce(_c(text), F.lit("")))
-    found = F.transform(F.regexp_extract_all(masked, F.lit(r"[^.!?\n]+[.!?]?"), F.lit(0)), lambda s: F.regexp_replace(F.replace(s, F.lit("\x01"), F.lit(".")), r"(?U)^\s+|\s+$", ""))
+    found = F.transform(F.regexp_extract_all(masked, F.lit(r"[^\n!.?]+[!.?]?"), F.lit(0)), lambda s: F.regexp_replace(F.replace(s, F.lit("\x01"), F.lit(".")), r"(?U)^\s+|\s+$", ""))
     return F.filter(found, lambda s: s != "")
 
 

@@ -63,11 +63,13 @@ def sentence_facts(sentence: str) -> Iterator[tuple[str, str, str]]:
     if not n or not rest:
         return
     subject = " ".join(tokens[:n]).rstrip(",")
-    at = next((i for i, t in enumerate(rest) if t.lower() in COPULA), 0)
-    if at:  # lower-case nouns before a copula belong to the subject
+    low = [t.lower() for t in rest]
+    if (at := min((low.index(c) for c in COPULA.intersection(low)), default=0)) > 0:  # nouns before a copula belong to the subject
         subject, rest = f"{subject} {' '.join(rest[:at])}", rest[at:]
-    verb = next((i for i, t in enumerate(rest) if t.lower() in COPULA or (t.isalpha() and t.lower() not in NOT_VERBS)), None)
-    if verb is None or verb + 1 == len(rest):
+    verb = 0
+    while verb < len(rest) and rest[verb].lower() not in COPULA and (not rest[verb].isalpha() or rest[verb].lower() in NOT_VERBS):
+        verb += 1
+    if verb + 1 >= len(rest):
         return
     word, after = rest[verb].lower(), rest[verb + 1 :]
     if word in COPULA:
@@ -75,7 +77,7 @@ def sentence_facts(sentence: str) -> Iterator[tuple[str, str, str]]:
     else:
         predicate, obj = word, _complement(after[1:] if after[0].lower() in LEADING else after)
     if obj:
-        for s in re.split(r"\s+(?:and|&)\s+", subject):
+        for s in re.split(r"\s(?:&|and)\s", subject):
             if s.strip():
                 yield s.strip(), predicate, obj
 
@@ -93,8 +95,9 @@ def svo(found: pd.Series) -> pd.Series:
     return found.map(lambda all_: [(s, _kind(s), p, o, _kind(o), x) for x in (all_ if all_ is not None else []) for s, p, o in sentence_facts(x)])
 
 
-PERSON = re.compile(r"\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)+\b")
-ENTITY = re.compile(r"\b(?:The\s)?[A-Z][a-z]+(?:\s[A-Z][a-z]+)*\b")
+NAME = "[A-Z][a-z]+"
+PERSON = re.compile(rf"\b{NAME}(?:\s{NAME})+\b")
+ENTITY = re.compile(rf"\b(?:The\s)?{NAME}(?:\s{NAME})*\b")
 
 
 def resolve_pronouns(text: str) -> str:

@@ -11,10 +11,10 @@ from factloom.session import drop_path, stage_table
 
 TAXONOMY = ["is a", "is a type of", "subclass of", "type of"]
 RULES = {
-    "process_suffixes": ["ation", "ing", "process", "sis"],
-    "entity_outgoing": ["causes", "contains", "fuels", "produce", "produces", "synthesizes"],
-    "location_incoming": ["is located in", "is part of", "located in", "occurs in", "part of"],
-    "attribute_outgoing": ["exhibits", "has", "is"],
+    "attribute_outgoing": "exhibits has is".split(),
+    "entity_outgoing": "causes contains fuels produce produces synthesizes".split(),
+    "location_incoming": "located in,is located in,part of,is part of,occurs in".split(","),
+    "process_suffixes": "ation ing process sis".split(),
 }
 
 
@@ -263,9 +263,14 @@ def importance(facts: DataFrame, centrality: DataFrame) -> DataFrame:
     return facts.join(centrality, "block_id").select("block_id", (2 * schema.rank("reliability_rating") + 0.5 * F.coalesce("usage_count", F.lit(0)) + 30 * F.col("centrality") + 0.5 * F.greatest(related, F.lit(0))).alias("importance"))
 
 
+def query_terms(query: str) -> list[str]:
+    """Words of three letters and more."""
+    return [w for w in query.lower().split() if w[2:]]
+
+
 def seeds(facts: DataFrame, query: str, limit: int = 5) -> DataFrame:
     """Facts that hold words of the query: 1 in the statement, 2 in the subject, 2 in the object; without words the first by id."""
-    terms = [w.lower() for w in query.split() if len(w) > 2]
+    terms = query_terms(query)
     if not terms:
         return facts.orderBy("block_id").limit(limit).withColumn("score", F.lit(0))
     hit = lambda c, w: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(w)).cast("int")
@@ -284,7 +289,7 @@ def retrieve(facts: DataFrame, edges: DataFrame, query: str, top_k: int = 5, mos
     found = hops(first, edges, most, blocked)
     ranks = pagerank(facts, edges) if ranks is None else ranks
     top = ranks.agg(F.max("rank").alias("top"))
-    terms = [w.lower() for w in query.split() if len(w) > 2]
+    terms = query_terms(query)
     sim = sum((F.contains(F.lower("fact_statement"), F.lit(w)).cast("int") for w in terms), F.lit(0)) / max(1, len(terms))
     rows = found.join(facts, "block_id").join(ranks, "block_id", "left").crossJoin(F.broadcast(top))
     score = (1 - weight) * sim + weight * F.coalesce(F.col("rank"), F.lit(0.0)) / F.col("top")

@@ -45,7 +45,7 @@ def over_facts(name: str, sql: str | None = None, edges: bool = False):
     return keep
 
 
-# --- filters, projections, summaries -------------------------------------------------------------------------------
+# filters, projections, summaries
 
 over_facts("quality_score", "SELECT fact_id, quality_score FROM facts")(lambda f: f.select("fact_id", "quality_score"))
 over_facts("reliability_filter", f"SELECT fact_id, reliability_rating FROM facts WHERE {RANK_SQL.format('reliability_rating')} >= 3")(lambda f: O.at_least(f, "LIKELY_TRUE").select("fact_id", "reliability_rating"))
@@ -123,7 +123,7 @@ _SEARCH = " + ".join(f"contains(lower({c}), '{w}')::INTEGER" for c in ("subject"
 over_facts("search_facts", f"SELECT fact_id, ({_SEARCH})::INTEGER AS score FROM facts WHERE {_SEARCH} > 0")(lambda f: O.search(f, "nation located", ["subject", "object", "fact_statement"]).select("fact_id", "score"))
 
 
-# --- lifecycle and corroboration -----------------------------------------------------------------------------------
+# lifecycle and corroboration
 
 _PROMOTE = f"SELECT {NORM.format('object')} AS key, count(DISTINCT source) AS sources, max({RANK_SQL.format('reliability_rating')}) AS r FROM facts GROUP BY 1"
 
@@ -221,13 +221,13 @@ def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.round(similarity.tf_similarity("x", "y"), 6).alias("similarity"))
 
 
-# --- graph ---------------------------------------------------------------------------------------------------------
+# graph
 
 over_facts("find_by_subject", "SELECT fact_id FROM facts WHERE contains(lower(subject), 'nation')")(lambda f: graph.find_by_subject(f, "Nation").select("fact_id"))
 over_facts("find_by_reliability", "SELECT block_id, quality_score FROM facts WHERE reliability_rating = 'VERIFIED' ORDER BY quality_score DESC, block_id LIMIT 100")(lambda f: graph.find_by_reliability(f, "VERIFIED").select("block_id", "quality_score"))
 over_facts("auto_link", "SELECT src, dst, predicate, weight FROM edges", edges=True)(lambda f, e: e)
 _NEG = "list_has_any(string_split(lower({}), ' '), ['not', 'never', 'no', 'cannot', 'fails'])"
-_PAIRS = "facts a JOIN facts b ON lower(a.subject) = lower(b.subject) AND lower(a.object) = lower(b.object) AND a.block_id < b.block_id"
+_PAIRS = "facts a JOIN facts b ON lower(b.subject) = lower(a.subject) AND lower(b.object) = lower(a.object) AND a.block_id < b.block_id"
 over_facts("graph_contradictions", f"SELECT a.block_id AS a, b.block_id AS b FROM {_PAIRS} WHERE {_NEG.format('a.predicate')} <> {_NEG.format('b.predicate')}")(
     lambda f: graph.contradictions(f).select(F.col("a_block_id").alias("a"), F.col("b_block_id").alias("b"))
 )
@@ -261,7 +261,7 @@ over_facts(
     WHEN a.agreement > b.agreement THEN 'Claim 1 (''' || a.fact_statement || ''') is more reliable. It has higher model agreement count (' || a.agreement || ') compared to Claim 2 (' || b.agreement || ').'
     WHEN b.agreement > a.agreement THEN 'Claim 2 (''' || b.fact_statement || ''') is more reliable. It has higher model agreement count (' || b.agreement || ') compared to Claim 1 (' || a.agreement || ').'
     ELSE 'Both claims have equal reliability ratings (' || a.reliability_rating || ') and agreement counts (' || a.agreement || '). Neither claim can be conclusively preferred without additional context.' END AS response
-    FROM (SELECT *, {RANK_SQL.format('reliability_rating')} AS ra FROM facts) a JOIN (SELECT *, {RANK_SQL.format('reliability_rating')} AS rb FROM facts) b ON lower(a.subject) = lower(b.subject) AND lower(a.object) = lower(b.object) AND a.block_id < b.block_id WHERE lower(a.predicate) <> lower(b.predicate)""",
+    FROM (SELECT *, {RANK_SQL.format('reliability_rating')} AS ra FROM facts) a JOIN (SELECT *, {RANK_SQL.format('reliability_rating')} AS rb FROM facts) b ON lower(b.subject) = lower(a.subject) AND lower(b.object) = lower(a.object) AND a.block_id < b.block_id WHERE lower(a.predicate) <> lower(b.predicate)""",
 )(graph.contradiction_instructions)
 over_facts("taxonomy", "SELECT object AS parent, string_agg(DISTINCT subject, '|' ORDER BY subject) AS children FROM facts WHERE lower(predicate) IN ('is a', 'is a type of', 'subclass of', 'type of') GROUP BY 1")(graph.taxonomy)
 _TYPES = """, x AS (SELECT subject AS concept, 'out' AS side, predicate AS p FROM facts UNION ALL SELECT object, 'in', predicate FROM facts),
@@ -279,14 +279,23 @@ over_facts("rag_hybrid", edges=True)(lambda f, e: graph.retrieve(f, e, "Where is
 over_facts("rag_context", edges=True)(lambda f, e: graph.context(graph.retrieve(f, e, "Where is NATION_3")))
 over_facts("pagerank", edges=True)(lambda f, e: graph.pagerank(f, e).select("block_id", F.round("rank", 9).alias("rank")))
 _REACH = "both_ AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
-over_facts("components", f", {_REACH}, r AS (SELECT 1)", edges=True)(lambda f, e: graph.components(f, e))
-SQL.pop("components")
+_GROUPS = f", {_REACH}, r(b, c) AS (SELECT block_id, block_id FROM facts UNION SELECT dst, c FROM r JOIN both_ ON src = b), groups AS (SELECT b AS block_id, min(c) AS component FROM r GROUP BY 1)"
+over_facts("components", _GROUPS + " SELECT block_id, component FROM groups", edges=True)(lambda f, e: graph.components(f, e))
 over_facts(
     "bfs_hops",
     f", {_REACH}, z AS (SELECT block_id AS b FROM facts WHERE fact_id = 'n3'), h1 AS (SELECT dst AS b FROM both_ JOIN z ON src = b), h2 AS (SELECT dst AS b FROM both_ JOIN h1 ON src = b) SELECT b AS block_id, min(h)::INTEGER AS hop FROM (SELECT b, 0 AS h FROM z UNION ALL SELECT b, 1 FROM h1 UNION ALL SELECT b, 2 FROM h2) GROUP BY 1",
     edges=True,
 )(lambda f, e: graph.hops(f.where("fact_id = 'n3'"), e, 2))
-over_facts("graph_stats", edges=True)(graph.graph_stats)
+over_facts(
+    "graph_stats",
+    _GROUPS + """, u AS (SELECT DISTINCT least(src, dst) AS x, greatest(src, dst) AS y FROM edges WHERE src <> dst),
+    t AS (SELECT count(*) AS triangles FROM u a JOIN u b ON a.y = b.x JOIN u c ON c.x = a.x AND c.y = b.y),
+    n AS (SELECT count(*) AS nodes FROM groups), m AS (SELECT count(DISTINCT src || dst) AS edges FROM edges)
+    SELECT nodes, m.edges, round(m.edges / (nodes::DOUBLE * (nodes - 1)), 9) AS density, (SELECT count(DISTINCT component) FROM groups) AS components, triangles FROM n, m, t""",
+    edges=True,
+)(graph.graph_stats)
+for _name in ("components", "graph_stats"):
+    SQL[_name] = SQL[_name].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @over_facts("fact_importance", edges=True)
@@ -296,7 +305,7 @@ def _importance(f: DataFrame, e: DataFrame) -> DataFrame:
     return graph.importance(few, graph.betweenness(few, inner)).select("block_id", F.round("importance", 6).alias("importance"))
 
 
-# --- texts, pages, conversations -----------------------------------------------------------------------------------
+# texts, pages, conversations
 
 SENTENCE_SQL = "list_filter(list_transform(regexp_extract_all({}, '[^.!?\\n]+[.!?]?'), lambda s: trim(regexp_replace(s, '^\\s+|\\s+$', '', 'g'))), lambda s: s <> '')"
 _MASKED = "coalesce(text, '')"
@@ -332,7 +341,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("fact_id", F.round(T.quality("subject", "object", F.col("subject_type"), 60), 6).alias("quality"), extract.record("chat").alias("record"))
 
 
-@query("html_to_text")
+_BODY = "coalesce(nullif(regexp_extract(html, '(?is)<body(?:\\s[^>]*)?>(.*)</body>', 1), ''), html, '')"
+for _pattern, _to in [("(?is)<script\\b[^>]*>.*?</script>", "' '"), ("(?is)<style\\b[^>]*>.*?</style>", "' '"), ("(?i)</(?:article|blockquote|div|h[1-6]|li|p|section|tr)\\s*>|<br\\s*/?>", "chr(10)"), ("<[^>]+>", "''")]:
+    _BODY = f"regexp_replace({_BODY}, '{_pattern}', {_to}, 'g')"
+for _entity, _sign in [("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("copy", "\xa9"), ("middot", "\xb7"), ("nbsp", "\xa0")]:
+    _BODY = f"replace({_BODY}, '&{_entity};', '{_sign}')"
+_BODY = f"regexp_replace({_BODY}, '&amp;?', '&', 'g')"
+_LINES = "list_filter(list_transform(regexp_split_to_array({}, '[\\n\\r]'), lambda s: regexp_replace(s, '^[\\s\x85\xa0]+|[\\s\x85\xa0]+$', '', 'g')), lambda s: s <> '')"
+
+
+@query("html_to_text", f"SELECT page_id, array_to_string({_LINES.format(_BODY)}, chr(10)) AS text FROM pages")
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", ingest.html_to_text("html").alias("text"))
 
@@ -386,7 +404,7 @@ def _expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.expand_query(F.concat(F.lit("search data "), "p_name")).alias("expanded"))
 
 
-# --- vectors -------------------------------------------------------------------------------------------------------
+# vectors
 
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 _COS = f"round({_DOT} / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)"
@@ -420,7 +438,7 @@ def _hash_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.similar_to(vectors.hash_embedding(rows, "p_partkey", "text", 64), 1, 20, key="p_partkey")
 
 
-# --- events --------------------------------------------------------------------------------------------------------
+# events
 
 
 @query("event_windows", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TIERS = ["UNVERIFIED", "POSSIBLY_TRUE", "LIKELY_TRUE", "VERIFIED"]
+TIERS = "UNVERIFIED POSSIBLY_TRUE LIKELY_TRUE VERIFIED".split()
 FACT = (
     "fact_id string, fact_statement string, category string, tags array<string>, date_recorded timestamp, last_updated timestamp, "
     "reliability_rating string, source_id string, source_title string, author_creator string, publication_date timestamp, "

@@ -22,11 +22,11 @@ def strip(x: Column) -> Column:
 def markdown_to_text(md: str | Column) -> Column:
     """Readable text of Markdown: fences, images, links, headings, quotes, list marks and emphasis go."""
     x = F.coalesce(F.col(md) if isinstance(md, str) else md, F.lit(""))
-    start = r"(?m)^\s{0,3}"
+    start, target, inner = r"(?m)^\s{0,3}", r"\([^)]*\)", r"[^\]]"
     for pattern, to in [
         (r"`{3}[A-Za-z0-9]*\n?", ""),
-        (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+        (rf"!\[({inner}*)\]{target}", "$1"),
+        (rf"\[({inner}+)\]{target}", "$1"),
         (start + r"#{1,6}\s*", ""),
         (start + r">\s?", ""),
         (start + r"[*+-]\s+", ""),
@@ -46,7 +46,7 @@ def unescape(x: pd.Series) -> pd.Series:
 
 def strip_tags(fragment: Column) -> Column:
     """Text of HTML: scripts and styles go, block ends are line ends, empty lines go."""
-    x = F.regexp_replace(fragment, r"(?is)<(style|script)[^>]*>.*?</\1>", " ")
+    x = F.regexp_replace(fragment, r"(?is)<(style|script)\b[^>]*+>.*?</\1>", " ")
     x = F.regexp_replace(x, r"(?i)</(?:article|blockquote|div|h[1-6]|li|p|section|tr)\s*>|<br\s*/?>", "\n")
     return tidy_lines(unescape(F.regexp_replace(x, r"<[^>]+>", "")))
 
@@ -74,7 +74,7 @@ def embedded_body(x: pd.Series) -> pd.Series:
     """The longest ``body_html`` of JSON that a page parses from a string literal; null where there is none."""
 
     def one(page: str | None) -> str | None:
-        m = re.search(r"window\._preloads\s*=\s*JSON\.parse\(\s*", page or "")
+        m = re.search(r"window\._preloads *= *JSON\.parse\( *", page or "")
         if not m:
             return None
         try:
@@ -89,7 +89,7 @@ def embedded_body(x: pd.Series) -> pd.Series:
 def html_to_text(page: str | Column) -> Column:
     """The embedded body where there is one, else the body element, else all."""
     c = F.coalesce(F.col(page) if isinstance(page, str) else page, F.lit(""))
-    body = F.nullif(F.regexp_extract(c, r"(?is)<body[^>]*>(.*)</body>", 1), F.lit(""))
+    body = F.nullif(F.regexp_extract(c, r"(?is)<body(?:\s[^>]*)?>(.*)</body>", 1), F.lit(""))
     return strip_tags(F.coalesce(F.when(F.contains(c, F.lit("window._preloads")), embedded_body(c)), body, c))
 
 

@@ -16,7 +16,7 @@ def one(spark, expr, **values):
 
 
 def jac(a, b):
-    x, y = set(a.lower().split()), set(b.lower().split())
+    x, y = (set(t.lower().split()) for t in (a, b))
     return len(x & y) / len(x | y) if x and y else 0.0
 
 
@@ -24,8 +24,8 @@ def jac(a, b):
     "sentence,triples",
     [
         ("Robert Putnam wrote Bowling Alone.", [("Robert Putnam", "wrote", "Bowling Alone")]),
-        ("Charles Carlsen was President of Johnson County Community College.", [("Charles Carlsen", "president_of", "Johnson County Community College")]),
-        ("Graduation With Civic Honors was published in 2006.", [("Graduation With Civic Honors", "published", "2006")]),
+        ("Ada Byron was President of North County College.", [("Ada Byron", "president_of", "North County College")]),
+        ("Notes With Honors was published in 1843.", [("Notes With Honors", "published", "1843")]),
         ("Civic engagement is a value choice.", [("Civic engagement", "is_a", "value choice")]),
         ("Deborah DeGrate and Chris Engle graduated with civic honors.", [("Deborah DeGrate", "graduated", "civic honors"), ("Chris Engle", "graduated", "civic honors")]),
         ("Marie Curie was born in Warsaw.", [("Marie Curie", "born_in", "Warsaw")]),
@@ -51,8 +51,8 @@ def test_extraction_of_documents(spark):
 
 
 def test_gold_set(spark):
-    gold = [("a", "Robert Putnam", "wrote", "Bowling Alone"), ("b", "Marie Curie", "born_in", "Warsaw"), ("c", "Nels Lindahl", "developed", "program")]
-    found = [("a", "Robert Putnam", "wrote", "Bowling Alone"), ("b", "Marie Curie", "was", "born"), ("c", "Nels Lindahl", "developed", "a civic honors program")]
+    gold = [("a", "Robert Putnam", "wrote", "Bowling Alone"), ("b", "Marie Curie", "born_in", "Warsaw"), ("c", "Ada Byron", "developed", "program")]
+    found = [("a", "Robert Putnam", "wrote", "Bowling Alone"), ("b", "Marie Curie", "was", "born"), ("c", "Ada Byron", "developed", "a civic honors program")]
     kind = "item string, subject string, predicate string, object string"
     row = O.evaluate(spark.createDataFrame(found, kind), spark.createDataFrame(gold, kind)).first()
     assert (row.tp, row.fp, row.fn, row.precision, row.recall, row.f1) == (2, 1, 1, 0.6667, 0.6667, 0.6667)
@@ -93,8 +93,7 @@ def test_scalars(spark):
     assert one(spark, T.safe_name("x"), x="a/b c:é") == "a_b_c_é"
     assert one(spark, T.expand_query("x", 2), x="graph of things") == "graph of things chart network"
     assert one(spark, T.degenerate("s", "o", "d"), s="Chemistry", o="chemistry is", d="x") and one(spark, T.degenerate("s", "o", "d"), s="X", o="y", d="x")
-    weights = {"gpt-4": 3.0, "qwen2.5-0.5b": 0.5, "llama3-8b": 1.5, "whatever": 1.0, "x": 1.0}
-    for m, w in weights.items():
+    for m, w in [("x", 1.0), ("llama3-8b", 1.5), ("whatever", 1.0), ("GPT-4", 3.0), ("qwen2.5-0.5b", 0.5)]:
         assert one(spark, T.model_weight("m"), m=m) == w
     assert one(spark, T.critique("s", "p", "o", "t"), s="It", p="is", o="x", t="It is x.").confidence_score == 0.95
     assert one(spark, T.critique("s", "p", "o", "t"), s="A", p="is", o="is", t="A is is.").is_factual is False
@@ -104,7 +103,7 @@ def test_scalars(spark):
 def test_records(spark):
     row = spark.createDataFrame([("What?", "That.", "Sky", "", "It's \"so\" é.")], "question string, answer string, subject string, category string, fact_statement string")
     got = row.select(*[extract.record(f).alias(f) for f in ("chat", "instruction", "alpaca", "sharegpt", "plain", "text")]).first()
-    assert json.loads(got.chat) == {"messages": [{"role": "user", "content": "What?"}, {"role": "assistant", "content": "That."}]}
+    assert json.loads(got.chat) == {"messages": [dict(role=r, content=c) for r, c in (("user", "What?"), ("assistant", "That."))]}
     assert json.loads(got.alpaca) == {"instruction": "State a verified fact about Sky.", "input": "", "output": "It's \"so\" é."}
     assert json.loads(got.sharegpt)["conversations"][1] == {"from": "gpt", "value": "It's \"so\" é."} and got.text == "- It's \"so\" é."
     bare = row.select(F.lit(None).cast("string").alias("question"), F.lit(None).cast("string").alias("answer"), "subject", "category", "fact_statement").select(extract.record("instruction")).first()[0]
@@ -117,7 +116,8 @@ def test_probes(spark):
     def backend(prompt):
         if prompt == "p2":
             raise RuntimeError("down")
-        return {"facts": [{"subject": "Mitochondria", "predicate": "produce", "object": "ATP", "confidence": 0.95}, {"subject": "Biochemistry", "predicate": "is", "object": "x"}, {"subject": "", "predicate": "is", "object": "x"}]}
+        said = [("Mitochondria", "produce", "ATP", 0.95), ("Biochemistry", "is", "x", None), ("", "is", "x", None)]
+        return {"facts": [dict(zip(("subject", "predicate", "object", "confidence"), s)) for s in said]}
 
     out = extract.probe(prompts, backend, "m1")
     assert out.count() == 2
@@ -170,7 +170,7 @@ def test_lifecycle(spark):
 def test_sft_lines(spark):
     turn = lambda r, c: {"role": r, "content": c}
     good = {"messages": [turn("user", "q"), turn("assistant", "a")], "metadata": {"reliability": "VERIFIED"}}
-    lines = [json.dumps(good), json.dumps({"messages": []}), json.dumps(good | {"metadata": {"reliability": "POSSIBLY_TRUE"}}), "not json at all", json.dumps({"messages": [turn("user", ""), turn("assistant", "a")]}), json.dumps({"messages": [turn("system", "s"), turn("user", "q"), turn("assistant", "a")]}), "  "]
+    lines = [json.dumps(good), json.dumps(dict(messages=[])), json.dumps(good | {"metadata": {"reliability": "POSSIBLY_TRUE"}}), "not json at all", json.dumps({"messages": [turn("user", ""), turn("assistant", "a")]}), json.dumps({"messages": [turn("system", "s"), turn("user", "q"), turn("assistant", "a")]}), "  "]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
     assert [r.problem is None for r in O.prepare_sft(df).collect()].count(True) == 2 and O.prepare_sft(df).count() == 6
     assert O.prepare_sft(df, "LIKELY_TRUE").where("problem IS NULL").count() == 1
