@@ -203,3 +203,66 @@ def probe(prompts: DataFrame, backend, model: str, name: str = "custom") -> Data
     rows = prompts.select("domain", "prompt", "prompt_type").mapInPandas(run, "domain string, prompt string, prompt_type string, said string")
     parsed = F.from_json("said", f"facts {shape.split('facts: ', 1)[1][:-1]}")
     return rows.select(F.lit(model).alias("model"), F.lit(name).alias("backend"), "domain", "prompt", "prompt_type", F.coalesce(parsed, F.from_json(F.lit('{"facts":[]}'), f"facts {shape.split('facts: ', 1)[1][:-1]}")).alias("structured_response"))
+
+
+SUFFIXES = {"ORGANIZATION": "Company|Corp|Foundation|Group|Inc|Institute|LLC|Ltd|Organization|University", "LOCATION": "City|Country|Island|Lake|Mountain|Ocean|River|Sea|State"}
+_MONTHS = "|".join("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split())
+_CORP = r"[A-Z][A-Za-z&]*"
+#: kinds of entity, the first wins where spans meet
+ENTITIES = [
+    ("ORGANIZATION", re.compile(rf"\b(?:{_CORP}\s)+(?:{SUFFIXES['ORGANIZATION']})\b|\b[A-Z]{{2,}}\b")),
+    ("LOCATION", re.compile(rf"\b(?:{NAME} )+(?:{SUFFIXES['LOCATION']})\b")),
+    ("DATE", re.compile(rf"\b\d\d?([/-])\d\d?\1\d{{2,4}}\b|\b\d\d? (?:{_MONTHS})[a-z]* \d{{2,4}}\b")),
+    ("PERSON", re.compile(rf"\b{NAME} {NAME}\b")),
+    ("ENTITY", re.compile(rf"\b{NAME}\b")),
+]
+#: what says each relation
+RELATIONS = {
+    name: re.compile(rf"\b(?:{says})\b", re.I)
+    for name, says in {
+        "acted_in": "appeared in|starred in|performed in|acted in", "born_in": "originated from|(?:was )?born in", "child_of": "is the (?:child|daughter|son) of", "died_in": "passed away in|deceased in|died in",
+        "directed": "managed|oversaw|produced|directed", "discovered": "detected|identified|found|discovered", "founded": "started|created|established|founded", "invented": "developed|designed|created|invented",
+        "located_in": "is (?:located |based |situated )?in", "married_to": "spouse of|wedded|wed|is married to", "owns": "maintains|has|possesses|owns", "parent_of": "is the (?:father|mother|parent) of",
+        "part_of": "is a division of|belongs to|is part of", "works_for": "is a member of|is employed by|works for", "wrote": "penned|composed|authored|wrote",
+    }.items()
+}
+
+
+def entities(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, text, kind) of named entities that don't overlap, in order."""
+    kept: list[tuple[int, int, str, str]] = []
+    for kind, exp in ENTITIES:
+        for m in exp.finditer(text):
+            if all(m.end() <= a or m.start() >= b for a, b, _, _ in kept):
+                kept.append((*m.span(), m[0], kind))
+    return sorted(kept)
+
+
+def pattern_facts(sentence: str) -> Iterator[tuple[str, str, str, str, str]]:
+    """(subject, its kind, predicate, object, its kind): the entities nearest to the words of a relation, or what follows them."""
+    named = entities(sentence)
+    for predicate, exp in RELATIONS.items():
+        for m in exp.finditer(sentence):
+            before, after = [e for e in named if e[1] <= m.start()], [e for e in named if e[0] >= m.end()]
+            obj = after[0][2:] if after else (sentence[m.end() :].strip().rstrip(".!?,;:"), "CONCEPT")
+            if before and obj[0]:
+                yield (*before[-1][2:], predicate, *obj)
+
+
+@F.pandas_udf(TRIPLES)
+def by_patterns(text: pd.Series) -> pd.Series:
+    split = re.compile(r"[^.?!]+[.?!]?")
+    return text.map(lambda t: [(s, sk, p, o, ok, x.strip()) for x in (split.findall(t) if t else []) for s, sk, p, o, ok in pattern_facts(x.strip())])
+
+
+EXTRACTORS["pattern"] = by_patterns
+
+
+def category(subject_type: str = "subject_type", object_type: str = "object_type") -> Column:
+    both = F.array_sort(F.array(subject_type, object_type))
+    is_ = lambda *kinds: both == F.array(*map(F.lit, sorted(kinds)))
+    return F.when(is_("PERSON", "ORGANIZATION"), "Employment").when(is_("PERSON", "LOCATION"), "Location").when(is_("ORGANIZATION", "LOCATION"), "Business").otherwise("General")
+
+
+def tags() -> Column:
+    return F.array_distinct(F.array(F.lower("subject_type"), F.lower("object_type"), F.col("predicate")))
