@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -78,6 +81,31 @@ def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once a session, unless they find it where the driver's environment says."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {os.getcwd()}
+    if root in known or spark.sparkContext.applicationId in _shipped:
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "factloom")):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, root))
+    path = fresh_path(spark, "code") + ".zip"
+    _made.append(path)
+    fs, where = pafs.FileSystem.from_uri(path)
+    fs.create_dir(os.path.dirname(where), recursive=True)
+    with fs.open_output_stream(where) as f:
+        f.write(data.getvalue())
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(spark.sparkContext.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def drop_path(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more."""
     for path in paths:
