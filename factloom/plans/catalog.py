@@ -300,9 +300,7 @@ for _name in ("components", "graph_stats"):
 
 @over_facts("fact_importance", edges=True)
 def _importance(f: DataFrame, e: DataFrame) -> DataFrame:
-    few = f.where("category = 'Geography'")
-    inner = e.join(few.select(F.col("block_id").alias("src")), "src").join(few.select(F.col("block_id").alias("dst")), "dst")
-    return graph.importance(few, graph.betweenness(few, inner)).select("block_id", F.round("importance", 6).alias("importance"))
+    return graph.importance(f, graph.betweenness(f, e)).select("block_id", F.round("importance", 6).alias("importance"))
 
 
 # texts, pages, conversations

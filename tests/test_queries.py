@@ -42,3 +42,16 @@ def test_sql_agrees(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_others_give_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_importance_is_of_all_facts(spark):
+    from factloom.operators import graph
+    from factloom.plans.views import facts
+
+    f = facts(spark, SF)
+    got = {r.block_id: r.importance for r in catalog.QUERIES["fact_importance"](spark, SF).collect()}
+    assert set(got) == {r.block_id for r in f.select("block_id").collect()}
+    # paths that start at suppliers pass through their nations
+    whole = {r.block_id: r.centrality for r in graph.betweenness(f, graph.link(f)).collect()}
+    base = {r.block_id: 2 * {"VERIFIED": 4, "LIKELY_TRUE": 3, "POSSIBLY_TRUE": 2}.get(r.reliability_rating, 1) + 0.5 * r.usage_count for r in f.collect()}
+    assert all(abs(got[k] - base[k] - 30 * whole[k]) < 1e-5 for k in got) and sum(whole.values()) > 0
