@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from factloom.session import drop_path, stage_table
 
-K, FACTOR, SHARD_ROWS, GROUP_ROWS, PIVOTS, LEAF = 10, 5.0, 8192, 16_384, 256, 128
+K, FACTOR, SHARD_ROWS, GROUP_ROWS, PIVOTS, LEAF = 10, 2.0, 8192, 16_384, 256, 128
 SLACK = 2e-6  # what rounding may add to a distance
 
 

@@ -52,6 +52,31 @@ def test_recall_of_the_default(spark):
     assert recall >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["flat4", "flat8", "flat16", "clusters", "long8"])
+def test_recall_of_the_default_on_structure(kind):
+    rng = np.random.default_rng(8)
+    n = 4096
+    if kind == "clusters":
+        x = rng.normal(size=(40, 64))[rng.integers(0, 40, n)] + rng.normal(size=(n, 64)) * 0.1
+    else:
+        d = int(kind.strip("flatong"))
+        x = rng.normal(size=(n, d)) @ rng.normal(size=(d, 64))
+    if kind != "long8":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = V.Tree(np.arange(n), x)
+    got = tree.search(tree.ids, tree.x, V.K, V.FACTOR)[1]
+    want = tree.search(tree.ids, tree.x, V.K, 1.0)[1]
+    assert np.mean([len({*a} & {*b}) / V.K for a, b in zip(got, want)]) >= 0.95
+
+
+def test_recall_of_the_default_over_shards(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1200, 4)) @ rng.normal(size=(4, 32))
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got, want = result(V.nearest(df, shard_rows=150).collect()), brute(np.arange(1200), x, V.K)
+    assert np.mean([len({n for n, _ in got[i]} & {n for n, _ in want[i]}) / V.K for i in want]) >= 0.95
+
+
 def test_defined_results(spark):
     schema = "vec_id long, embedding array<double>"
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [1.0, 1.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1.0]), (6, [0.0, 1.0]), (7, [float("inf"), 0.0]), (8, [None, 1.0]), (9, [])]
