@@ -1,9 +1,10 @@
 """Personal identifiers by bootstrapped contextual extraction.
 
-Candidates are the spans of a text that could be identifiers at all: white-space separated tokens with a digit or an
-at sign, and runs of them that read as one number. Each occurrence of a candidate has *patterns*: its shape (character
-classes and run lengths, with any literal key before ``=`` or ``:``), its coarse shape after the word before it, and its coarse
-shape before the word after it. Seed entities (a strict expression for each kind) give the first instances. Patterns
+Candidates are the spans of a text that could be identifiers at all: seeds wherever they stand in a token, tokens with
+a digit or an at sign, and runs that read as one number. A key
+stays with its value only if it is a secret's; else it is the value's left neighbour. Each occurrence of a candidate has
+*patterns*: its shape (character classes and run lengths, also with its key), its coarse shape after the word before it,
+and its coarse shape before the word after it. Seed entities (a strict expression for each kind) give the first instances. Patterns
 and instances form a bipartite graph that is scored in rounds, in Spark:
 
 * a pattern's confidence for a kind is the share of its distinct instances that are known to be of that kind,
@@ -42,11 +43,23 @@ SEEDS = {
     "card": r"(?:\d{4}[ -]?){3}\d{4}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?",
     "ssn": r"\d{3}-\d{2}-\d{4}",
-    "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?i:password|passwd|pwd|token|secret|api_?key)\s*[=:]\s*[\"']?[^\s\"']{8,}[\"']?",
+    "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?i:password|passwd|pwd|token|secret|api_?key)[\"']?\s*[=:]\s*[\"']?[^\s\"']{8,}[\"']?",
 }
 _SEED = {k: re.compile(v) for k, v in SEEDS.items()}
-#: runs of tokens that read as one identifier: a key with its value, or groups of digits
-JOINED = re.compile(r"[A-Za-z_]\w*[ \t]*[=:][ \t]*(?:\"[^\s\"]+\"|'[^\s']+'|[^\s\"'<>]+)|\+?\(?\d[\d().-]*(?:[ .-]\(?\d[\d().-]*)+|\S+")
+#: what is cut out of a stretch before anything else: keyed secrets and their like (an e-mail address by its at sign)
+SECRET = re.compile(rf"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![A-Za-z0-9])|{SEEDS['secret'].split('|', 2)[2]}")
+AT = re.compile(r"@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?!\w)")
+#: the other seeds within a token
+INNER = {k: re.compile(f"(?<!{no}){SEEDS[k]}(?!{end})") for k, no, end in (("ip", r"[\w.]", r"\w|\.\d"), ("phone", r"[\w+]", r"\w"), ("card", r"\w", r"\w"), ("iban", r"\w", r"\w"), ("ssn", r"[\w-]", r"[\w-]"))}
+#: a key before its value; a secret's key stays with a value of any form
+KEY = re.compile(r"[^\s=:@\d][^\s=:@]{0,63}[ \t]*[=:][ \t]*(?!//)")
+SECRET_KEY = re.compile(r"(?i:password|passwd|pwd|token|secret|api_?key)[\"']?[ \t]*[=:][ \t]*$")
+VALUE = re.compile(r"\"[^\s\"]+\"|'[^\s']+'|[^\s\"'<>]+")
+#: runs of tokens that read as one identifier: groups of digits, an IBAN's groups
+DIGITS = re.compile(r"\+?\(?\d[\d().-]*(?:[ .-]\(?\d[\d().-]*)+")
+GROUPS = re.compile(r"[A-Z]{2}\d{2}(?: [A-Z0-9]{1,4}(?!\w))+")
+TOKEN = re.compile(r"\S+")
+OPEN, CLOSE = "\"'(<[{", "\"')>]},.;:!?|*#$%&"
 MARK = np.zeros(256, bool)
 MARK[[*range(48, 58), 64]] = True
 SPACE = np.zeros(256, bool)
@@ -97,11 +110,13 @@ def coarse(text: str) -> str:
 def patterns(text: str, left: str, right: str) -> list[tuple[str, str]]:
     """(type, pattern) of one occurrence. Beginnings of fixed letters are a pattern of their own."""
     out = [("shape", shape(text))]
+    if left.endswith(("=", ":")):
+        out.append(("shape", left.lower() + shape(text)))
     if len(left) > 1:
         out.append(("left", f"{left.lower()}_{coarse(text)}"))
     if len(right) > 1:
         out.append(("right", f"{coarse(text)}_{right.lower()}"))
-    if re.match(r"[A-Z]{3,}[A-Z0-9]{8,}$", text):
+    if re.fullmatch(r"[A-Z]{3}[A-Z0-9]{8,}", text):
         out.append(("start", f"{text[:4]}{len(text)}"))
     return out
 
@@ -110,7 +125,7 @@ def pieces(run: str) -> Iterator[tuple[int, int]]:
     """Where to cut a run of digit groups: into as many tokens of whole seeds as can be, by dynamic programming, and
     what lies between those. A run that is a seed, or holds none, is one piece."""
     tokens = [m.span() for m in re.finditer(r"\S+", run)]
-    if len(tokens) < 2 or not re.match(r"[+(\d]", run) or seed_kind(trimmed(run)):
+    if len(tokens) < 2 or not re.match(r"[+(\d]|[A-Z]{2}\d{2}", run) or seed_kind(trimmed(run)):
         yield 0, len(run)
         return
     # best[i]: (tokens in seeds, fewer pieces) of the first i tokens, and the last piece's length in tokens (0: no seed)
@@ -143,24 +158,103 @@ def trimmed(s: str) -> str:
     return s.rstrip("\"')>]},.;:!?|*#$%&").lstrip("\"'<[{")
 
 
+def strict(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Keyed secrets and e-mail addresses, wherever they stand."""
+    found = []
+    for m in SECRET.finditer(text, a, b):
+        x, y = m.span()
+        end = x + len(m[0].rstrip(CLOSE))
+        if y > end and not (text[y - 1] in "\"'" and re.search(r"[=:]\s*[\"']", m[0])) and seed_kind(text[x:end]):
+            y = end
+        found.append((x, y))
+    done = a
+    for m in AT.finditer(text, a, b):
+        x = m.start()
+        while x > done and (text[x - 1].isalnum() or text[x - 1] in "_.+-"):
+            x -= 1
+        while x < m.start() and not (text[x].isascii() and text[x].isalnum()):
+            x += 1
+        done = m.end()
+        if x < m.start():
+            found.append((x, done))
+    found.sort()
+    out: list[tuple[int, int]] = []
+    for x, y in found:
+        if not out or x >= out[-1][1]:
+            out.append((x, y))
+    return out
+
+
+def inner(s: str) -> list[tuple[int, int]]:
+    """Whole seeds within a token, from the left, of several the longest."""
+    found = sorted((m.start(), -m.end()) for kind, exp in INNER.items() for m in exp.finditer(s) if kind != "card" or luhn(re.sub(r"\D", "", m[0])))
+    out: list[tuple[int, int]] = []
+    for x, y in found:
+        if not out or x >= out[-1][1]:
+            out.append((x, -y))
+    return out
+
+
+def loose(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Candidates between the strict ones: values without their keys, runs of groups cut into seeds, single tokens."""
+    at, keyed = a, False
+    while at < b:
+        if text[at].isspace():
+            at, keyed = at + 1, False
+            continue
+        if text[at] in "\"'<[{":
+            at += 1
+            continue
+        key = KEY.match(text, at, b)
+        if key:
+            secret, run = SECRET_KEY.search(key[0]), DIGITS.match(text, key.end(), b)
+            value = None if not secret or run and " " in run[0] else VALUE.match(text, key.end(), b)
+            if value:
+                yield from parts(text, at + secret.start(), value.end(), True)
+                at = value.end()
+            else:
+                yield from parts(text, at, at + len(key[0].rstrip(" \t=:")), False)
+                at, keyed = key.end(), True
+            continue
+        run = DIGITS.match(text, at, b) or GROUPS.match(text, at, b)
+        if run and not run[0][0].isdigit() and run[0][0] not in "+(" and not any(seed_kind(trimmed(run[0][p:q])) for p, q in pieces(run[0])):
+            run = None
+        run = run or TOKEN.match(text, at, b)
+        for p, q in pieces(run[0]):
+            yield from parts(text, at + p, at + q, keyed)
+        at, keyed = run.end(), False
+
+
+def parts(text: str, x: int, y: int, keyed: bool) -> Iterator[tuple[int, int]]:
+    """A span without what encloses it; where it is no seed but holds some, those and what lies between."""
+    s = text[x:y]
+    lead = len(s) - len(s.lstrip(OPEN)) if not s.startswith("(") or ")" not in s else 0
+    tail = len(s) if s[-1:] in ("'", '"') and re.search(r"[=:][ \t]*[\"']", s) else len(s.rstrip(CLOSE))
+    if not MIN_LENGTH <= tail - lead <= LONGEST:
+        return
+    x, y, s = x + lead, x + tail, s[lead:tail]
+    found = [] if seed_kind(s) else inner(s)
+    if found:
+        at = 0
+        for p, q in [*found, (len(s), len(s))]:
+            yield from parts(text, x + at, x + p, False)
+            if p < q:
+                yield x + p, x + q
+            at = q
+    elif re.search(r"[\d@]", s):
+        yield x, y
+
+
 def candidates(text: str, marked: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, str]]:
     """Start, end, word before and word after of each candidate; ``marked`` are spans of marked tokens and those near them."""
     for a, b in marked:
-        for m in JOINED.finditer(text, a, b):
-            for p, q in pieces(m[0]):
-                s = m[0][p:q]
-                if len(s) < MIN_LENGTH or not re.search(r"[\d@]", s):
-                    continue
-                lead = re.match(r"[\"'(<\[{]*", s).end() if not s.startswith("(") or ")" not in s else 0
-                tail = re.search(r"[\"')>\]},.;:!?|*#$%&]*$", s).start()
-                if re.search(r"[=:][ \t]*[\"']", s) and s[-1] in "\"'":
-                    tail = len(s)
-                if tail - lead < MIN_LENGTH or tail - lead > LONGEST:
-                    continue
-                x, y = m.start() + p + lead, m.start() + p + tail
-                before = re.search(r"(\S+)\s*$", text[max(0, x - 40) : x])
+        at = a
+        for p, q in [*strict(text, a, b), (b, b)]:
+            for x, y in [*loose(text, at, p), *([(p, q)] if MIN_LENGTH <= q - p <= LONGEST else [])]:
+                before = re.search(r"([^\s\"'(<\[{]\S*?)[\"'(<\[{]*\s*$", text[max(0, x - 40) : x])
                 after = re.match(r"\W*(\S+)", text[y : y + 40])
                 yield x, y, before[1] if before else "", after[1] if after else ""
+            at = q
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +274,8 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = np.searchsorted(o, at, "right") - 1
             for r in np.unique(doc):
                 lo, hi = int(o[r]), int(o[r + 1])
-                gaps = np.concatenate([[lo - 1], lo + np.flatnonzero(SPACE[x[lo:hi]]), [hi]])
+                space = SPACE[x[lo:hi]]
+                gaps = np.concatenate([[lo - 1], lo + np.flatnonzero(space & ~np.append(space[1:], False)), [hi]])  # the last of several
                 k = np.unique(np.searchsorted(gaps, at[doc == r], "right") - 1)
                 cut = np.flatnonzero(np.diff(k) > 2 * REACH)
                 begin, end = k[np.concatenate([[0], cut + 1])], k[np.concatenate([cut, [len(k) - 1]])]

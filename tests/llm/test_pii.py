@@ -14,6 +14,27 @@ def test_runs_are_cut_into_seeds():
     assert P.seed_kind("4111 1111 1111 1111") == "card" and P.seed_kind("4111111111111112") is None
 
 
+def found(spark, text):
+    return {r.entity: r.kind for r in P.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect() if r.seeded}
+
+
+def test_seeds_with_their_keys(spark):
+    for text, want in (
+        ("Email: a@b.com ok", {"a@b.com": "email"}),
+        ("ip=10.1.2.3 ok", {"10.1.2.3": "ip"}),
+        ("SSN: 123-45-6789, ok", {"123-45-6789": "ssn"}),
+        ("Phone: +1 (212) 555-1000 ok", {"+1 (212) 555-1000": "phone"}),
+        ("Phone/Fax:+1 (212) 555-1000.", {"+1 (212) 555-1000": "phone"}),
+        ("IBAN: GB82 WEST 1234 5698 7654 32 is", {"GB82 WEST 1234 5698 7654 32": "iban"}),
+        ("Card: 4111 1111 1111 1111", {"4111 1111 1111 1111": "card"}),
+        ('{"email":"a@b.com","ip":"10.1.2.3","phone":"+1 (212) 555-1000"}', {"a@b.com": "email", "10.1.2.3": "ip", "+1 (212) 555-1000": "phone"}),
+        ("a@b.com,c@d.com", {"a@b.com": "email", "c@d.com": "email"}),
+        ('<a href="mailto:a@b.com">', {"a@b.com": "email"}),
+        ("see http://10.1.2.3:8080/x", {"10.1.2.3": "ip"}),
+    ):
+        assert found(spark, text) == want, text
+
+
 def test_pieces_equal_brute_force():
     def cover(tokens):  # most tokens in seeds, by trying all partitions
         best = 0
