@@ -1,7 +1,7 @@
 """Personal identifiers by bootstrapped contextual extraction.
 
 Candidates are the spans of a text that could be identifiers at all: seeds wherever they stand in a token, tokens with
-a digit or an at sign, and runs that read as one number. A key
+a digit or an at sign, values after ``=`` or ``:``, long capitals and hexadecimals, and runs that read as one number. A key
 stays with its value only if it is a secret's; else it is the value's left neighbour. Each occurrence of a candidate has
 *patterns*: its shape (character classes and run lengths, also with its key), its coarse shape after the word before it,
 and its coarse shape before the word after it. Seed entities (a strict expression for each kind) give the first instances. Patterns
@@ -61,7 +61,10 @@ GROUPS = re.compile(r"[A-Z]{2}\d{2}(?: [A-Z0-9]{1,4}(?!\w))+")
 TOKEN = re.compile(r"\S+")
 OPEN, CLOSE = "\"'(<[{", "\"')>]},.;:!?|*#$%&"
 MARK = np.zeros(256, bool)
-MARK[[*range(48, 58), 64]] = True
+MARK[[*range(48, 59), 61, 64]] = True
+#: letters alone that may be an identifier: the beginnings of fixed letters, hexadecimals
+LETTERS = re.compile(r"[A-Z]{11,}|[a-f]{8,}")
+BYTES = re.compile(LETTERS.pattern.encode())
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 REACH = 2  # neighbouring tokens read with a marked one
@@ -241,7 +244,7 @@ def parts(text: str, x: int, y: int, keyed: bool) -> Iterator[tuple[int, int]]:
             if p < q:
                 yield x + p, x + q
             at = q
-    elif re.search(r"[\d@]", s):
+    elif keyed or re.search(r"[\d@]", s) or LETTERS.search(s):
         yield x, y
 
 
@@ -267,7 +270,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).to_pylist()
         for a, b in blocks(offs):
             x, o = raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
-            at = np.flatnonzero(MARK[x])
+            at = np.union1d(np.flatnonzero(MARK[x]), np.array([m.start() for m in BYTES.finditer(x.tobytes())], np.int64))
             if not len(at):
                 continue
             rows: list[list] = [[] for _ in names]
