@@ -34,7 +34,7 @@ from factloom.llm.blocks import blocks, text_buffer
 from factloom.session import drop_path, stage_table
 
 ROUNDS, ACCEPT, ALLOWANCE = 4, 0.8, 0.5
-MIN_LENGTH, LONGEST = 6, 200  # characters of an identifier
+MIN_LENGTH = 6  # characters of an identifier
 SEED_TOKENS = 9  # white-space separated groups that a seed may have: an IBAN's
 SEEDS = {
     "email": r"[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
@@ -233,7 +233,7 @@ def parts(text: str, x: int, y: int, keyed: bool) -> Iterator[tuple[int, int]]:
     s = text[x:y]
     lead = len(s) - len(s.lstrip(OPEN)) if not s.startswith("(") or ")" not in s else 0
     tail = len(s) if s[-1:] in ("'", '"') and re.search(r"[=:][ \t]*[\"']", s) else len(s.rstrip(CLOSE))
-    if not MIN_LENGTH <= tail - lead <= LONGEST:
+    if tail - lead < MIN_LENGTH:
         return
     x, y, s = x + lead, x + tail, s[lead:tail]
     found = [] if seed_kind(s) else inner(s)
@@ -253,7 +253,7 @@ def candidates(text: str, marked: list[tuple[int, int]]) -> Iterator[tuple[int,
     for a, b in marked:
         at = a
         for p, q in [*strict(text, a, b), (b, b)]:
-            for x, y in [*loose(text, at, p), *([(p, q)] if MIN_LENGTH <= q - p <= LONGEST else [])]:
+            for x, y in [*loose(text, at, p), *([(p, q)] if q - p >= MIN_LENGTH else [])]:
                 before = re.search(r"([^\s\"'(<\[{]\S*?)[\"'(<\[{]*\s*$", text[max(0, x - 40) : x])
                 after = re.match(r"\W*(\S+)", text[y : y + 40])
                 yield x, y, before[1] if before else "", after[1] if after else ""

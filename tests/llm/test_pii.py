@@ -42,6 +42,14 @@ def test_seeds_with_their_keys(spark):
         assert found(spark, text) == want, text
 
 
+def test_long_secrets(spark):
+    key = "eyJhbGciOi" + "aB3-_x" * 60
+    assert found(spark, f'the token = "{key}" ends') == {f'token = "{key}"': "secret"}
+    assert spans(f"id {key} ends") == [key]
+    for c in ("A", "a.", "1", ".", "1.", "a:", "a-", "@", "A1-", "1 "):  # in proportion to its length
+        assert sum(1 for _ in P.candidates(c * 100_000 + "-", [(0, len(c) * 100_000 + 1)])) >= 0
+
+
 def test_pieces_equal_brute_force():
     def cover(tokens):  # most tokens in seeds, by trying all partitions
         best = 0
