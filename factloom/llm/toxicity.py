@@ -4,8 +4,8 @@ A toxic writer's word passes a channel that swaps letters for look-alikes, space
 was meant is read back by Viterbi search over a character lattice: each sign offers the letters it may stand for (with
 a channel cost), a run of a letter offers one, two or all of them, spaced letters are offered joined; a character trigram
 language model, counted over the whole corpus, scores the paths. Signs that can only stand for themselves leave
-nothing to search, so lattices are built only where a text holds look-alikes among letters, runs of three, or spaced
-single letters, and each distinct one is decoded once a task.
+nothing to search, so lattices are built only for words with a look-alike anywhere, a letter doubled, or three single
+letters with any separators, and each distinct one is read once a task. Numbers of digits alone are left as numbers.
 
 Restored words are scored by a lexicon learned from labelled documents: for each word, and each beginning that several
 words share, in how many distinct contexts (left neighbours) it stands in toxic and in clean documents, so that copies
@@ -21,7 +21,7 @@ columns are ignored by :func:`score` and kept by :func:`reject`.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +43,12 @@ _ALPHABET = "\0abcdefghijklmnopqrstuvwxyzßàáâäãåæçèéêëìíîïñò
 SYMBOLS = len(_ALPHABET) + 1  # one for every other letter
 INDEX = {c: i for i, c in enumerate(_ALPHABET)}
 _S = re.escape(SIGNS)
-#: a look-alike before a letter in a word (of 256 signs at most); a letter three times; single letters with separators
-SUSPECT = re.compile(rf"(?<![\w{_S}])(?=[{_S}]*\w)(?=[^\W\d_]*[{_S}]+[^\W\d_])[\w{_S}]{{3,256}}(?!\w)|\b(?=\w*?([^\W\d_])\1\1)\w{{4,256}}\b|(?<!\w)(?:[\w{_S}][ .\-_*~]{{1,2}}){{3,}}[\w{_S}](?!\w)")
+_SEP = rf"(?:[^\w{_S}]|[_*])+"
+_ONE = rf"[^\W_{_S}]|[{_S.replace(re.escape('*'), '')}]"
+SPACED = re.compile(rf"(?:(?:{_ONE}){_SEP}){{2,}}(?:{_ONE})")
+#: a word with a look-alike anywhere that isn't a number; a letter twice; three single signs with any separators
+SUSPECT = re.compile(rf"(?<![\w{_S}])(?!\d+(?![\w{_S}]))(?=[^{_S}\W]*[{_S}])[\w{_S}]{{3,}}|\b(?=\w*?([^\W\d_])\1)\w{{4,}}\b|(?<!\w){SPACED.pattern}(?!\w)")
+PLACES = 256  # of a lattice that Viterbi reads; beyond them neither lexicon words nor beginnings reach
 #: bytes that may begin one: a quick test of whole texts
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -63,32 +67,25 @@ def suspicious(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return rows
     low, letter, sign = CASE[raw], LETTER[raw], SIGN[raw]
     hit = np.zeros(len(raw), bool)
-    hit[:-1] |= sign[:-1] & letter[1:]
-    for c in (c.encode() for c in SIGNS if ord(c) >= 128):
-        found = letter[len(c) :].copy()
-        for k, byte in enumerate(c):
-            found &= raw[k : len(raw) - len(c) + k] == byte
-        hit[: len(found)] |= found
-    hit[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
-    for n in (2, 3, 4):  # a character of n bytes three times
+    other = letter | sign | (raw == 95)
+    hit[:-1] |= (sign[:-1] & other[1:]) | (other[:-1] & sign[1:]) | (letter[:-1] & (low[:-1] == low[1:]))
+    for n in (2, 3, 4):  # a character of n bytes twice
         same = np.concatenate([raw[:-n] == raw[n:], np.zeros(n, bool)])
         run = same.copy()
-        for k in range(1, 2 * n):
+        for k in range(1, n):
             run[:-k] &= same[k:]
             run[-k:] = False
         hit |= run & (raw >= 0xC0)
-    # a letter, digit or sign alone between others, of a longer character the last byte; signs end letters and digits
-    alone = letter | sign
+    # three letters, digits or signs that stand alone, as far as bytes tell
+    plain = (letter | DIGIT[raw]) & (raw < 0x80)
     after, before = np.ones(len(raw), bool), np.ones(len(raw), bool)
-    plain = letter | DIGIT[raw]
-    after[:-1] = np.where(plain[:-1], ~plain[1:], ~alone[1:])
-    before[1:] = np.where(plain[1:], ~plain[:-1], ~alone[:-1]) | (raw[:-1] >= 0x80)
-    single = alone & after & before
-    single |= raw == 95
-    at = np.flatnonzero(single)
-    if len(at) > 3:
-        near = np.flatnonzero(at[3:] - at[:-3] <= 20)
-        hit[at[near]] = True
+    after[:-1], before[1:] = ~plain[1:], ~plain[:-1]
+    single = (plain & after & before) | (sign & ~plain)
+    high = raw >= 0xC0
+    at = np.flatnonzero(single | high)
+    if len(at) > 2:
+        row = np.searchsorted(offsets, at, "right") - 1
+        hit[at[2:][row[2:] == row[:-2]]] = True
     found = np.flatnonzero(hit)
     rows[np.unique(np.searchsorted(offsets, found, "right") - 1)] = True
     return rows
@@ -137,13 +134,62 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def readings(token: str, model: Model, known: set[str]) -> list[str]:
+def trie(words: Iterable[str]) -> dict:
+    """Words by their letters; the whole word stands under the empty string."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = w
+    return root
+
+
+def reached(options: list[list[tuple[str, float]]], root: dict, within: bool = False, begins: bool = False) -> set[str]:
+    """The words of a trie that some path of the lattice is, has in it (``within``) or begins with (``begins``)."""
+    found: set[str] = set()
+    nodes = {id(root): root}
+    for choice in options:
+        if within:
+            nodes[id(root)] = root
+        after: dict[int, dict] = {}
+        for node in nodes.values():
+            for piece, _ in choice:
+                n = node
+                for c in piece:
+                    n = n.get(c)
+                    if n is None:
+                        break
+                    if begins and "" in n:
+                        found.add(n[""])
+                if n is not None:
+                    after[id(n)] = n
+        nodes = after
+        if within:
+            found |= {n[""] for n in nodes.values() if "" in n}
+        elif not nodes:
+            break
+    return found if within or begins else {n[""] for n in nodes.values() if "" in n}
+
+
+def readings(token: str, model: Model, known: set[str] | dict, stems: dict | None = None) -> list[str]:
     """The words that a suspicious span is restored to: the lexicon words that a path spells (of spaced letters, holds),
-    else its best path."""
-    spaced = re.search(r"\w[ .\-_*~]{1,2}[\w" + _S + r"](?!\w)", token)
-    options = lattice(re.sub(r"[ .\-_~]", "", token) if spaced else token)
-    spelled = {w for w in known if (holds if spaced else spells)(w, options)}
-    return sorted(spelled) or [model.decode(options)[0]]
+    else its best path. A word that only doubles letters is read otherwise than written where the language model
+    prefers that. Where the beginnings that count are given (``stems``), no path is sought that can't have one."""
+    token = token.lower()
+    root = known if isinstance(known, dict) else trie(known)
+    spaced = SPACED.fullmatch(token)
+    options = lattice(re.sub(rf"[^\w{_S}]|_", "", token) if spaced else token)
+    spelled = reached(options, root, within=bool(spaced))
+    signs = any(c in LOOKALIKES for c in token)
+    if spelled and not spaced and not signs and not re.search(r"(.)\1\1", token):
+        literal = model.decode([[(token, 0.0)]])[1]
+        spelled = {w for w in spelled if model.decode([[(w, (len(token) - len(w)) * REPEAT)]])[1] >= literal}
+    if spelled:
+        return sorted(spelled)
+    if not any(c.isalpha() for c in token) or stems is not None and not reached(options, stems, begins=True):
+        return [token]
+    return [model.decode(options[:PLACES])[0]]
 
 
 def spells(word: str, options: list[list[tuple[str, float]]]) -> bool:
@@ -284,12 +330,11 @@ def score(docs: DataFrame, lexicon: dict[str, float], trigrams: np.ndarray) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, counts = shared.value
         model, known = Model(counts), Lexicon(lexicon)
-        spelled = set(known.words)
+        words, stems = trie(known.words), trie(known.stems)
         cache: dict[str, list[tuple[np.uint64, float]]] = {}
         for batch in batches:
-            texts = batch.column(1)
-            raw, offs = text_buffer(batch.column(2))
-            plain, plain_offs = text_buffer(texts)
+            texts = batch.column(1)  # in lower case
+            raw, offs = text_buffer(texts)
             for a, b in blocks(offs):
                 x, o = raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
                 starts, stops, row = spans(x, o)
@@ -297,14 +342,14 @@ def score(docs: DataFrame, lexicon: dict[str, float], trigrams: np.ndarray) -> D
                 hit = np.flatnonzero(logs)
                 rows, hashes, values = [row[hit]], [whole[hit]], [logs[hit]]
                 restored = np.zeros(b - a, np.int32)
-                for i in np.flatnonzero(suspicious(plain[plain_offs[a] : plain_offs[b]], plain_offs[a : b + 1] - plain_offs[a])) if lexicon else ():
+                for i in np.flatnonzero(suspicious(x, o)) if lexicon else ():
                     for m in SUSPECT.finditer(texts[a + int(i)].as_py()):
-                        token = m[0].lower()
+                        token = m[0]
                         meant = cache.get(token)
                         if meant is None:
                             if len(cache) > 200_000:
                                 cache.clear()
-                            found = [w for w in readings(token, model, spelled) if w != token and known.of(w) < 0]
+                            found = [w for w in readings(token, model, words, stems) if w != token and known.of(w) < 0]
                             meant = cache[token] = list(zip(hash_words(found), map(known.of, found))) if found else []
                         for h, value in meant:
                             restored[i] += 1
@@ -321,7 +366,7 @@ def score(docs: DataFrame, lexicon: dict[str, float], trigrams: np.ndarray) -> D
                 )
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.lower(text).alias("low")).mapInArrow(run, "doc_id long, score double, toxic int, n_words int, n_restored int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text).alias("low")).mapInArrow(run, "doc_id long, score double, toxic int, n_words int, n_restored int")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:

@@ -40,6 +40,27 @@ def test_disguises_are_read(model):
     assert X.restore("the table stands", model, known) == "the table stands"
 
 
+def test_rarer_disguises_are_read(model):
+    known = {"stupid", "idiot", "toxic", "sot"}
+    disguised = ["idio7", "toxi(", "70x1(", "stuupid", "iidiot", "s o t", "s t u p i d", "s/t/u/p/i/d", "s   t   u   p   i   d", "s, t, u, p, i, d", "5|0|t", "(s/0/7)"]
+    disguised += ["s" + "*" * 300 + "tupid", "stu" + "u" * 300 + "pid", "st" + "u" * 40 + "p1d" * 1]
+    for text in disguised:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert X.suspicious(raw, np.array([0, len(raw)]))[0], text
+        assert set(X.restore(text, model, known).lower().replace(")", " ").replace("(", " ").split()) & known, text
+    assert X.restore("the pool stands at 2024", model, known | {"pol"}) == "the pool stands at 2024"
+    for c in ("a", "1", "*", "a ", "*a", "_", "aa", "1!", "a*", "é ", "ab1"):  # in proportion to its length
+        X.restore(c * 50_000 + "%", model, known)
+
+
+def test_trie_equals_enumeration(model):
+    words = {"as", "ass", "is", "sot", "stupid", "hello"}
+    for token in ("a55", "1s", "s0t", "5tup1d", "hel1o", "xa55y", "*$$"):
+        options = X.lattice(token)
+        assert X.reached(options, X.trie(words)) == {w for w in words if X.spells(w, options)}
+        assert X.reached(options, X.trie(words), within=True) == {w for w in words if X.holds(w, options)}
+
+
 def test_quick_test_misses_no_match():
     rng = np.random.default_rng(2)
     signs = list("abcdé5@$1!. -_~*xX\n€") + ["ooo", "s t u p", "ß"]
