@@ -105,6 +105,9 @@ def agree_exact(claims: DataFrame) -> DataFrame:
     return per.select("subject", "predicate", "object", "agreement", F.array_join("m", ",").alias("source_models"), T.agreement_tier(F.col("agreement")).alias("reliability_rating"), T.weighted_tier(weight).alias("weighted_rating"))
 
 
+GRAM = 6
+
+
 def _clean(x: str | Column) -> Column:
     return F.regexp_replace(F.lower(x), r"(?U)[^\p{Alnum}]", "")
 
@@ -112,12 +115,27 @@ def _clean(x: str | Column) -> Column:
 def resolve_entities(facts: DataFrame, threshold: float = 0.85, limit_to: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(``entity, canonical`` for every entity that has another name, the facts rewritten and merged).
 
-    Names that share a word beginning of one or two letters are compared: word Jaccard, or 1 where one's letters are
-    contained in the other's. Longest names lead. Of facts that become one, the most agreed and best rated stays."""
+    Names with words of the same first letter are alike by word Jaccard, or where one's letters are contained in the
+    other's; both are found by index (prefix filter, rarest run of letters), exactly. Longest names lead. Of facts that become one, the most agreed and best rated stays."""
     entities = facts.select(F.trim("subject").alias("e")).union(facts.select(F.trim("object"))).where("e <> ''").distinct()
-    keys = F.array_distinct(F.flatten(F.transform(T.words("e"), lambda w: F.array(F.substring(_clean(w), 1, 1), F.substring(_clean(w), 1, 2)))))
-    blocked = entities.select("e", F.explode(F.filter(keys, lambda k: k != "")).alias("k"))
-    pairs = blocked.toDF("a", "k").join(blocked.toDF("b", "k"), "k").where("a < b").select("a", "b").distinct()
+    # a word's first letter or digit; names without a common one are not compared
+    firsts = F.filter(F.array_distinct(F.transform(T.words("e"), lambda w: F.substring(_clean(w), 1, 1))), lambda k: k != "")
+    named, named_at = stage_table(entities.select("e", _clean("e").alias("c"), firsts.alias("k")).where("size(k) > 0"), "names")
+    # contained letters: the rarest of a name's runs of GRAM letters (all of a shorter one) is among the other's runs
+    sizes = [r["n"] for r in named.select(F.least(F.length("c"), F.lit(GRAM)).alias("n")).distinct().orderBy("n").collect()]  # at most GRAM
+    runs = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("c") - n + 1, F.lit(1))), lambda i: F.substr("c", i, n)))
+    held = None
+    for n in sizes:
+        part = named.where(F.length("c") >= n).select("e", (F.length("c") == n if n < GRAM else F.lit(True)).alias("whole"), F.explode(runs(F.lit(n))).alias("g"))
+        held = part if held is None else held.unionByName(part)
+    pairs = jaccard_pairs(entities, threshold, "e", "e").select("a", "b")
+    if held is not None:
+        held, held_at = stage_table(held, "grams")
+        rare = held.where("whole").join(held.groupBy("g").agg(F.count("*").alias("df")), "g").groupBy("e").agg(F.min(F.struct("df", "g")).alias("m")).select(F.col("e").alias("x"), F.col("m.g").alias("g"))
+        met = rare.join(held.select(F.col("e").alias("y"), "g"), "g").where("x <> y")
+        pairs = pairs.union(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    side = lambda x: named.select(F.col("e").alias(x), F.col("k").alias(f"k{x}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("ka", "kb")).select("a", "b")
     if limit_to:
         low = [x.lower().strip() for x in limit_to]
         pairs = pairs.where(F.lower("a").isin(*low) | F.lower("b").isin(*low))
@@ -125,6 +143,7 @@ def resolve_entities(facts: DataFrame, threshold: float = 0.85, limit_to: list[s
     like = F.contains(ca, cb) | F.contains(cb, ca) | (T.jaccard("a", "b") >= threshold)
     nodes = entities.select(F.col("e").alias("id"), F.struct((-F.length("e")).alias("l"), F.col("e").alias("n")).alias("rank"))
     seeds = greedy_seeds(nodes, pairs.where(like))
+    drop_path(facts.sparkSession, named_at, *([held_at] if held is not None else []))
     names = seeds.where("id <> seed").select(F.col("id").alias("entity"), F.col("seed").alias("canonical"))
     out = facts.withColumns({"subject": F.trim("subject"), "object": F.trim("object")})
     for c in ("subject", "object"):

@@ -212,7 +212,7 @@ def _cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @over_facts("entity_resolution")
 def _entities(f: DataFrame) -> DataFrame:
-    return similarity.resolve_entities(f.where("category <> 'Market'"))[1].select("block_id", "subject", "predicate", "object")
+    return similarity.resolve_entities(f)[1].select("block_id", "subject", "predicate", "object")
 
 
 @query("tf_similarity")
