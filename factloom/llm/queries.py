@@ -14,4 +14,4 @@ QUERIES = {
     "op9_token_counts": tokens.query,
     "op10_mixing": mixing.query,
 }
-SQL = {"op2_ngram_jaccard_join": ngram_join.SQL, "op10_mixing": mixing.SQL}
+SQL = {"op2_ngram_jaccard_join": ngram_join.SQL, "op8_vantage_point_neighbours": vptree.SQL, "op10_mixing": mixing.SQL}

@@ -77,11 +77,41 @@ def test_recall_of_the_default_over_shards(spark):
     assert np.mean([len({n for n, _ in got[i]} & {n for n, _ in want[i]}) / V.K for i in want]) >= 0.95
 
 
+@pytest.mark.parametrize("offset", [1e6, 1e9])
+def test_vectors_far_from_the_origin_are_exact_at_factor_one(spark, offset):
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(300, 6)), 3) + offset
+    x[50:60] = x[3]
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = result(V.nearest(df, k=5, factor=1.0, shard_rows=60, group_rows=50, pivots=4).collect())
+    assert got == brute(np.arange(300), x, 5)
+
+
+def test_chosen_queries_meet_all_rows(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(500, 4))
+    df = spark.createDataFrame([(i, row, 1, 2, 3, 4.0) for i, row in enumerate(x.tolist())], "vec_id long, embedding array<double>, cell int, part int, `a.b` int, tau double")
+    got = result(V.nearest(df, "vec_id % 50 = 0", k=4, factor=1.0, shard_rows=70, group_rows=3, pivots=3).collect())
+    assert got == {i: v for i, v in brute(np.arange(500), x, 4).items() if i % 50 == 0}
+    assert V.nearest(df, "vec_id < 0").count() == 0
+
+
+def test_trees_go_only_where_queries_do(spark):
+    trees = spark.createDataFrame([(c, p, b"t") for c in range(5) for p in range(3)], "cell int, part int, tree binary")
+    requests = spark.createDataFrame([(1, 2, i, [0.0], 1.0) for i in range(95)] + [(4, 0, 7, [0.0], 1.0)], V.REQUEST)
+    met, sent = V.grouped(trees, requests, 10)
+    assert met.count() == 96 and sent.count() == 11
+    assert met.join(sent, ["cell", "part", "bunch"]).count() == 96
+
+
 def test_defined_results(spark):
     schema = "vec_id long, embedding array<double>"
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [1.0, 1.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1.0]), (6, [0.0, 1.0]), (7, [float("inf"), 0.0]), (8, [None, 1.0]), (9, [])]
     got = result(V.nearest(spark.createDataFrame(rows, schema)).collect())
     assert got == {1: [(2, 0.0), (6, 1.414214)], 2: [(1, 0.0), (6, 1.414214)], 6: [(1, 1.414214), (2, 1.414214)]}
+    huge = [(i, [float(i), 1.0]) for i in range(30)] + [(40, [1e160, 1.0]), (41, [-1e99, 0.0]), (42, [1e99, 0.0])]
+    got = result(V.nearest(spark.createDataFrame(huge, schema), factor=1.0).collect())
+    assert len(got) == 32 and 40 not in got and all(len(v) == 10 for v in got.values()) and got[0][0] == (1, 1.0)
     assert V.nearest(spark.createDataFrame([], schema)).count() == 0
     assert V.nearest(spark.createDataFrame([(1, [0.0, 0.0])], schema)).count() == 0
     with pytest.raises(ValueError):
