@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 BLOCK = 1 << 20
@@ -22,6 +23,19 @@ WORD[[*range(48, 58), *range(97, 123), *range(65, 91), *range(128, 256)]] = True
 WORD_SQL = r"[0-9a-z\x{80}-\x{10ffff}]+"
 
 
+def fresh_name(table: DataFrame, stem: str = "__new") -> str:
+    """A column name that the table doesn't have, whatever the case of its names."""
+    taken = {c.lower() for c in table.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
+def quoted(names: Iterable[str]) -> list[str]:
+    """Column names as Spark reads them, dots included."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P^i and P^-i modulo 2^64 for i < n."""
     if len(_pow[0]) < n:
