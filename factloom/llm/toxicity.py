@@ -2,20 +2,27 @@
 
 A toxic writer's word passes a channel that swaps letters for look-alikes, spaces letters out and repeats them. What
 was meant is read back by Viterbi search over a character lattice: each sign offers the letters it may stand for (with
-a channel cost), a run of a letter offers one, two or all of them, spaced letters are offered joined; a character trigram
-language model, counted over the whole corpus, scores the paths. Signs that can only stand for themselves leave
-nothing to search, so lattices are built only for words with a look-alike anywhere, a letter doubled, or three single
-letters with any separators, and each distinct one is read once a task. Numbers of digits alone are left as numbers.
-
-Restored words are scored by a lexicon learned from labelled documents: for each word, and each beginning that several
-words share, in how many distinct contexts (left neighbours) it stands in toxic and in clean documents, so that copies
-of one text don't count as evidence.
+a channel cost), a run of a letter offers one or two of them, single letters with separators offer a word border between
+any two. Paths are scored by two sources of words: a character trigram language model, counted over the whole corpus, and
+with weight ``SOURCE`` the lexicon, each of its words as likely as another. The best path alone is what was meant: a
+lexicon word that is spelled at too great a cost loses to a likelier clean word. A word that is plain but for a letter
+twice, as many words are, is read otherwise than written only where the language model alone prefers that.
+
+Signs that can only stand for themselves leave nothing to search, so lattices are built only for words with a look-alike
+anywhere, a letter doubled, or three single letters with any separators; they are searched only where some path has a
+lexicon word or beginning at all (no other could be scored), and each distinct one once a task. Numbers of digits alone
+are left as numbers. Letters beyond Latin are one symbol of the language model; lexicon words in them are read as others.
+
+Restored words are scored by a lexicon learned from labelled documents: for each word of ``MIN_WORD`` letters at least, and
+each beginning that several words share, in how many distinct contexts (left neighbours) it stands in toxic and in clean
+documents, so that copies of one text don't count as evidence.
 A document's score is the noisy-or over the evidence of its distinct lexicon words; it is toxic from ``THRESHOLD`` on.
-The lexicon is fitted on at most ``SAMPLE`` labelled documents, chosen by a hash of their id.
+The lexicon is fitted on at most ``SAMPLE`` labelled documents, chosen by a hash of their id; all that they show is kept.
 
-Defined results: null and empty texts score 0; a text of any length is scored whole; repeated rows and ids are scored
-row by row; without labels the lexicon is empty and every score 0; an empty table gives an empty result; extra
-columns are ignored by :func:`score` and kept by :func:`reject`.
+Defined results: null and empty texts score 0; a text, word or spaced run of any length is read whole; repeated rows and
+ids are scored row by row; an id labelled twice is toxic if once it is; without labels the lexicon is empty and every
+score 0; of equally likely readings the first in the order of the lattice counts; an empty table gives an empty result;
+extra columns, whatever their names, are ignored by :func:`score` and kept by :func:`reject`.
 """
 
 from __future__ import annotations
@@ -28,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.blocks import blocks, hash_sums, hash_words, span_hashes, spans, text_buffer
+from factloom.llm.blocks import blocks, fresh_name, hash_sums, hash_words, span_hashes, spans, text_buffer
 
-SAMPLE, THRESHOLD, CONTEXTS, PURITY, LEXICON = 20_000, 0.95, 4, 12.0, 5_000
-MIN_STEM, MAX_STEM = 4, 8
+SAMPLE, THRESHOLD, CONTEXTS, PURITY, SOURCE = 20_000, 0.95, 4, 12.0, 0.05
+MIN_WORD, MIN_STEM, MAX_STEM = 3, 4, 8
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou", "€": "e", "£": "l",
@@ -48,7 +55,6 @@ _ONE = rf"[^\W_{_S}]|[{_S.replace(re.escape('*'), '')}]"
 SPACED = re.compile(rf"(?:(?:{_ONE}){_SEP}){{2,}}(?:{_ONE})")
 #: a word with a look-alike anywhere that isn't a number; a letter twice; three single signs with any separators
 SUSPECT = re.compile(rf"(?<![\w{_S}])(?!\d+(?![\w{_S}]))(?=[^{_S}\W]*[{_S}])[\w{_S}]{{3,}}|\b(?=\w*?([^\W\d_])\1)\w{{4,}}\b|(?<!\w){SPACED.pattern}(?!\w)")
-PLACES = 256  # of a lattice that Viterbi reads; beyond them neither lexicon words nor beginnings reach
 #: bytes that may begin one: a quick test of whole texts
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -98,12 +104,17 @@ class Model:
         c = counts.astype(np.float64).reshape(SYMBOLS, SYMBOLS, SYMBOLS) + 0.5
         self.log = np.log(c / c.sum(2, keepdims=True)).tolist()
 
-    def decode(self, options: list[list[tuple[str, float]]]) -> tuple[str, float]:
-        """The best string through a lattice: at each place one of (string, cost), ended by a word border."""
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for choice in options:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in best.items():
+    def decode(self, options: list[list[tuple[str, float]]], source: Source | None = None, spaced: bool = False) -> tuple[str, float]:
+        """The best string through a lattice: at each place one of (string, cost), words from the language model or the
+        source, one word or (``spaced``) words with borders after any place."""
+        # of each state the score and the pieces so far, as (those before, piece)
+        free: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        held: dict[int, tuple[float, tuple | None, dict]] = {id(source.root): (0.0, None, source.root)} if source else {}
+        if not options:
+            return "", self.log[0][0][0]
+        for k, choice in enumerate(options):
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, back) in free.items():
                 for piece, cost in choice:
                     x, y, s = a, b, score + cost
                     for c in piece:
@@ -112,16 +123,56 @@ class Model:
                         x, y = y, z
                     old = after.get((x, y))
                     if old is None or s > old[0]:
-                        after[x, y] = (s, text + piece)
-            best = after
-        found = max((s + self.log[a][b][0], t) for (a, b), (s, t) in best.items())
-        return found[1], found[0]
-
-
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """The places of a token and what each may stand for."""
+                        after[x, y] = (s, (back, piece) if piece else back)
+            inside: dict[int, tuple[float, tuple | None, dict]] = {}
+            for score, back, node in held.values():
+                for piece, cost in choice:
+                    n = node
+                    for c in piece:
+                        n = n.get(c)
+                        if n is None:
+                            break
+                    if n is not None and ((old := inside.get(id(n))) is None or score + cost > old[0]):
+                        inside[id(n)] = (score + cost, (back, piece) if piece else back, n)
+            free, held = after, inside
+            if not spaced and k + 1 < len(options):
+                continue
+            ended = [(s + self.log[a][b][0], back) for (a, b), (s, back) in free.items()]
+            if source:
+                ended += [(s + source.prior, back) for s, back, n in held.values() if "" in n]
+            score, back = max(ended, key=lambda e: e[0])
+            if k + 1 == len(options):
+                break
+            if score > free.get((0, 0), (-np.inf,))[0]:
+                free[0, 0] = (score, (back, " "))
+            if source and score > held.get(id(source.root), (-np.inf,))[0]:
+                held[id(source.root)] = (score, (back, " "), source.root)
+        pieces = []
+        while back:
+            back, piece = back
+            pieces.append(piece)
+        return "".join(reversed(pieces)), score
+
+
+class Source:
+    """The lexicon as a source of words: any of them, equally likely; and the beginnings that count."""
+
+    def __init__(self, words: Iterable[str], stems: Iterable[str] = (), weight: float = SOURCE) -> None:
+        words = set(words)
+        self.root, self.stems = trie(words), trie(stems)
+        self.prior = float(np.log(weight / max(1, len(words))))
+
+
+def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
+    """The places of a token and what each may stand for; in a spaced one, where a border may follow any sign, each sign
+    has a place and one like that before it may be nothing."""
     token = token.lower()
     out: list[list[tuple[str, float]]] = []
+    if spaced:
+        for k, c in enumerate(token):
+            (choice,) = lattice(c)
+            out.append(choice + [("", REPEAT)] if k and token[k - 1] == c else choice)
+        return out
     for run in re.finditer(r"(.)\1*", token, re.S):
         c, n = run[1], len(run[0])
         if c in LOOKALIKES:
@@ -172,24 +223,16 @@ def reached(options: list[list[tuple[str, float]]], root: dict, within: bool = F
     return found if within or begins else {n[""] for n in nodes.values() if "" in n}
 
 
-def readings(token: str, model: Model, known: set[str] | dict, stems: dict | None = None) -> list[str]:
-    """The words that a suspicious span is restored to: the lexicon words that a path spells (of spaced letters, holds),
-    else its best path. A word that only doubles letters is read otherwise than written where the language model
-    prefers that. Where the beginnings that count are given (``stems``), no path is sought that can't have one."""
+def readings(token: str, model: Model, source: Source) -> list[str]:
+    """The words that a suspicious span is restored to: those of the best path. Where no path has a word or beginning of
+    the lexicon nothing is sought, and the span is itself."""
     token = token.lower()
-    root = known if isinstance(known, dict) else trie(known)
-    spaced = SPACED.fullmatch(token)
-    options = lattice(re.sub(rf"[^\w{_S}]|_", "", token) if spaced else token)
-    spelled = reached(options, root, within=bool(spaced))
-    signs = any(c in LOOKALIKES for c in token)
-    if spelled and not spaced and not signs and not re.search(r"(.)\1\1", token):
-        literal = model.decode([[(token, 0.0)]])[1]
-        spelled = {w for w in spelled if model.decode([[(w, (len(token) - len(w)) * REPEAT)]])[1] >= literal}
-    if spelled:
-        return sorted(spelled)
-    if not any(c.isalpha() for c in token) or stems is not None and not reached(options, stems, begins=True):
+    spaced = bool(SPACED.fullmatch(token))
+    options = lattice(re.sub(rf"[^\w{_S}]|_", "", token) if spaced else token, spaced)
+    if not reached(options, source.root, within=spaced) and not reached(options, source.stems, within=spaced, begins=True):
         return [token]
-    return [model.decode(options[:PLACES])[0]]
+    doubled = not spaced and not any(c in LOOKALIKES for c in token) and not re.search(r"(.)\1\1", token)
+    return model.decode(options, None if doubled else source, spaced)[0].split()
 
 
 def spells(word: str, options: list[list[tuple[str, float]]]) -> bool:
@@ -212,9 +255,10 @@ def holds(word: str, options: list[list[tuple[str, float]]]) -> bool:
     return False
 
 
-def restore(text: str, model: Model, known: set[str] = frozenset()) -> str:
+def restore(text: str, model: Model, known: Iterable[str] = ()) -> str:
     """The text with every suspicious span replaced by what it is read as."""
-    return SUSPECT.sub(lambda m: " ".join(readings(m[0], model, known)), text)
+    source = Source(known)
+    return SUSPECT.sub(lambda m: " ".join(readings(m[0], model, source)), text)
 
 
 def corpus_trigrams(docs: DataFrame) -> np.ndarray:
@@ -268,7 +312,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cont
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = re.findall(r"[^\W_]+", (text or "").lower())
-                pairs = sorted({(w, v) for v, w in zip(["", *words], words) if 2 < len(w) < 32})
+                pairs = sorted({(w, v) for v, w in zip(["", *words], words) if len(w) >= MIN_WORD})
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs]), pa.array([toxic] * len(pairs), pa.int32())], schema=schema)
 
     schema = pa.schema([("word", pa.string()), ("left", pa.string()), ("toxic", pa.int32())])
@@ -281,7 +325,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cont
     counts = per.select(F.explode(features).alias("feature"), "t", "c").where("feature IS NOT NULL").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count(F.when(F.col("t") > 0, 1)).alias("words"))
     stem = F.col("feature").endswith("*")
     strong = counts.where((F.col("t") >= F.when(stem, 2 * contexts).otherwise(contexts)) & (F.col("t") >= purity * F.col("c")) & (~stem | (F.col("words") >= 4)))
-    found = {r["feature"]: (r["t"], r["c"]) for r in strong.orderBy(F.desc("t"), "feature").limit(LEXICON).collect()}
+    found = {r["feature"]: (r["t"], r["c"]) for r in strong.orderBy(F.desc("t"), "feature").collect()}  # of a bounded sample
     # of beginnings that stand for the same words, the longest
     same = {f[:k] + "*" for f, (t, _) in found.items() if f.endswith("*") for k in range(MIN_STEM, len(f) - 1) if t >= 0.9 * found.get(f[:k] + "*", (1 << 60,))[0]}
     return {f: (t + 0.5) / (t + c + 1.0) for f, (t, c) in found.items() if f not in same}
@@ -324,13 +368,13 @@ class Lexicon:
 
 def score(docs: DataFrame, lexicon: dict[str, float], trigrams: np.ndarray) -> DataFrame:
     """``doc_id, score, toxic, n_words, n_restored``: evidence of all distinct lexicon words, plain or restored."""
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, trigrams))  # at most LEXICON features, SYMBOLS^3 counts
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, trigrams))  # what a bounded sample shows, SYMBOLS^3 counts
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("toxic", pa.int32()), ("n_words", pa.int32()), ("n_restored", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, counts = shared.value
         model, known = Model(counts), Lexicon(lexicon)
-        words, stems = trie(known.words), trie(known.stems)
+        source = Source(known.words, known.stems)
         cache: dict[str, list[tuple[np.uint64, float]]] = {}
         for batch in batches:
             texts = batch.column(1)  # in lower case
@@ -349,7 +393,7 @@ def score(docs: DataFrame, lexicon: dict[str, float], trigrams: np.ndarray) -> D
                         if meant is None:
                             if len(cache) > 200_000:
                                 cache.clear()
-                            found = [w for w in readings(token, model, words, stems) if w != token and known.of(w) < 0]
+                            found = [w for w in readings(token, model, source) if w != token and known.of(w) < 0]
                             meant = cache[token] = list(zip(hash_words(found), map(known.of, found))) if found else []
                         for h, value in meant:
                             restored[i] += 1
@@ -378,8 +422,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None
 
 def reject(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without the rows whose document is toxic; rows without id stay."""
-    toxic = score_documents(docs, labels, sample=sample).where("toxic = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__toxic")).distinct()
-    return docs.join(toxic, docs["doc_id"] == F.col("__toxic"), "left_anti")
+    gone = fresh_name(docs)
+    toxic = score_documents(docs, labels, sample=sample).where("toxic = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(toxic, docs["doc_id"] == F.col(gone), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,69 @@ def test_viterbi_equals_enumeration(model):
         assert reach == set(scores)
 
 
+def lm_score(model, word):
+    codes = [0, 0, *(X.INDEX.get(c, X.SYMBOLS - 1) for c in word), 0]
+    return sum(model.log[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+
+
+def test_viterbi_with_lexicon_and_borders_equals_enumeration(model):
+    source = X.Source(["stupid", "sot", "it", "id", "eel"])
+    for token, spaced in (("5t0p1d", False), ("s0t", False), ("e3l", False), ("5tup1d", False), ("s0t1t", True), ("iid", True), ("e3l1", True)):
+        options = X.lattice(token, spaced)
+        best = -np.inf
+        for path in itertools.product(*options):
+            cost = sum(c for _, c in path)
+            for borders in itertools.product((False, True), repeat=len(path) - 1) if spaced else [(False,) * (len(path) - 1)]:
+                words = "".join(p + (" " if border else "") for (p, _), border in zip(path, (*borders, False))).split(" ")
+                best = max(best, cost + sum(max(lm_score(model, w), source.prior if w in X.reached([[(c, 0.0)] for c in w], source.root) else -np.inf) for w in words))
+        assert np.isclose(model.decode(options, source, spaced)[1], best), token
+
+
+def test_a_costly_lexicon_path_loses_to_a_likelier_clean_word():
+    counts = np.zeros((X.SYMBOLS,) * 3, np.int64)
+    for word in ["lion"] * 500 + ["iion"]:
+        codes = [0, 0, *(X.INDEX[c] for c in word), 0]
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            counts[a, b, c] += 1
+    model = X.Model(counts.reshape(-1))
+    assert X.restore("a 1ion", model, {"iion"}) == "a lion"
+    assert X.restore("a z0rg", model, {"zorg"}) == "a zorg"
+
+
+def brute_score(text, lexicon, model):
+    words = {w: v for w, v in lexicon.items() if not w.endswith("*")}
+    stems = {w[:-1]: v for w, v in lexicon.items() if w.endswith("*")}
+    value = lambda w: max([words.get(w, 0), *(v for s, v in stems.items() if w.startswith(s) and len(w) > len(s))])
+    low = (text or "").lower()
+    seen = {w for w in "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in low).split(" ") if value(w) > 0}
+    source = X.Source(words, stems)
+    for m in X.SUSPECT.finditer(low):
+        seen |= {w for w in X.readings(m[0], model, source) if w != m[0] and value(w) > 0}
+    return 1 - np.prod([1 - value(w) for w in seen])
+
+
+def test_scores_equal_brute_force(spark, model):
+    lexicon = {"stupid": 0.9, "idiot": 0.8, "mor*": 0.7, "pest": 0.6, "größe": 0.5, "a" * 40: 0.9}
+    texts = ["stupid table", "5tup1d, 1d10t!", "moron morons mor", "Pest pest PEST p e s t", "Größe", "a" * 40 + " " + "a" * 39, "m0r0n 4nd st.u.p.i.d", "the pool 2024", None, "", "i_d_i_o_t p3st", "x" * 5000 + " 5tup1d"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = np.zeros(X.SYMBOLS**3, np.int64)
+    got = {r.doc_id: r.score for r in X.score(df, lexicon, counts).collect()}
+    flat = X.Model(counts)
+    for i, t in enumerate(texts):
+        assert np.isclose(got[i], brute_score(t, lexicon, flat), atol=1e-8), t
+    assert got[1] > 0.9 and got[7] == 0
+
+
+def test_long_words_are_learned_and_any_column_stays(spark):
+    word = "donaudampfschifffahrtsgesellschaftsbeleidigung"
+    rows = [(i, f"w{i} {word} end{i}" if i % 2 else f"calm v{i} day end{i}") for i in range(40)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, `__new` int, `a.b` int, `__toxic` int")
+    lab = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    assert word in X.learn_lexicon(df, lab)
+    kept = X.reject(df, lab)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(range(0, 40, 2))
+
+
 def test_disguises_are_read(model):
     known = {"stupid", "idiot"}
     for text in ("5tup1d", "$tup!d", "s t u p i d", "s.t.u.p.i.d", "stuuuupid", "1d10t", "i-d-i-o-t", "STUP1D"):
