@@ -11,10 +11,13 @@ copies share, and ``thumb_digest``, equal for equal thumbnails only.
 The tables at hand have no images, so :func:`render` draws one for each text: every 64 bytes are an 8 x 8 block of grey,
 blocks run in rows of a square, and the picture is written as a baseline JPEG with restart markers.
 
-Defined results (``status``): ``null`` for a null value; ``not_jpeg`` without a start marker; ``unsupported`` for
-another kind of frame than 8-bit baseline, which keeps its dimensions; ``corrupt`` for what is truncated or breaks the
-syntax or the codes, with dimensions if they were read; else ``ok``. Hashes are null unless ``ok``. Repeated rows are
-decoded each; an empty table gives an empty result; extra columns are ignored.
+Defined results (``status``): ``null`` for a null value; ``not_jpeg`` without a start marker (an empty value too);
+``unsupported`` for another kind of frame than 8-bit baseline (SOF0), of more than three components, or of red, green and
+blue instead of luminance first, which keeps its dimensions; ``corrupt`` for what is truncated, breaks the syntax or the
+codes, or has fewer bits than the blocks that its header claims, with dimensions if they were read; else ``ok``. Hashes are
+null unless ``ok``; of thumbnails with equal areas no bit is set. Memory follows a file's bytes, whatever it claims to be;
+a very long text is one picture, drawn and read by itself. Repeated rows, and rows of a null or repeated id, are decoded
+each; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -219,8 +222,8 @@ def parse(data: bytes | None) -> Image:
 
 
 def _markers(data: bytes, image: Image) -> None:
-    at, quant, huff, adobe_ok = 2, {}, {}, True
-    while adobe_ok:
+    at, quant, huff, colours = 2, {}, {}, None
+    while True:
         if data[at] != 0xFF:
             raise ValueError("no marker")
         while data[at] == 0xFF:
@@ -253,18 +256,23 @@ def _markers(data: bytes, image: Image) -> None:
                 k += 17 + n
         elif marker == 0xDD:
             image.restart = struct.unpack(">H", body)[0]
+        elif marker == 0xEE and body[:5] == b"Adobe" and len(body) > 11:
+            colours = body[11]
         elif 0xC0 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
             depth, image.height, image.width, n = struct.unpack_from(">BHHB", body)
             image.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
-            if marker not in (0xC0, 0xC1) or depth != 8:
+            names = bytes(p[0] for p in image.parts)
+            if marker != 0xC0 or depth != 8 or n > 3 or n == 3 and (colours == 0 or names == b"RGB"):
                 image.status = "unsupported"
                 return
-            if not n or not image.width or not image.height or any(not 1 <= x <= 4 for p in image.parts for x in p[1:3]):
+            if not n or len(set(names)) < n or not image.width or not image.height or any(not 1 <= x <= 4 for p in image.parts for x in p[1:3]):
                 raise ValueError("bad frame")
         elif marker == 0xDA:
             if not image.parts:
                 raise ValueError("scan before frame")
             of = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
+            if not 1 <= body[0] <= 4 or len(of) != body[0] or of.keys() - {p[0] for p in image.parts}:
+                raise ValueError("bad scan")
             pieces, at = _intervals(data, at)
             if image.parts[0][0] in of:
                 _scan(image, of, quant, huff, pieces)
@@ -300,6 +308,8 @@ def _scan(image: Image, of: dict[int, int], quant: dict, huff: dict, pieces: lis
     else:
         seq = [(c, of[p[0]]) for c, p in enumerate(image.parts) if p[0] in of for _ in range(p[1] * p[2])]
         mx, my, h, v = -(-image.width // (8 * hmax)), -(-image.height // (8 * vmax)), h0, v0
+    if len(of) > 1 and len(seq) > 10:
+        raise ValueError("too many blocks in a unit")
     image.scan = [(c, huff[t >> 4], huff[16 | t & 15]) for c, t in seq]
     image.grid = (mx, my, h, v, across, down)
     units = mx * my
@@ -308,6 +318,9 @@ def _scan(image: Image, of: dict[int, int], quant: dict, huff: dict, pieces: lis
     if len(pieces) != want:
         raise ValueError("restart intervals missing")
     image.intervals = [(p, min(each, units - i * each) * len(seq)) for i, p in enumerate(pieces)]
+    # a block has two codes of a bit at least; so what is made room for follows the bytes, not what the header claims
+    if any(8 * len(p) < 2 * n for p, n in image.intervals):
+        raise ValueError("fewer bits than blocks")
     image.status = "ok"
 
 

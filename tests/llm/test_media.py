@@ -113,6 +113,33 @@ def test_pictures_of_texts():
         assert np.abs(image.thumb.reshape(-1) - np.clip(dc + 128, 0, 255)).max() <= 1
 
 
+def test_hostile_files(spark):
+    good = M.draw(np.frombuffer(b"hello world" * 30, np.uint8), np.array([0, 330]))[0]
+    frame = good.index(b"\xff\xc0")
+    huge = good[: frame + 5] + struct.pack(">HH", 65500, 65500) + good[frame + 9 :]
+    huge = huge.replace(M.segment(0xDD, struct.pack(">H", M.INTERVAL)), b"")
+    parts = bytes(x for c in range(5) for x in (c + 1, 0x11, 0))
+    tail = good[frame + 2 + struct.unpack_from(">H", good, frame + 2)[0] :]
+    five = good[:frame] + M.segment(0xC0, struct.pack(">BHHB", 8, 16, 16, 5) + parts) + tail
+    twice = good[:frame] + M.segment(0xC0, struct.pack(">BHHB", 8, 16, 16, 2) + bytes([1, 0x11, 0, 1, 0x11, 0])) + tail
+    terms = [np.zeros((2, 2, 64), int)] * 3
+    colour = colour_jpeg(terms, 1, 1, 16, 16)
+    rgb = colour[:2] + M.segment(0xEE, b"Adobe" + bytes(6) + b"\0") + colour[2:]
+    ycc = colour[:2] + M.segment(0xEE, b"Adobe" + bytes(6) + b"\1") + colour[2:]
+    extended = good[:frame] + b"\xff\xc1" + good[frame + 2 :]
+    want = [(huge, "corrupt"), (five, "unsupported"), (twice, "corrupt"), (rgb, "unsupported"), (ycc, "ok"), (extended, "unsupported"), (good, "ok")]
+    for data, status in want:
+        image = M.parse(data)
+        M.decode([image])
+        assert image.status == status
+    rows = M.describe(spark.createDataFrame([(i, bytearray(d)) for i, (d, _) in enumerate(want * 30)], "doc_id long, media binary")).collect()
+    assert {(r.doc_id % len(want), r.status) for r in rows} == {(i, s) for i, (_, s) in enumerate(want)}
+    for cut in range(0, len(colour), 3):  # whatever is damaged, nothing is raised
+        for data in (colour[:cut], colour[:cut] + bytes([colour[cut] ^ 255]) + colour[cut + 1 :]):
+            image = M.parse(data)
+            M.decode([image])
+
+
 def test_near_copies_share_bits():
     x = np.random.default_rng(3).integers(0, 256, (40, 60)).astype(np.uint8)
     y = np.clip(x.astype(int) + 2, 0, 255).astype(np.uint8)
