@@ -3,12 +3,17 @@
 Every line is labelled good or bad. A line's features are read from its bytes (shares of capitals, digits, signs and
 separators, word lengths, repeated words, length, its end) and stand beside those of the lines before and after it;
 a 2 x 2 transition matrix couples neighbouring labels. Forward-backward gives each line's marginal probability of
-being good, and a document's quality is their mean weighted by line length. The field is fitted by gradient ascent
-on at most ``SAMPLE`` labelled documents, chosen by a hash of their id, whose lines all carry the document's label.
+being good, and a document's quality is their mean weighted by line length. The field is fitted by gradient ascent on
+at most ``SAMPLE`` labelled documents, chosen by a hash of their id. Labels are of documents, so lines get theirs in two
+steps (:func:`line_labels`): a field without transitions is fitted to the documents' labels, and what it says of single
+lines changes those that plainly differ from their document, all but the line that says most for its label. The field is
+then fitted to these, and learns from documents of both kinds of lines how one follows the other.
 
 Defined results: null and empty texts, and those of empty lines only, have no lines, quality 0 and keep 0; a text of
-any length is read whole; rows are scored one by one, so repeated ids and rows repeat; without labels of both kinds
-every line is good; an empty table gives an empty result; extra columns are ignored.
+any length is read whole; rows are scored one by one, so repeated ids and rows repeat and a null id stays; of different
+texts under a labelled id the least is learned from, of different labels the greater; a quality at the threshold keeps;
+without labels of both kinds every line is good; an empty table gives an empty result; extra columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from pyspark.sql import functions as F
 from factloom.llm.blocks import blocks, span_hashes, spans, text_buffer
 
 SAMPLE, THRESHOLD, STEPS = 4_000, 0.5, 150
+#: P(good) up to which a line of a good document is bad, and from which one of a bad document is good
+PLAIN = 0.1, 0.9
 FEATURES = 11
 NOT_NEWLINE = np.ones(256, bool)
 NOT_NEWLINE[[10, 13]] = False
@@ -123,8 +130,20 @@ def marginals(scores: np.ndarray, transition: np.ndarray, row: np.ndarray) -> tu
     return good, pairs, float(logz[first].sum())
 
 
-def fit(x: np.ndarray, row: np.ndarray, label: np.ndarray, steps: int = STEPS, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of P(good) features and transition matrix, by Adam on the mean conditional log likelihood of lines."""
+def line_labels(good: np.ndarray, row: np.ndarray, label: np.ndarray, plain: tuple[float, float] = PLAIN) -> np.ndarray:
+    """Labels of lines from those of their documents: lines that plainly differ change, but not all of a document."""
+    out = np.where((label == 1) & (good <= plain[0]), 0, np.where((label == 0) & (good >= plain[1]), 1, label))
+    if len(row):
+        # the line that says most for its document's label keeps it
+        order = np.lexsort((np.where(label == 1, -good, good), row))
+        first = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])]
+        out[first] = label[first]
+    return out
+
+
+def fit(x: np.ndarray, row: np.ndarray, label: np.ndarray, steps: int = STEPS, rate: float = 0.1, decay: float = 1e-3, chain: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of P(good) features and transition matrix (0 without ``chain``), by Adam on the mean conditional log
+    likelihood of lines."""
     w, t = np.zeros(x.shape[1]), np.zeros((2, 2))
     if not len(label) or label.min() == label.max():
         w[FEATURES - 1] = 10.0
@@ -138,7 +157,7 @@ def fit(x: np.ndarray, row: np.ndarray, label: np.ndarray, steps: int = STEPS, r
     for k in range(1, steps + 1):
         scores = np.stack([np.zeros(n), x @ w], 1)
         good, pairs, _ = marginals(scores, t, row)
-        grads = [x.T @ (label - good) / n - decay * w, (real - pairs) / n - 0.05 * t]
+        grads = [x.T @ (label - good) / n - decay * w, (real - pairs) / n - 0.05 * t if chain else np.zeros((2, 2))]
         for p, g, i in ((w, grads[0], 0), (t, grads[1], 1)):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.999 * v[i] + 0.001 * g * g
@@ -162,16 +181,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
                     one = x[row == r].astype(np.float32)
                     yield pa.RecordBatch.from_arrays([pa.array([ids[a + r]]), pa.array([label[a + r]], pa.int32()), pa.array([one.tobytes()], pa.binary())], ["doc_id", "quality", "lines"])
 
-    # the sample is bounded, so it can be sent whole; of rows that repeat an id one is learned from
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality", F.col("doc_id").cast("long").alias("doc_id"))
-    found = texts.mapInArrow(run, "doc_id long, quality int, lines binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    # the sample is bounded, so it can be sent whole
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality")).select("text", "quality", "doc_id")
+    found = texts.mapInArrow(run, "doc_id long, quality int, lines binary").toArrow().sort_by("doc_id")
     parts = [np.frombuffer(x.as_py(), np.float32).reshape(-1, FEATURES) for x in found.column("lines")]
     if not parts:
         return fit(np.zeros((0, 3 * FEATURES)), np.zeros(0, np.int64), np.zeros(0, np.int64))
     sizes = [len(p) for p in parts]
     row = np.repeat(np.arange(len(parts)), sizes)
     x = np.concatenate(parts).astype(np.float64)
-    return fit(with_neighbours(x, row), row, np.repeat(found.column("quality").to_numpy(), sizes).astype(np.int64))
+    x, label = with_neighbours(x, row), np.repeat(found.column("quality").to_numpy(), sizes).astype(np.int64)
+    alone, _ = fit(x, row, label, chain=False)
+    return fit(x, row, line_labels(1 / (1 + np.exp(-np.clip(x @ alone, -500, 500))), row, label))
 
 
 def classify(docs: DataFrame, weights: np.ndarray, transition: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
