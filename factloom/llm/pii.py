@@ -17,7 +17,9 @@ seed expression describes. All counts are over the whole corpus; known and new i
 
 Defined results: null and empty texts have no occurrence; a text of any length is read whole; repeated rows report
 their occurrences again, but a pattern counts distinct instances; an empty table gives an empty result; extra columns
-are ignored by :func:`find` and kept by :func:`redact`.
+are ignored by :func:`find` and kept, whatever their names, by :func:`redact`. Identifiers have ``MIN_LENGTH`` characters
+at least (no seed has fewer) and no upper length; where two kinds tie in score the later name stands; a null id is found
+and reported as null.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.blocks import blocks, text_buffer
+from factloom.llm.blocks import blocks, fresh_name, quoted, text_buffer
 from factloom.session import drop_path, stage_table
 
 ROUNDS, ACCEPT, ALLOWANCE = 4, 0.8, 0.5
@@ -52,13 +54,15 @@ AT = re.compile(r"@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?!\w)")
 #: the other seeds within a token
 INNER = {k: re.compile(f"(?<!{no}){SEEDS[k]}(?!{end})") for k, no, end in (("ip", r"[\w.]", r"\w|\.\d"), ("phone", r"[\w+]", r"\w"), ("card", r"\w", r"\w"), ("iban", r"\w", r"\w"), ("ssn", r"[\w-]", r"[\w-]"))}
 #: a key before its value; a secret's key stays with a value of any form
-KEY = re.compile(r"[^\s=:@\d][^\s=:@]{0,63}[ \t]*[=:][ \t]*(?!//)")
+KEY = re.compile(r"[^\s=:@\d][^\s=:@]*[ \t]*[=:][ \t]*(?!//)")
 SECRET_KEY = re.compile(r"(?i:password|passwd|pwd|token|secret|api_?key)[\"']?[ \t]*[=:][ \t]*$")
 VALUE = re.compile(r"\"[^\s\"]+\"|'[^\s']+'|[^\s\"'<>]+")
 #: runs of tokens that read as one identifier: groups of digits, an IBAN's groups
 DIGITS = re.compile(r"\+?\(?\d[\d().-]*(?:[ .-]\(?\d[\d().-]*)+")
 GROUPS = re.compile(r"[A-Z]{2}\d{2}(?: [A-Z0-9]{1,4}(?!\w))+")
 TOKEN = re.compile(r"\S+")
+NEXT = re.compile(r"\W*(\S+)")
+OPENING = "\"'(<[{"
 OPEN, CLOSE = "\"'(<[{", "\"')>]},.;:!?|*#$%&"
 MARK = np.zeros(256, bool)
 MARK[[*range(48, 59), 61, 64]] = True
@@ -103,7 +107,7 @@ def shape(text: str) -> str:
             out.append(kind + (str(n) if n >= 4 or kind in "hX" else ""))
         else:
             out.append("u" if not s.isascii() else s)
-    return key + "|" + "".join(out)[:60]
+    return key + "|" + "".join(out)
 
 
 def coarse(text: str) -> str:
@@ -248,16 +252,37 @@ def parts(text: str, x: int, y: int, keyed: bool) -> Iterator[tuple[int, int]]:
         yield x, y
 
 
+def word_before(text: str, low: int, x: int) -> str:
+    """The token that ends before ``x``, without what opens a quotation or bracket; nothing before ``low`` is read."""
+    while x > low and text[x - 1].isspace():
+        x -= 1
+    while x > low and text[x - 1] in OPENING:
+        x -= 1
+    start = x
+    while start > low and not text[start - 1].isspace():
+        start -= 1
+    return text[start:x].lstrip(OPENING)
+
+
+def word_after(text: str, y: int, high: int) -> str:
+    """The token that begins after ``y``, from its first word character on; nothing from ``high`` on is read."""
+    m = NEXT.match(text, y, high)
+    return m[1] if m else ""
+
+
 def candidates(text: str, marked: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, str]]:
-    """Start, end, word before and word after of each candidate; ``marked`` are spans of marked tokens and those near them."""
+    """Start, end, word before and word after of each candidate; ``marked`` are spans of marked tokens and those near them.
+    Words are looked for up to the candidates before and after, so what is read follows the text's length."""
+    found: list[tuple[int, int]] = []
     for a, b in marked:
         at = a
         for p, q in [*strict(text, a, b), (b, b)]:
-            for x, y in [*loose(text, at, p), *([(p, q)] if q - p >= MIN_LENGTH else [])]:
-                before = re.search(r"([^\s\"'(<\[{]\S*?)[\"'(<\[{]*\s*$", text[max(0, x - 40) : x])
-                after = re.match(r"\W*(\S+)", text[y : y + 40])
-                yield x, y, before[1] if before else "", after[1] if after else ""
+            found += [*loose(text, at, p), *([(p, q)] if q - p >= MIN_LENGTH else [])]
             at = q
+    ends = [0, *(y for _, y in found)]
+    starts = [*(x for x, _ in found[1:]), len(text)]
+    for (x, y), low, high in zip(found, ends, starts):
+        yield x, y, word_before(text, min(low, x), x), word_after(text, y, max(high, y))
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,10 +358,11 @@ def find(docs: DataFrame, **options) -> DataFrame:
 def redact(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every identifier replaced by its kind in brackets, ``n_chars`` adjusted where there is one."""
     found = find(docs.select(F.xxhash64("text").alias("doc_id"), "text"), **options)
+    h, edits, new = (fresh_name(docs, n) for n in ("__h", "__edits", "__text"))
     # spans are those of a text, whatever its rows
-    edits = found.select("doc_id", F.struct("start", "stop", "kind", "entity").alias("e")).groupBy("doc_id").agg(F.array_sort(F.collect_set("e")).alias("__edits")).withColumnRenamed("doc_id", "__h")
+    made = found.select(F.col("doc_id").alias(h), F.struct("start", "stop", "kind", "entity").alias("e")).groupBy(h).agg(F.array_sort(F.collect_set("e")).alias(edits))
     merged = F.aggregate(
-        "__edits",
+        edits,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         # an edit made for another text of the same hash doesn't find its entity here
         lambda acc, e: F.when((e["start"] < acc["at"]) | (F.substr("text", e["start"] + 1, e["stop"] - e["start"]) != e["entity"]), acc).otherwise(
@@ -344,11 +370,11 @@ def redact(docs: DataFrame, **options) -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.lit(2147483647))),
     )
-    joined = docs.withColumn("__h", F.xxhash64("text")).join(edits, "__h", "left").withColumn("__text", F.when(F.col("__edits").isNull(), F.col("text")).otherwise(merged))
-    out = {"text": F.col("__text")}
+    joined = docs.withColumn(h, F.xxhash64("text")).join(made, h, "left").withColumn(new, F.when(F.col(edits).isNull(), F.col("text")).otherwise(merged))
+    out = {"text": F.col(new)}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("__edits").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast("long"))
-    return joined.withColumns(out).select(*docs.columns)
+        out["n_chars"] = F.when(F.col(edits).isNull(), F.col("n_chars")).otherwise(F.length(new).cast("long"))
+    return joined.select(*[out[c].alias(c) if c in out else F.col(q) for c, q in zip(docs.columns, quoted(docs.columns))])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

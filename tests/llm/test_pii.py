@@ -135,3 +135,20 @@ def test_redaction_and_defined_results(spark):
     assert texts["4"][1] == long.replace("a.b@example.org", "[EMAIL]") and texts["4"][3:] == ("k", 3)
     assert P.find(df).where("doc_id = 1").count() == 4
     assert P.redact(df.limit(0)).count() == 0 and P.find(df.limit(0)).count() == 0
+
+
+def test_shapes_and_neighbours_are_whole():
+    a, b = "Ab1-" * 40 + "x", "Ab1-" * 40 + "9"
+    assert P.shape(a) != P.shape(b)
+    word = "neighbour" * 20
+    text = f"{word} 123456789 {word}"
+    got = [(left, right) for _, _, left, right in P.candidates(text, [(0, len(text))])]
+    assert got == [(word, word)]
+    key = "long_key_" * 12
+    assert spans(f"{key}=abcdefgh12345678 z") == ["abcdefgh12345678"]
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "mail a@b.com now", 1, 2, 3, 16)], "doc_id long, text string, `__edits` int, `a.b` int, `__h` int, n_chars long")
+    out = P.redact(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, "mail [EMAIL] now", 1, 2, 3, 16)]
