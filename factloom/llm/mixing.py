@@ -10,8 +10,10 @@ within a slice start from there. Whole epochs before the last need no order at a
 
 Defined results: documents of null text, or without tokens, are not mixed; a null source is a source of its own; a
 document without id is keyed like the others; repeated rows of an id are ordered by token count and count each;
-a source of weight zero, or not among given weights, gives nothing; an empty table gives an empty result; extra
-columns are kept by :func:`mix_documents` and ignored by :func:`mix`.
+rows that agree in id, source and token count are taken in the order of their text and then of a hash of all columns; a
+text of any length is counted and cut whole; a source of weight zero, or not among given weights, gives nothing; an empty
+table gives an empty result; extra columns, whatever their names, are kept by :func:`mix_documents` and ignored by
+:func:`mix`.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.blocks import fresh_name, quoted
 from factloom.llm.packing import word_count
 from factloom.session import stage_table
 
@@ -77,22 +80,28 @@ def first_words(text: str, n: str) -> Column:
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mixture takes them, the one at each cut shortened; columns as in ``docs``."""
-    same = Window.partitionBy("__key")
-    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("n_tokens")))
-    taken = mix(keyed.select("__key.*"), **options).withColumn("__key", F.struct("doc_id", "source", "n_tokens"))
+    key, n, of, count, cut = (fresh_name(docs, "__" + x) for x in ("key", "n", "of", "whole", "cut"))
+    same = Window.partitionBy(key)
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("n_tokens")))
+    taken = mix(keyed.select(f"{key}.*"), **options).withColumn(key, F.struct("doc_id", "source", "n_tokens"))
     whole = F.col("taken") == F.col("n_tokens")
-    chosen = taken.groupBy("__key").agg(F.count(F.when(whole, 1)).alias("__whole"), F.max(F.when(~whole, F.col("taken"))).alias("__cut"))
-    # rows that agree in all of the key share what was taken of it
-    numbered = keyed.withColumns({"__n": F.row_number().over(same.orderBy("text")), "__of": F.count("*").over(same)}).join(chosen, "__key")
-    times = F.expr("cast(__whole div __of + if(__n <= __whole % __of, 1, 0) as int)")
-    shortened = F.col("__n") == F.expr("__whole % __of + 1")
-    kept = F.concat(F.array_repeat(F.lit(None).cast("long"), times), F.when(shortened & F.col("__cut").isNotNull(), F.array("__cut")).otherwise(F.expr("cast(array() as array<bigint>)")))
-    rows = numbered.withColumn("__cut", F.explode(kept))
-    text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(first_words("text", "__cut"))
-    out = {"text": text}
+    chosen = taken.groupBy(key).agg(F.count(F.when(whole, 1)).alias(count), F.max(F.when(~whole, F.col("taken"))).alias(cut))
+    # rows that agree in all of the key share what was taken of it, by their text and then by all their columns
+    order = F.row_number().over(same.orderBy("text", F.xxhash64(*[F.col(c) for c in hashable(docs)])))
+    numbered = keyed.withColumns({n: order, of: F.count("*").over(same)}).join(chosen, key)
+    times = F.expr(f"cast({count} div {of} + if({n} <= {count} % {of}, 1, 0) as int)")
+    shortened = F.col(n) == F.expr(f"{count} % {of} + 1")
+    kept = F.concat(F.array_repeat(F.lit(None).cast("long"), times), F.when(shortened & F.col(cut).isNotNull(), F.array(cut)).otherwise(F.expr("cast(array() as array<bigint>)")))
+    rows = numbered.withColumn(cut, F.explode(kept))
+    out = {"text": F.when(F.col(cut).isNull(), F.col("text")).otherwise(first_words("text", cut))}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.length(first_words("text", "__cut")).cast("long"))
-    return rows.withColumns(out).select(*docs.columns)
+        out["n_chars"] = F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length(first_words("text", cut)).cast("long"))
+    return rows.select(*[out[c].alias(c) if c in out else F.col(q) for c, q in zip(docs.columns, quoted(docs.columns))])
+
+
+def hashable(docs: DataFrame) -> list[str]:
+    """The columns that a hash can tell apart (maps, and what holds them, can't be hashed)."""
+    return [q for q, f in zip(quoted(docs.columns), docs.schema.fields) if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +115,8 @@ d AS (SELECT * FROM c WHERE n_tokens > 0),
 p AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, pow(sum(n_tokens)::DOUBLE, {EXPONENT}) AS weight FROM d GROUP BY source),
 b AS (SELECT source, tokens, floor(round(weight / (SELECT sum(weight) FROM p), 9) * (SELECT sum(tokens) FROM p))::BIGINT AS budget FROM p),
 q AS (SELECT source, tokens, budget // tokens AS whole, budget % tokens AS rest FROM b WHERE budget > 0),
-e AS (SELECT d.doc_id, d.source, d.n_tokens, q.whole, q.rest, md5(concat_ws(':', d.doc_id::VARCHAR, q.whole::VARCHAR, '{SEED}')) AS k
-      FROM d JOIN q ON d.source = q.source),
+e AS (SELECT d.doc_id, d.source, d.n_tokens, q.whole, q.rest, md5(concat_ws(':', coalesce(d.doc_id::VARCHAR, '-'), q.whole::VARCHAR, '{SEED}')) AS k
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
 r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY k, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS ahead FROM e)
 SELECT doc_id, source, u.epoch::INTEGER AS epoch, n_tokens::BIGINT AS n_tokens, n_tokens::BIGINT AS taken
 FROM e, LATERAL (SELECT unnest(range(0, whole)) AS epoch) u

@@ -51,3 +51,10 @@ def test_documents_and_defined_results(spark):
     cut = [r for r in M.mix_documents(df, weights={"big": 1.0}, total=20_001).collect()]
     assert len(cut) == 1 and cut[0].text.split() == ["w"] * 20_001 and cut[0].n_chars == len(cut[0].text)
     assert M.mix_documents(df.limit(0)).count() == 0 and M.mix(df.limit(0).select("doc_id", "source", "n_tokens")).count() == 0
+
+
+def test_columns_of_any_name_and_repeated_rows(spark):
+    rows = [(1, "a b c", "x", k, 1, 2, 3) for k in range(6)] + [(2, "d e", "x", 9, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` int, `__cut` int, `__key` int, `__n` int")
+    runs = [sorted(map(tuple, M.mix_documents(df.repartition(n), weights={"x": 1.0}, total=10).collect())) for n in (1, 5)]
+    assert runs[0] == runs[1] and sum(len(r[1].split()) for r in runs[0]) == 10 and {len(r) for r in runs[0]} == {7}
