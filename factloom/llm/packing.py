@@ -60,9 +60,14 @@ def assign(sizes: np.ndarray, capacity: int, linear: float, quadratic: float) ->
 
 def pack(counts: DataFrame, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``doc_id, piece, n_tokens, shard, sequence, position`` for ``counts`` of doc_id and n_tokens."""
-    counts = counts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens > 0")
+    counts = counts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"), F.monotonically_increasing_id().alias("row")).where("n_tokens > 0")
     counts, _ = stage_table(counts, "counts")
     shards = max(1, -(-counts.count() // shard_rows))
+    hot, _ = stage_table(counts.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).select(F.col("doc_id").alias("hot")), "hot-ids")
+    by = F.xxhash64("doc_id")
+    if not hot.isEmpty():  # rows of an id, or of none, that would overfill a shard go by row
+        marked = counts.join(hot.withColumn("spread", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("hot")), "left").drop("hot")
+        counts, by = marked, F.when(F.col("spread"), F.xxhash64("doc_id", "row")).otherwise(by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
@@ -70,7 +75,7 @@ def pack(counts: DataFrame, capacity: int = CAPACITY, linear: float = LINEAR, qu
         return pdf[["doc_id", "piece", "n_tokens", "shard", "sequence", "position"]]
 
     pieces = F.transform(F.sequence(F.lit(0), F.expr(f"cast((n_tokens - 1) div {capacity} as int)")), lambda k: F.least(F.lit(capacity), F.col("n_tokens") - k * capacity).cast("int"))
-    items = counts.select("doc_id", F.posexplode(pieces).alias("piece", "n_tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
+    items = counts.select("doc_id", F.posexplode(pieces).alias("piece", "n_tokens"), F.pmod(by, F.lit(shards)).cast("int").alias("shard"))
     return items.groupBy("shard").applyInPandas(run, SCHEMA)
 
 

@@ -14,6 +14,7 @@ give a record each; an empty table gives an empty index and no shard; extra colu
 from __future__ import annotations
 
 import functools
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -186,9 +187,15 @@ def read_shuffled(index: DataFrame, path: str, seed: int, width: int = 2) -> Dat
     kind = {2: "<u2", 4: "<u4"}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_fs(path)
         for batch in batches:
             rows = batch.to_pylist()
-            tokens = [read_record(path, r["shard"], r["offset"], r["length"], width).astype(kind).tolist() for r in rows]
+            tokens: list = [None] * len(rows)
+            # a batch's records are read in the order of the disk, each shard opened once
+            for shard, own in itertools.groupby(sorted(range(len(rows)), key=lambda k: (rows[k]["shard"], rows[k]["offset"])), key=lambda k: rows[k]["shard"]):
+                with fs.open_input_file(f"{base}/{shard}") as f:
+                    for k in own:
+                        tokens[k] = parsed(f.read_at(rows[k]["length"], rows[k]["offset"]), rows[k]["length"], width).astype(kind).tolist()
             yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array(tokens, pa.list_(pa.int32()))], ["doc_id", "tokens"])
 
     order = F.xxhash64(F.lit(seed), "shard", "record")
@@ -199,7 +206,11 @@ def read_record(path: str, shard: str, offset: int, length: int, width: int = 2)
     """The token ids of one record, both checksums verified."""
     fs, base = open_fs(path)
     with fs.open_input_file(f"{base}/{shard}") as f:
-        raw = f.read_at(length, offset)
+        return parsed(f.read_at(length, offset), length, width)
+
+
+def parsed(raw: bytes, length: int, width: int) -> np.ndarray:
+    """The token ids of a framed record; ValueError where it is damaged."""
     if len(raw) != length or length < FRAME:
         raise ValueError("truncated record")
     size, head = struct.unpack("<QI", raw[:12])

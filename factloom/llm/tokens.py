@@ -13,7 +13,9 @@ Two deterministic transducers run one after the other.
   replaces several). The token sequence of a prefix ends with the only token that is compatible with the one
   before it, so the count is that of the merge procedure, not an estimate.
 
-Defined results: null and empty texts have no tokens; a text of any length is read whole.
+Defined results: null and empty texts have no tokens; a text of any length is read whole, in a block of its own; rows are
+counted one by one, so repeated rows and ids, and null ids, give a row each; an empty table gives an empty result; extra
+columns, whatever their names, are ignored. The vocabulary is a file that every worker reads (``VOCABULARY`` by default).
 """
 
 from __future__ import annotations

@@ -93,6 +93,15 @@ def test_packing_equals_brute_force():
         assert list(zip(where.tolist(), at.tolist())) == brute_pack(sizes, capacity)
 
 
+def test_hot_ids_are_spread(spark):
+    df = spark.createDataFrame([(None if i % 3 else 7, 3 + i % 5) for i in range(900)] + [(i, 4) for i in range(100)], "doc_id long, n_tokens long")
+    got = packing.pack(df, capacity=20, shard_rows=100).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.shard] = sizes.get(r.shard, 0) + 1
+    assert len(got) == 1000 and len(sizes) == 10 and max(sizes.values()) < 180
+
+
 def test_packing_of_documents(spark):
     rows = [(i, "w " * n) for i, n in enumerate([0, 1, 5, 5, 9, 10, 11, 25, 3, 3])] + [(2, "w " * 5), (None, "w w"), (77, None), (78, "  ")]
     df = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, shard string, piece int")
