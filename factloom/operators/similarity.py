@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,74 +12,166 @@ from factloom.functions import text as T
 from factloom.session import drop_path, stage_table
 
 
-def jaccard_pairs(rows: DataFrame, threshold: float, key: str = "id", text: str = "text") -> DataFrame:
-    """``a, b, similarity``: all pairs of texts whose word sets reach the threshold, exactly.
+GRAM = 6
+
 
-    A word set's rarest words alone go into the index: sets of n words that reach t share one of each one's
-    n - ceil(t n) + 1 rarest. So common words are never joined on, unless a set has no others.
+def set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, similarity`` of different word sets (``id, w``) that reach the threshold, exactly.
+
+    A set's words are put in order, the rarest first. Sets of n and m >= n words that reach t have o >= t (n + m) / (1 + t)
+    words in common, so the first of these is among the n - 2t n / (1 + t) + 1 rarest of the smaller set and the m - t m + 1
+    rarest of the greater, with room for the others behind it in both: short prefixes meet long ones, and most meetings at
+    a common word are refused where they happen.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be over 0 and 1 at most")
-    sets = rows.select(F.col(key).alias("id"), T.word_set(text).alias("w")).where("id IS NOT NULL AND size(w) > 0")
-    sets, sets_at = stage_table(sets, "word-sets")
     tokens = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("token"))
     freq = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("id").orderBy("df", "token")
-    prefix = tokens.join(freq, "token").withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "n", "token")
-    x, y = prefix.toDF("a", "na", "token"), prefix.toDF("b", "nb", "token")
-    found = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)).select("a", "b").distinct()
+    at = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    ranked = tokens.join(freq, "token").withColumn("at", at).select("id", "n", "at", "token")
+    x = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1).toDF("a", "na", "i", "token")
+    y = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).toDF("b", "nb", "j", "token")
+    need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    room = 1 + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) >= need
+    found = x.join(y, "token").where(smaller & (F.col("na") >= F.col("nb") * threshold - 1e-9) & room).select("a", "b").distinct()
     full = found.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
     both = F.size(F.array_intersect("wa", "wb"))
     scored = full.select("a", "b", (both / (F.size("wa") + F.size("wb") - both)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
-    result, _ = stage_table(scored, "pairs")
-    drop_path(rows.sparkSession, sets_at)
+    return scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+
+
+def jaccard_pairs(rows: DataFrame, threshold: float, key: str = "id", text: str = "text") -> DataFrame:
+    """``a, b, similarity``: all pairs of texts whose word sets reach the threshold, exactly. Equal sets are compared once."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be over 0 and 1 at most")
+    sets, sets_at = stage_table(rows.select(F.col(key).alias("id"), F.array_sort(T.word_set(text)).alias("w")).where("id IS NOT NULL AND size(w) > 0"), "word-sets")
+    reps, reps_at = stage_table(sets.groupBy("w").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "w", "copies"), "distinct-sets")
+    near = set_pairs(reps.select("id", "w"), threshold)
+    # only sets with copies are widened
+    member = sets.join(reps.where("copies > 1").select("w", F.col("id").alias("rep")), "w").select("rep", "id")
+    wide = near
+    for side in ("a", "b"):
+        wide = wide.join(member.toDF(side, "m"), side, "left").withColumn(side, F.coalesce("m", side)).drop("m")
+    wide = wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    same = member.toDF("rep", "a").join(member.toDF("rep", "b"), "rep").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    result, _ = stage_table(wide.unionByName(same), "pairs")
+    drop_path(rows.sparkSession, sets_at, reps_at)
     return result
 
 
+STOP_SIGNS = r"[!-/:-@\[-`{-~]"
+
+
+def content_words(x: str | Column) -> Column:
+    """Lower-case words without punctuation and stop words, in order, repeats kept."""
+    plain = F.regexp_replace(F.lower(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))), STOP_SIGNS, "")
+    return F.filter(F.split(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")), " "), lambda w: (w != "") & ~w.isin(*schema.SIMILARITY_STOPWORDS))
+
+
+def cosine_pairs(rows: DataFrame, threshold: float, key: str = "id", text: str = "text") -> DataFrame:
+    """``a, b, cosine``: all pairs whose counts of content words reach the threshold, exactly.
+
+    With words in order, the rarest first, the first common word of such a pair stands in both where what is left of the
+    text, that word included, still has ``threshold`` of its length: later ones alone can't reach it."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be over 0 and 1 at most")
+    counts = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.explode(content_words(text)).alias("token")).groupBy("id", "token").agg(F.count("*").alias("c"))
+    counts, counts_at = stage_table(counts, "counts")
+    square = F.col("c") * F.col("c")
+    freq = counts.groupBy("token").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("id").orderBy("df", "token")
+    sized = counts.join(freq, "token").withColumns({"ss": F.sum(square).over(Window.partitionBy("id")), "left": F.sum(square).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
+    prefix = sized.where(F.col("left") >= F.col("ss") * (threshold * threshold - 1e-9)).select("id", "token")
+    found = prefix.toDF("a", "token").join(prefix.toDF("b", "token"), "token").where("a < b").select("a", "b").distinct()
+    dots = found.join(counts.toDF("a", "token", "ca"), "a").join(counts.toDF("b", "token", "cb"), ["b", "token"]).groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"))
+    sizes = counts.groupBy("id").agg(F.sum(square).alias("ss"))
+    scored = dots.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b").select("a", "b", (F.col("dot") / F.sqrt(F.col("sa") * F.col("sb"))).alias("cosine"))
+    result, _ = stage_table(scored.where(F.col("cosine") >= threshold - 1e-12), "cosines")
+    drop_path(rows.sparkSession, counts_at)
+    return result
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """``x, y``: the strings of ``inner`` (one column) that stand in strings of ``outer``, exactly. A string is looked up by
+    the rarest of its runs of ``GRAM`` letters, one shorter than that by itself."""
+    short = inner.toDF("x").where("x <> ''").distinct()
+    short, short_at = stage_table(short, "inner")
+    sizes = [r["n"] for r in short.select(F.least(F.length("x"), F.lit(GRAM)).alias("n")).distinct().orderBy("n").collect()]  # at most GRAM
+    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n))))
+    long = outer.toDF("y").where("y <> ''").distinct()
+    held = own = None
+    for n in sizes:
+        part = long.where(F.length("y") >= n).select("y", F.explode(runs("y", n)).alias("g"))
+        mine = short.where(F.least(F.length("x"), F.lit(GRAM)) == n).select("x", F.explode(runs("x", n)).alias("g"))
+        held, own = (part, mine) if held is None else (held.unionByName(part), own.unionByName(mine))
+    if held is None:
+        return short.select("x", F.col("x").alias("y"))
+    held, held_at = stage_table(held, "runs")
+    rare = own.join(held.groupBy("g").agg(F.count("*").alias("df")), "g").groupBy("x").agg(F.min(F.struct("df", "g")).alias("m")).select("x", F.col("m.g").alias("g"))
+    found, _ = stage_table(rare.join(held, "g").where(F.contains("y", F.col("x"))).select("x", "y").distinct(), "contained")
+    drop_path(inner.sparkSession, short_at, held_at)
+    return found
+
+
 def greedy_seeds(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``id, seed``: what a scan in order of ``rank`` keeps (its own seed), and for the others the first kept node
-    that is like them. ``nodes`` has id and rank (unique), ``pairs`` a and b. Rounds decide whole layers at once:
-    a node without undecided earlier neighbour is kept unless an earlier neighbour is."""
+    that is like them. ``nodes`` has id and rank (unique), ``pairs`` a and b. Rounds decide whole layers at once: a node
+    without undecided earlier neighbour is kept, its later neighbours go, and only what is undecided is looked at again."""
     spark = nodes.sparkSession
     r = nodes.select("id", "rank")
     edges = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b").where("ra < rb").select("a", "ra", "b")
     edges, edges_at = stage_table(edges, "edges")
-    state, at = stage_table(r.join(edges.select(F.col("b").alias("id")).distinct(), "id", "left").select("id", F.lit(None).cast("boolean").alias("kept")), "state")
-    old = [edges_at]
+    drop, kept = [edges_at], []
+    open_, links = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), edges.select("a", "b")
     while True:
-        before = edges.join(state.toDF("a", "ka"), "a").groupBy("b").agg(F.max(F.coalesce("ka", F.lit(False))).alias("hit"), F.count(F.when(F.col("ka").isNull(), 1)).alias("open"))
-        rule = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        after, next_at = stage_table(state.join(before, state["id"] == before["b"], "left").select("id", rule.alias("kept")), "state")
-        old.append(at)
-        state, at = after, next_at
-        if not after.where("kept IS NULL").limit(1).count():
+        first, first_at = stage_table(open_.join(links.select(F.col("b").alias("id")), "id", "left_anti"), "first")
+        gone, gone_at = stage_table(first.union(links.join(first.toDF("a"), "a", "left_semi").select("b")).distinct(), "decided")
+        links, links_at = stage_table(links.join(gone.toDF("a"), "a", "left_anti").join(gone.toDF("b"), "b", "left_anti").select("a", "b"), "links")
+        open_, open_at = stage_table(open_.join(gone, "id", "left_anti"), "open")
+        kept.append(first)
+        drop += [first_at, gone_at, links_at, open_at]
+        if open_.isEmpty():
             break
-    first = edges.join(state.where("kept").select(F.col("id").alias("a")), "a").groupBy("b").agg(F.min_by("a", "ra").alias("leader"))
-    result, _ = stage_table(state.join(first, state["id"] == first["b"], "left").select("id", F.when(F.col("kept"), F.col("id")).otherwise(F.col("leader")).alias("seed")), "seeds")
-    drop_path(spark, *old, at)
+    chosen = reduce(DataFrame.union, kept)
+    lead = edges.join(chosen.toDF("a"), "a", "left_semi").groupBy("b").agg(F.min_by("a", "ra").alias("leader"))
+    # nodes that are kept have no earlier neighbour that is
+    result, _ = stage_table(r.join(lead, r["id"] == lead["b"], "left").select("id", F.coalesce("leader", "id").alias("seed")), "seeds")
+    drop_path(spark, *drop)
     return result
 
 
 def deduplicate(facts: DataFrame, threshold: float = 0.8, key: str = "fact_id", text: str = "fact_statement", order: list[Column] | None = None) -> DataFrame:
-    """``facts`` without those like an earlier one that stays; ``order`` are values that ascend, quality first by default."""
-    ranked = facts.select(F.col(key).alias("id"), F.struct(*(order or [-F.col("quality_score")]), F.col(key)).alias("rank"))
-    seeds = greedy_seeds(ranked, jaccard_pairs(facts, threshold, key, text))
-    return facts.join(seeds.where("id = seed").select(F.col("id").alias(key)), key, "left_semi")
+    """``facts`` without those like an earlier one that stays; ``order`` are values that ascend, quality first by default.
+    Of equal word sets only the first can stay, so only distinct sets are compared."""
+    ranked = facts.select(F.col(key).alias("id"), F.struct(*(order or [-F.col("quality_score")]), F.col(key)).alias("rank"), F.array_sort(T.word_set(text)).alias("w"))
+    reps, reps_at = stage_table(ranked.where("size(w) > 0").groupBy("w").agg(F.min("rank").alias("rank"), F.min_by("id", "rank").alias("id")).select("id", "rank", "w"), "distinct-sets")
+    seeds = greedy_seeds(reps, set_pairs(reps.select("id", "w"), threshold)).where("id = seed").select("id")
+    whole = seeds.union(ranked.where("size(w) = 0 OR w IS NULL").select("id")).select(F.col("id").alias(key))
+    kept, _ = stage_table(facts.join(whole, key, "left_semi"), "deduplicated")
+    drop_path(facts.sparkSession, reps_at)
+    return kept
 
 
-def cluster(facts: DataFrame, threshold: float = 0.8, key: str = "pos") -> DataFrame:
+def cluster(facts: DataFrame, threshold: float = 0.8, key: str = "pos", near: DataFrame | None = None, embedded: DataFrame | None = None) -> DataFrame:
     """``key, seed``: leader clustering in order of ``key``; equal triples or statements that reach the threshold
-    are alike. Equal statements are compared once."""
+    are alike. Equal statements are compared once. Where facts have embeddings (``embedded``, their keys), those of both
+    sides decide instead of words: pairs of keys that reach the cosine are ``near`` (a, b)."""
     triple = F.concat_ws("\0", *[T.norm(c) for c in ("subject", "predicate", "object")])
     rows, rows_at = stage_table(facts.select(F.col(key).alias("id"), T.norm("fact_statement").alias("text"), triple.alias("spo")), "claims")
     texts = rows.groupBy("text").agg(F.min("id").alias("id"))
-    near = jaccard_pairs(texts, threshold)
+    alike = jaccard_pairs(texts, threshold)
     member = rows.join(texts.select("text", F.col("id").alias("rep")), "text").select("id", "rep")
     # every member of a text is like every member of a text near it, and like the first of its own
-    wide = near.join(member.toDF("x", "a"), "a").join(member.toDF("y", "b"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    wide = alike.join(member.toDF("x", "a"), "a").join(member.toDF("y", "b"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same_text = member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     spo = rows.groupBy("spo").agg(F.min("id").alias("rep")).join(rows.select("id", "spo"), "spo").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    seeds = greedy_seeds(rows.select("id", F.col("id").alias("rank")), wide.union(same_text).union(spo))
+    said = wide.union(same_text)
+    if near is not None and embedded is not None:
+        own = embedded.select(F.col(key).alias("id"))
+        mark = lambda c: own.select(F.col("id").alias(c), F.lit(True).alias(f"e{c}"))
+        said = said.join(mark("a"), "a", "left").join(mark("b"), "b", "left").where("ea IS NULL OR eb IS NULL").select("a", "b").union(near.select("a", "b"))
+    seeds = greedy_seeds(rows.select("id", F.col("id").alias("rank")), said.union(spo))
     result, _ = stage_table(seeds.select(F.col("id").alias(key), "seed"), "clusters")
     drop_path(facts.sparkSession, rows_at)
     return result
@@ -105,9 +199,6 @@ def agree_exact(claims: DataFrame) -> DataFrame:
     return per.select("subject", "predicate", "object", "agreement", F.array_join("m", ",").alias("source_models"), T.agreement_tier(F.col("agreement")).alias("reliability_rating"), T.weighted_tier(weight).alias("weighted_rating"))
 
 
-GRAM = 6
-
-
 def _clean(x: str | Column) -> Column:
     return F.regexp_replace(F.lower(x), r"(?U)[^\p{Alnum}]", "")
 
@@ -121,19 +212,13 @@ def resolve_entities(facts: DataFrame, threshold: float = 0.85, limit_to: list[s
     # a word's first letter or digit; names without a common one are not compared
     firsts = F.filter(F.array_distinct(F.transform(T.words("e"), lambda w: F.substring(_clean(w), 1, 1))), lambda k: k != "")
     named, named_at = stage_table(entities.select("e", _clean("e").alias("c"), firsts.alias("k")).where("size(k) > 0"), "names")
-    # contained letters: the rarest of a name's runs of GRAM letters (all of a shorter one) is among the other's runs
-    sizes = [r["n"] for r in named.select(F.least(F.length("c"), F.lit(GRAM)).alias("n")).distinct().orderBy("n").collect()]  # at most GRAM
-    runs = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("c") - n + 1, F.lit(1))), lambda i: F.substr("c", i, n)))
-    held = None
-    for n in sizes:
-        part = named.where(F.length("c") >= n).select("e", (F.length("c") == n if n < GRAM else F.lit(True)).alias("whole"), F.explode(runs(F.lit(n))).alias("g"))
-        held = part if held is None else held.unionByName(part)
+    # contained letters, by the distinct spellings
+    inside = contained(named.select("c"), named.select("c")).where("x <> y")
+    same = named.select("e", "c")
+    held = inside.join(same.toDF("p", "x"), "x").join(same.toDF("q", "y"), "y").select("p", "q")
+    twins = same.toDF("p", "c").join(same.toDF("q", "c"), "c").where("p < q").select("p", "q")
     pairs = jaccard_pairs(entities, threshold, "e", "e").select("a", "b")
-    if held is not None:
-        held, held_at = stage_table(held, "grams")
-        rare = held.where("whole").join(held.groupBy("g").agg(F.count("*").alias("df")), "g").groupBy("e").agg(F.min(F.struct("df", "g")).alias("m")).select(F.col("e").alias("x"), F.col("m.g").alias("g"))
-        met = rare.join(held.select(F.col("e").alias("y"), "g"), "g").where("x <> y")
-        pairs = pairs.union(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    pairs = pairs.union(held.union(twins).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).distinct()
     side = lambda x: named.select(F.col("e").alias(x), F.col("k").alias(f"k{x}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("ka", "kb")).select("a", "b")
     if limit_to:
@@ -143,7 +228,7 @@ def resolve_entities(facts: DataFrame, threshold: float = 0.85, limit_to: list[s
     like = F.contains(ca, cb) | F.contains(cb, ca) | (T.jaccard("a", "b") >= threshold)
     nodes = entities.select(F.col("e").alias("id"), F.struct((-F.length("e")).alias("l"), F.col("e").alias("n")).alias("rank"))
     seeds = greedy_seeds(nodes, pairs.where(like))
-    drop_path(facts.sparkSession, named_at, *([held_at] if held is not None else []))
+    drop_path(facts.sparkSession, named_at)
     names = seeds.where("id <> seed").select(F.col("id").alias("entity"), F.col("seed").alias("canonical"))
     out = facts.withColumns({"subject": F.trim("subject"), "object": F.trim("object")})
     for c in ("subject", "object"):
@@ -156,12 +241,7 @@ def resolve_entities(facts: DataFrame, threshold: float = 0.85, limit_to: list[s
 
 def tf_similarity(a: str, b: str, scale: float = 0.405) -> Column:
     """Cosine of word counts without stop words and punctuation, times ``scale``."""
-
-    def counts(x: str) -> Column:
-        plain = F.regexp_replace(F.lower(F.coalesce(F.col(x), F.lit(""))), r"[!-/:-@\[-`{-~]", "")
-        return F.filter(F.split(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")), " "), lambda w: (w != "") & ~w.isin(*schema.SIMILARITY_STOPWORDS))
-
-    x, y = counts(a), counts(b)
+    x, y = content_words(a), content_words(b)
     n = lambda arr, w: F.size(F.filter(arr, lambda v: v == w))
     dot = lambda p, q: F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, w: acc + n(p, w) * n(q, w))
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.lit(scale) * dot(x, y) / F.sqrt(dot(x, x) * dot(y, y)))
