@@ -174,6 +174,11 @@ def weighted_tier(total: Column) -> Column:
     return F.when(total >= 3, "VERIFIED").when(total >= 1.5, "LIKELY_TRUE").when(total >= 0.5, "POSSIBLY_TRUE").otherwise("UNVERIFIED")
 
 
+def split_words(text: str | None) -> list[str]:
+    """What :func:`words` gives, for a single text."""
+    return [w for w in " ".join((text or "").lower().split()).split(" ") if w]
+
+
 def lenient_match(a: str | Column, b: str | Column) -> Column:
     x, y = norm(a), norm(b)
     return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))

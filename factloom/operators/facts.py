@@ -1,8 +1,7 @@
-"""Fact tables: filters, ranks, summaries, stores, promotion, budgets and evaluation."""
+"""Fact tables: filters, ranks, summaries, stores, promotion and budgets."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +32,57 @@ def catalog_query(facts: DataFrame, min_quality: float | None = None, limit: int
     return found if limit is None else found.limit(limit)
 
 
+def add(facts: DataFrame, new: DataFrame) -> DataFrame:
+    """``facts`` and new ones, with their quality; ValueError where one isn't valid, is there already or comes twice."""
+    missing = sorted({"fact_id", "fact_statement", "reliability_rating"} - set(new.columns))
+    if missing:
+        raise ValueError(f"facts need {', '.join(missing)}")
+    _, bad = validate(new)
+    if not bad.isEmpty():
+        raise ValueError("facts need an id and a known rating")
+    if not new.groupBy("fact_id").count().where("count > 1").isEmpty() or not new.join(facts.select("fact_id"), "fact_id", "left_semi").isEmpty():
+        raise ValueError("an id is there already")
+    usage = new if "usage_count" in new.columns else new.withColumn("usage_count", F.lit(0))
+    return facts.unionByName(usage.withColumn("quality_score", quality_score()).select(*[c for c in facts.columns if c in usage.columns or c == "quality_score"]), allowMissingColumns=True)
+
+
+def get(facts: DataFrame, fact_id: str) -> dict:
+    """A fact's attributes; ValueError where there is none."""
+    row = facts.where(F.col("fact_id") == fact_id).first()
+    if row is None:
+        raise ValueError(f"no fact {fact_id!r}")
+    return row.asDict(True)
+
+
+def change_log(before: DataFrame, after: DataFrame, at: str) -> DataFrame:
+    """``fact_id, change, attributes, at``: facts that were added, deleted, or updated and in what."""
+    names = [c for c in after.columns if c != "fact_id" and c in before.columns]
+    old = before.select("fact_id", F.struct(*names).alias("o"))
+    new = after.select("fact_id", F.struct(*names).alias("n"))
+    rows = old.join(new, "fact_id", "full")
+    changed = F.array_compact(F.array(*[F.when(~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")), F.lit(c)) for c in names]))
+    kind = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "deleted").when(F.size(changed) > 0, "updated")
+    return rows.select("fact_id", kind.alias("change"), F.when(kind == "updated", changed).alias("attributes"), F.lit(at).alias("at")).where("change IS NOT NULL")
+
+
+def distilled_stats(total: DataFrame, selected: DataFrame) -> DataFrame:
+    """One row: facts in all, selected, removed, and the share removed (0 of none)."""
+    row = total.agg(F.count("*").alias("total_facts")).crossJoin(selected.agg(F.count("*").alias("selected_facts")))  # one row each
+    share = F.when(F.col("total_facts") == 0, 0.0).otherwise(1 - F.col("selected_facts") / F.col("total_facts"))
+    return row.select("total_facts", "selected_facts", (F.col("total_facts") - F.col("selected_facts")).alias("removed_facts"), share.alias("reduction_ratio"))
+
+
+def dataset_stats(records: DataFrame) -> DataFrame:
+    """One row over chat records (``messages, reliability_rating``): how many, of each tier, and mean characters of what
+    users and assistants say."""
+    said = lambda role: F.aggregate(F.filter("messages", lambda m: m["role"] == role), F.lit(0), lambda n, m: n + F.coalesce(F.length(m["content"]), F.lit(0)))
+    turns = lambda role: F.size(F.filter("messages", lambda m: m["role"] == role))
+    rows = records.select("reliability_rating", *[f(r).alias(n + r) for r in ("user", "assistant") for f, n in ((said, "chars_"), (turns, "turns_"))])
+    mean = lambda r: F.round(F.coalesce(F.sum(f"chars_{r}") / F.nullif(F.sum(f"turns_{r}"), F.lit(0)), F.lit(0.0)), 1).alias(f"mean_{r}_chars")
+    tiers = [F.count(F.when(F.coalesce("reliability_rating", F.lit("UNVERIFIED")) == t, 1)).alias(t.lower()) for t in schema.TIERS]
+    return rows.agg(F.count("*").alias("records"), *tiers, mean("user"), mean("assistant"))
+
+
 def validate(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with an id and a known rating, and the others."""
     ok = F.coalesce((F.trim("fact_id") != "") & F.col("reliability_rating").isin(*schema.TIERS), F.lit(False))
@@ -132,10 +182,17 @@ def contradictions(facts: DataFrame) -> DataFrame:
     return both.select("subject", "predicate", F.size("o").alias("n_objects"), F.array_join(F.transform("o", lambda x: F.concat(x["object"], F.lit("<-"), x["sources"])), "; ").alias("objects"))
 
 
+def body_hash(statement: str = "fact_statement") -> Column:
+    """An aggregate that names a set of statements, repeats counted, whatever their order: of their number and two sums of
+    parts of their digests. Nothing is collected, so a source may hold any number."""
+    part = lambda at: F.sum(F.conv(F.substring(F.md5(F.coalesce(F.col(statement), F.lit(""))), at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return F.sha2(F.concat_ws(":", F.count("*").cast("string"), part(1), part(16)), 256)
+
+
 def drop_tables(facts: DataFrame) -> DataFrame:
     """Headers of immutable drops: one for each source, named by a hash of what it holds."""
-    body = facts.groupBy("source").agg(F.count("*").alias("num_facts"), F.array_join(F.array_sort(F.collect_list("fact_statement")), "\n").alias("body"))
-    return body.select(F.substring(T.content_hash("body"), 1, 16).alias("drop_id"), "source", T.content_hash("body").alias("source_hash"), "num_facts")
+    body = facts.groupBy("source").agg(F.count("*").alias("num_facts"), body_hash().alias("source_hash"))
+    return body.select(F.substring("source_hash", 1, 16).alias("drop_id"), "source", "source_hash", "num_facts")
 
 
 def unseen(facts: DataFrame, seen: DataFrame) -> DataFrame:
@@ -193,44 +250,3 @@ def prepare_sft(lines: DataFrame, min_reliability: str | None = None) -> DataFra
     rows = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", kinds)).select("value", F.col("r.messages").alias("messages"), F.coalesce("r.metadata.reliability", F.lit("UNVERIFIED")).alias("rating"))
     low = F.lit(False) if min_reliability is None else schema.rank("rating") < schema.TIERS.index(min_reliability) + 1
     return rows.select("value", F.coalesce(chat_problem(), F.when(low, "below the least rating")).alias("problem"))
-
-
-def evaluate(predicted: DataFrame, gold: DataFrame, item: str = "item") -> DataFrame:
-    """One row: true and false positives, misses, precision, recall and F1 of triples, matched one to one in each item."""
-    pairs = predicted.alias("p").join(gold.alias("g"), item).where(
-        T.lenient_match("p.subject", "g.subject") & T.lenient_match("p.object", "g.object")
-        & (F.contains(T.predicate_family("p.predicate"), T.predicate_family("g.predicate")) | F.contains(T.predicate_family("g.predicate"), T.predicate_family("p.predicate")))
-    )
-    hits = pairs.groupBy(item).agg(F.least(F.countDistinct("p.subject", "p.predicate", "p.object"), F.countDistinct("g.subject", "g.predicate", "g.object")).alias("tp")).agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"))
-    totals = hits.crossJoin(predicted.agg(F.count("*").alias("np"))).crossJoin(gold.agg(F.count("*").alias("ng")))
-    p = F.when(F.col("np") == 0, F.when(F.col("ng") == 0, 1.0).otherwise(0.0)).otherwise(F.col("tp") / F.col("np"))
-    r = F.when(F.col("ng") == 0, 1.0).otherwise(F.col("tp") / F.col("ng"))
-    return totals.select("tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn"), F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)), 4).alias("f1"))
-
-
-GATES = {"min_precision": 0.80, "min_verified_precision": 0.90, "max_hallucination": 0.10, "min_coverage": 0.30}
-
-
-def evaluate_shard(shard: DataFrame, gold: DataFrame, negative: DataFrame) -> DataFrame:
-    """Precision by tier and over all, hallucination rate and coverage of model facts against a small gold set."""
-    same = lambda g: T.lenient_match("s.subject", f"{g}.subject") & T.lenient_match("s.object", f"{g}.object")
-    facts = shard.withColumn("__id", F.monotonically_increasing_id())
-    good = facts.alias("s").join(F.broadcast(gold).alias("g"), same("g"), "left_semi").select("__id").withColumn("good", F.lit(1))
-    bad = facts.alias("s").join(F.broadcast(negative).alias("g"), same("g"), "left_semi").select("__id").withColumn("bad", F.lit(1))
-    flagged = facts.join(good, "__id", "left").join(bad, "__id", "left").fillna(0, ["good", "bad"])
-    covered = gold.alias("g").join(shard.alias("s"), same("g"), "left_semi").agg(F.count("*").alias("covered")).crossJoin(gold.agg(F.count("*").alias("all_gold")))
-    row = flagged.agg(
-        F.count("*").alias("n"), F.avg("good").alias("precision"), F.avg(F.when(F.col("reliability_rating") == "VERIFIED", F.col("good"))).alias("verified_precision"), F.avg("bad").alias("hallucination")
-    )
-    return row.crossJoin(covered).select("n", *[F.round(c, 4).alias(c) for c in ("precision", "verified_precision", "hallucination")], F.round(F.col("covered") / F.col("all_gold"), 4).alias("coverage"))
-
-
-def check_gates(row: Mapping, gates: Mapping[str, float] = GATES) -> list[str]:
-    """What a row of :func:`evaluate_shard` misses."""
-    out = []
-    for gate, limit in gates.items():
-        side, _, name = gate.partition("_")
-        value = row[name]
-        if value is not None and (value < limit if side == "min" else value > limit):
-            out.append(f"{name} {value:.4g} is {'below' if side == 'min' else 'above'} {limit:g}")
-    return out
