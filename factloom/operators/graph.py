@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom import schema
 from factloom.functions import text as T
+from factloom.plans import match
 from factloom.session import drop_path, stage_table
 
 TAXONOMY = ["is a", "is a type of", "subclass of", "type of"]
@@ -30,7 +34,8 @@ def link(facts: DataFrame) -> DataFrame:
     """``src, dst, predicate, weight``: an edge where a fact's object is another's subject, one for each pair."""
     a = facts.select(F.col("block_id").alias("src"), F.col("predicate").alias("p"), F.lower("object").alias("k"))
     b = facts.select(F.col("block_id").alias("dst"), F.col("predicate").alias("q"), F.lower("subject").alias("k"))
-    return a.join(b, "k").where("src <> dst").select("src", "dst", F.concat("p", F.lit("_"), "q").alias("predicate"), F.lit(1.0).alias("weight"))
+    found = a.join(b, "k").where("src <> dst").groupBy("src", "dst").agg(F.min(F.concat("p", F.lit("_"), "q")).alias("predicate"))
+    return found.select("src", "dst", "predicate", F.lit(1.0).alias("weight"))
 
 
 def _side(facts: DataFrame, name: str) -> DataFrame:
@@ -83,7 +88,7 @@ def chain_instructions(facts: DataFrame, edges: DataFrame, max_chains: int | Non
     s1, o1, f1, r1, s2, o2, f2, r2 = (F.col(k) for k in ("s1", "o1", "f1", "r1", "s2", "o2", "f2", "r2"))
     t = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
     texts = [
-        (t("Trace the relationship connection starting from ", s1, " to ", o2, "."), t("According to the knowledge graph, ", s1, " connects to ", o2, " through the intermediate concept ", o1, ". ", "Specifically, we know that: \n- ", f1, " (Reliability: ", r1, ")\n- ", f2, " (Reliability: ", r2, ")")),
+        (t("Trace the relationship connection starting from ", s1, " to ", o2, "."), t("According to the knowledge graph, ", s1, " connects to ", o2, " through the intermediate concept ", o1, ". Specifically, we know that: \n- ", f1, " (Reliability: ", r1, ")\n- ", f2, " (Reliability: ", r2, ")")),
         (t("Explain the sequence of connections linking ", s1, " to ", o2, "."), t("The logical path connecting ", s1, " to ", o2, " is:\n1. ", f1, "\n2. ", f2)),
         (t("If ", f1, " and we know that ", s2, " connects to ", o2, ", what is the second step in the path?"), t("The second step in the path is: ", f2)),
     ]
@@ -107,9 +112,9 @@ def contradiction_instructions(facts: DataFrame) -> DataFrame:
     verdict = (
         F.when(k1 > k2, rated(1, s1, r1, n1, 2, r2, n2)).when(k2 > k1, rated(2, s2, r2, n2, 1, r1, n1))
         .when(n1.cast("int") > n2.cast("int"), agreed(1, s1, n1, 2, n2)).when(n2.cast("int") > n1.cast("int"), agreed(2, s2, n2, 1, n1))
-        .otherwise(t("Both claims have equal reliability ratings (", r1, ") and agreement counts (", n1, "). ", "Neither claim can be conclusively preferred without additional context."))
+        .otherwise(t("Both claims have equal reliability ratings (", r1, ") and agreement counts (", n1, "). Neither claim can be conclusively preferred without additional context."))
     )
-    ask = t("Evaluate the following two conflicting claims", " and determine which is more reliable:\n1. ", s1, "\n2. ", s2)
+    ask = t("Evaluate the following two conflicting claims and determine which is more reliable:\n1. ", s1, "\n2. ", s2)
     return p.select(F.col("a_block_id").alias("a"), F.col("b_block_id").alias("b"), ask.alias("instruction"), verdict.alias("response"))
 
 
@@ -278,9 +283,17 @@ def seeds(facts: DataFrame, query: str, limit: int = 5) -> DataFrame:
     return facts.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "block_id").limit(limit)
 
 
-def retrieve(facts: DataFrame, edges: DataFrame, query: str, top_k: int = 5, most: int = 2, weight: float = 0.3, verified_only: bool = True, ranks: DataFrame | None = None) -> DataFrame:
-    """``block_id, hybrid``: seeds and their surroundings by matched words and PageRank; conflicting facts aren't entered."""
-    first = seeds(facts, query, top_k)
+def vector_seeds(facts: DataFrame, vector: list[float], limit: int = 5, column: str = "embedding") -> DataFrame:
+    """Facts whose embeddings are nearest to a vector, by cosine; a partial top list in each task."""
+    score = T.cosine(column, F.array(*[F.lit(float(x)) for x in vector]))
+    return facts.where(F.col(column).isNotNull()).withColumn("score", score).orderBy(F.desc("score"), "block_id").limit(limit)
+
+
+def retrieve(facts: DataFrame, edges: DataFrame, query: str, top_k: int = 5, most: int = 2, weight: float = 0.3, verified_only: bool = True, ranks: DataFrame | None = None, vector: list[float] | None = None) -> DataFrame:
+    """``block_id, hybrid``: seeds and their surroundings by likeness and PageRank; conflicting facts aren't entered. Likeness
+    is the share of matched words, or with the query's ``vector`` the cosine of ``embedding``. Ranks of a graph that is asked
+    often are given, so that no question computes them again."""
+    first = seeds(facts, query, top_k) if vector is None else vector_seeds(facts, vector, top_k)
     first = first.where("reliability_rating <> 'UNVERIFIED'") if verified_only else first
     low = lambda c: F.lower(F.trim(c))
     bad = conflict_pairs(facts).select(low("subject").alias("s"), low("object").alias("o")).distinct()
@@ -290,7 +303,10 @@ def retrieve(facts: DataFrame, edges: DataFrame, query: str, top_k: int = 5, mos
     ranks = pagerank(facts, edges) if ranks is None else ranks
     top = ranks.agg(F.max("rank").alias("top"))
     terms = query_terms(query)
-    sim = sum((F.contains(F.lower("fact_statement"), F.lit(w)).cast("int") for w in terms), F.lit(0)) / max(1, len(terms))
+    if vector is None:
+        sim = sum((F.contains(F.lower("fact_statement"), F.lit(w)).cast("int") for w in terms), F.lit(0)) / max(1, len(terms))
+    else:
+        sim = F.coalesce(T.cosine("embedding", F.array(*[F.lit(float(x)) for x in vector])), F.lit(0.0))
     rows = found.join(facts, "block_id").join(ranks, "block_id", "left").crossJoin(F.broadcast(top))
     score = (1 - weight) * sim + weight * F.coalesce(F.col("rank"), F.lit(0.0)) / F.col("top")
     return rows.withColumn("hybrid", F.round(score, 6)).orderBy(F.desc("hybrid"), "block_id").limit(2 * top_k)
@@ -303,12 +319,35 @@ def context(found: DataFrame) -> DataFrame:
     return found.agg(F.when(F.count("*") == 0, "No relevant facts found in the knowledge graph.").otherwise(F.concat(F.lit("### Verified Knowledge Graph Facts:\n"), F.array_join(lines, "\n"))).alias("context"))
 
 
+def parsed(spark: SparkSession, text: str):
+    """The plan of a query that only reads, and whether its outermost step is a LIMIT; a ValueError says why it isn't one."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as e:
+        raise ValueError(f"can't be parsed: {str(e).splitlines()[0]}") from None
+    gateway, package = spark.sparkContext._gateway, "org.apache.spark.sql.catalyst.plans.logical"
+    todo, nodes = [plan], []
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        if any(is_instance_of(gateway, node, f"{package}.{k}") for k in ("Command", "ParsedStatement")):
+            raise ValueError("only a single SELECT is allowed")
+        for inner in (node.children(), node.innerChildren()):
+            todo += [x for x in (inner.apply(i) for i in range(inner.size())) if is_instance_of(gateway, x, f"{package}.LogicalPlan")]
+    if re.search(r"\b(?:java_method|reflect|try_reflect)\s*\(", text, re.I):
+        raise ValueError("functions that call into the runtime are not allowed")
+    while plan.nodeName() == "UnresolvedWith":
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "GlobalLimit"
+
+
 def graph_sql(spark: SparkSession, facts: DataFrame, edges: DataFrame, query: str, limit: int = 100) -> DataFrame:
-    """A read-only query over the views ``Fact`` and ``RELATED``; statements that write are refused."""
+    """A read-only query over the views ``Fact`` and ``RELATED``: one SELECT, or a MATCH pattern. What writes is refused by
+    its parsed plan; a query whose outermost step isn't a LIMIT gets one."""
+    text = query.strip().rstrip(";").strip()
+    text = match.translate(text) if re.match(r"MATCH\b", text, re.I) else text
+    capped = parsed(spark, text)
     facts.createOrReplaceTempView("Fact")
     edges.createOrReplaceTempView("RELATED")
-    text = query.strip().rstrip(";")
-    if ";" in text or text.split(None, 1)[0].upper() not in ("SELECT", "WITH"):
-        raise ValueError("only a single SELECT is allowed")
     found = spark.sql(text)
-    return found if " limit " in f" {text.lower()} " else found.limit(limit)
+    return found if capped else found.limit(limit)

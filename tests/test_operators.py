@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators import chain, extract, graph, similarity, vectors
+from factloom.operators import chain, evaluation, extract, graph, similarity, vectors
 from factloom.operators import facts as O
 from factloom.sources import ingest
 
@@ -54,9 +54,12 @@ def test_gold_set(spark):
     gold = [("a", "Robert Putnam", "wrote", "Bowling Alone"), ("b", "Marie Curie", "born_in", "Warsaw"), ("c", "Ada Byron", "developed", "program")]
     found = [("a", "Robert Putnam", "wrote", "Bowling Alone"), ("b", "Marie Curie", "was", "born"), ("c", "Ada Byron", "developed", "a civic honors program")]
     kind = "item string, subject string, predicate string, object string"
-    row = O.evaluate(spark.createDataFrame(found, kind), spark.createDataFrame(gold, kind)).first()
+    row = evaluation.evaluate(spark.createDataFrame(found, kind), spark.createDataFrame(gold, kind)).first()
     assert (row.tp, row.fp, row.fn, row.precision, row.recall, row.f1) == (2, 1, 1, 0.6667, 0.6667, 0.6667)
-    none = O.evaluate(spark.createDataFrame([], kind), spark.createDataFrame([], kind)).first()
+    # one gold triple is found by one prediction alone, the first in order
+    twice = evaluation.evaluate(spark.createDataFrame([("a", "Robert Putnam", "wrote", "Bowling Alone"), ("a", "Putnam", "wrote", "Bowling"), ("a", "Putnam", "", "")], kind), spark.createDataFrame([*gold[:1], ("a", "", "wrote", "")], kind)).first()
+    assert (twice.tp, twice.fp, twice.fn) == (1, 2, 1)
+    none = evaluation.evaluate(spark.createDataFrame([], kind), spark.createDataFrame([], kind)).first()
     assert (none.precision, none.recall) == (1.0, 1.0)
 
 
@@ -65,9 +68,9 @@ def test_shard_evaluation_and_gates(spark):
     gold = spark.createDataFrame([("Mitochondria", "ATP"), ("Nucleus", "DNA"), ("Ribosomes", "protein")], triple)
     bad = spark.createDataFrame([("Mitochondria", "photosynthesis")], triple)
     shard = spark.createDataFrame([("Mitochondria", "ATP", "VERIFIED"), ("mitochondria", "photosynthesis", "LIKELY_TRUE"), ("Nucleus", "DNA", "VERIFIED")], triple + ", reliability_rating string")
-    row = O.evaluate_shard(shard, gold, bad).first().asDict()
+    row = evaluation.evaluate_shard(shard, gold, bad).first().asDict()
     assert row == {"n": 3, "precision": 0.6667, "verified_precision": 1.0, "hallucination": 0.3333, "coverage": 0.6667}
-    assert O.check_gates(row) == ["precision 0.6667 is below 0.8", "hallucination 0.3333 is above 0.1"]
+    assert evaluation.check_gates(row) == ["precision 0.6667 is below 0.8", "hallucination 0.3333 is above 0.1"]
 
 
 def test_quality_gates(spark):
@@ -336,11 +339,33 @@ def test_reasoning(spark):
     assert [(r.predicate, r.reliability_rating) for r in graph.reconcile(f).where("demoted").collect()] == [("do not produce", "UNVERIFIED")]
     assert graph.chain_instructions(f, e).count() == 9 and graph.contradiction_instructions(f).count() == 1
     assert graph.graph_sql(spark, f, e, "SELECT count(*) AS n FROM Fact").first().n == 5
-    for bad in ("DROP TABLE Fact", "SELECT 1; SELECT 2", "insert into Fact values (1)"):
+    spark.sql("CREATE OR REPLACE TEMP VIEW one AS SELECT 1 AS a")
+    for bad in ("DROP TABLE Fact", "SELECT 1; SELECT 2", "insert into Fact values (1)", "WITH x AS (SELECT 1 AS a) INSERT INTO one SELECT a FROM x", "SELECT java_method('java.lang.System', 'exit', '1')", "SET a=b", "nonsense", "MATCH (f:Fact) SET f.subject = 'x' RETURN f", "MATCH (f:Fact DELETE f"):
         with pytest.raises(ValueError):
             graph.graph_sql(spark, f, e, bad)
 
 
+def test_limits_and_patterns(spark):
+    v = ("VERIFIED", 1, 10.0)
+    f = graph_facts(spark, [("ATP", "is", "energy", v), ("energy", "is", "work", v), ("it's", "is", "ATP", ("LIKELY_TRUE", 1, 2.0))])
+    e = graph.link(f)
+    ask = lambda q, n=100: graph.graph_sql(spark, f, e, q, n).collect()
+    assert len(ask("SELECT * FROM Fact", 2)) == 2 and len(ask("SELECT * FROM Fact LIMIT 3", 2)) == 3
+    assert len(ask("SELECT * FROM (SELECT * FROM Fact LIMIT 3) t", 1)) == 1
+    assert len(ask("WITH x AS (SELECT * FROM Fact) SELECT * FROM x", 1)) == 1
+    assert ask("MATCH (f:Fact) RETURN count(f) AS n")[0].n == 3
+    assert [r.s for r in ask("MATCH (f:Fact) WHERE toLower(f.object) CONTAINS 'at' OR f.subject IN ['energy'] RETURN f.subject AS s ORDER BY s LIMIT 5")] == ["energy", "it's"]
+    assert [tuple(r) for r in ask("MATCH (a:Fact)-[r:RELATED]->(b:Fact) WHERE a.subject = 'ATP' RETURN a.subject, b.object")] == [("ATP", "work")]
+    assert ask("MATCH (a:Fact)<-[:RELATED]-(b:Fact {subject: 'ATP'}) RETURN a.object AS o")[0].o == "work"
+    assert sorted(r.s for r in ask("MATCH (a:Fact {subject: 'ATP'})-[r]-(b) RETURN b.subject AS s")) == ["energy", "it's"]
+    assert [r.s for r in ask("MATCH (a:Fact), (b:Fact) WHERE a.object = b.subject AND a.subject STARTS WITH \"it's\" RETURN b.subject AS s")] == ["ATP"]
+    assert ask("MATCH (f:Fact) WHERE f.subject = 'it\\'s' RETURN f")[0].object == "ATP"
+    assert [r[0] for r in ask("MATCH (a)-[:RELATED]->(b)-[:RELATED]->(c) RETURN c.object")] == ["work"]
+    for bad in ("MATCH (f:Person) RETURN f", "MATCH (f:Fact)", "MATCH (a)-[:KNOWS]->(b) RETURN a", "MATCH (a)<-[r]->(b) RETURN a", "MATCH f RETURN f"):
+        with pytest.raises(ValueError):
+            ask(bad)
+
+
 def test_ontology(spark):
     v = ("VERIFIED", 1, 10.0)
     f = graph_facts(spark, [("ATP", "is a", "ChemicalCompound", v), ("Glucose", "is a type of", "ChemicalCompound", v), ("Mitochondria", "produces", "ATP", v), ("Respiration", "occurs in", "Cytoplasm", v)])
