@@ -169,6 +169,13 @@ def record(fmt: str, category: str = "category", statement: str = "fact_statemen
     raise ValueError(f"unknown format {fmt!r}")
 
 
+#: columns of probe outputs
+PROBED = (
+    "model string, backend string, domain string, prompt string, prompt_type string, "
+    "structured_response struct<facts: array<struct<subject: string, predicate: string, object: string, context_or_qualifier: string, confidence: double>>>"
+)
+
+
 def probe_facts(outputs: DataFrame) -> DataFrame:
     """Facts of probe outputs (``model, backend, domain, prompt, prompt_type, structured_response``), echoes dropped."""
     rows = outputs.select("model", "backend", "domain", "prompt", "prompt_type", F.explode("structured_response.facts").alias("f")).select(

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from factloom import schema
 from factloom.functions import text as T
-from factloom.operators import extract, similarity
+from factloom.operators import extract, graph, similarity
+from factloom.session import stage_table
 
 _TRIPLE = "subject-predicate-object"
 #: kind of prompt to (entities it needs, its text)
@@ -88,20 +90,23 @@ def crawl(spark: SparkSession, seed: str, backend: Callable[[str], tuple[str, fl
             said = [backend(f"Provide a concise list of factual assertions about '{t}'.") for t in pdf["topic"]]
             yield pd.DataFrame({"topic": pdf["topic"], "text": [s[0] for s in said], "logprob": [float(s[1]) for s in said]})
 
-    seen, level, found = set(), [seed], None
+    first = spark.createDataFrame([(seed.strip(),)] if seed.strip() else [], "topic string")
+    level, _ = stage_table(first, "topics")
+    seen, found = level.select(F.lower("topic").alias("low")), None
     for at in range(depth + 1):
-        level = [t for t in dict.fromkeys(level) if t.strip() and t.strip().lower() not in seen]
-        seen |= {t.strip().lower() for t in level}
-        if not level:
+        if level.isEmpty():
             break
-        texts = spark.createDataFrame([(t,) for t in level], "topic string").repartition(len(level)).mapInPandas(ask, kind)
-        texts = spark.createDataFrame(texts.collect(), kind)  # asked once
+        # a topic is asked once: what was said is a table
+        texts, _ = stage_table(level.repartition(max(1, fan_out**at)).mapInPandas(ask, kind), "said")
         sure = texts.where((F.trim("text") != "") & ((F.col("logprob") >= least) | (F.col("logprob") == 0)))
         rows = extract.extract_facts(sure.select(F.concat(F.lit("crawler-"), F.lower(F.trim("topic"))).alias("topic"), "text"), "topic").withColumns({"depth": F.lit(at), "source_models": F.array(F.lit(model))})
+        rows, _ = stage_table(rows, "crawled")
         found = rows if found is None else found.unionByName(rows)
-        level = []
-        for r in rows.orderBy("source_id", "ordinal").groupBy("source_id").agg(F.flatten(F.collect_list(F.array("subject", "object"))).alias("c")).orderBy("source_id").collect():
-            level += [c for c in dict.fromkeys(r["c"]) if c.lower() not in seen][:fan_out]
+        named = rows.select("source_id", "ordinal", F.posexplode(F.array("subject", "object")).alias("k", "topic")).withColumn("topic", F.trim("topic")).withColumn("low", F.lower("topic")).where("low <> ''")
+        new = named.join(seen, "low", "left_anti").groupBy("source_id", "low").agg(F.min(F.struct("ordinal", "k", "topic")).alias("m"))
+        new = new.withColumn("n", F.row_number().over(Window.partitionBy("source_id").orderBy("m"))).where(F.col("n") <= fan_out)
+        level, _ = stage_table(new.groupBy("low").agg(F.min_by("m.topic", F.struct("source_id", "m")).alias("topic")).select("topic"), "topics")
+        seen, _ = stage_table(seen.union(level.select(F.lower("topic"))), "seen")
     return found
 
 
@@ -130,13 +135,94 @@ def report(agreed: DataFrame) -> DataFrame:
     return agreed.agg(F.count("*").alias("clusters"), n("VERIFIED").alias("verified"), n("LIKELY_TRUE").alias("likely"), n("POSSIBLY_TRUE", "UNVERIFIED").alias("possibly"))
 
 
+def report_rows(agreed: DataFrame, limit: int | None = None) -> DataFrame:
+    """Clusters as a report lists them: most models first, then most members, then by statement."""
+    rows = agreed.select("fact_statement", "agreement", "members", "source_models", "reliability_rating").orderBy(F.desc("agreement"), F.desc("members"), "fact_statement")
+    return rows if limit is None else rows.limit(limit)
+
+
+def verified_facts(agreed: DataFrame, min_models: int = 2) -> DataFrame:
+    """Facts that enough models hold, with a quality of their tier's grade and the number of models."""
+    grade = F.create_map(*[F.lit(x) for kv in GRADE.items() for x in kv])
+    return agreed.where(F.col("agreement") >= min_models).withColumn("quality_score", (grade[F.col("reliability_rating")] + F.col("agreement")).cast("double"))
+
+
+def manifest(agreed: DataFrame, name: str = "model_shard", min_agreement: int = 1, claims: DataFrame | None = None) -> DataFrame:
+    """One row: the models that contributed, facts by tier, and how many claims they came from."""
+    rows = agreed.where(F.col("agreement") >= min_agreement)
+    n = lambda t: F.count(F.when(F.col("reliability_rating") == t, 1)).alias(t.lower())
+    counts = rows.agg(F.count("*").alias("facts"), n("VERIFIED"), n("LIKELY_TRUE"), n("POSSIBLY_TRUE"))
+    names = rows.select(F.explode(F.split("source_models", ",")).alias("m")).where("m <> ''").distinct().agg(F.array_join(F.array_sort(F.collect_list("m")), ",").alias("models"))  # one a model
+    total = (rows if claims is None else claims).agg(F.count("*").alias("input_facts"))
+    return counts.crossJoin(names).crossJoin(total).select(F.lit(name).alias("shard"), "models", "facts", "verified", "likely_true", "possibly_true", F.lit(min_agreement).alias("min_agreement"), "input_facts")  # one row each
+
+
+def model_of(facts: DataFrame) -> Column:
+    """The model that a fact is of: its provenance's, else its source, else its model."""
+    names = dict(facts.dtypes)
+    found = [F.col("model_provenance.model")] if "model_provenance" in names else []
+    return F.coalesce(*found, *[F.col(c) for c in ("_source", "model") if c in names], F.lit(None).cast("string"))
+
+
+def of_models(facts: DataFrame) -> DataFrame:
+    """Facts that a model gave: those with a provenance."""
+    return facts.where("model_provenance IS NOT NULL")
+
+
+def model_content_hash(model: str | Column, domain: str | Column, prompts: str | Column) -> Column:
+    """What names a model's drop: a hash of model, domain and each prompt, ended by a zero sign each."""
+    c = lambda x: F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
+    parts = F.concat(F.array(c(model), c(domain)), F.col(prompts) if isinstance(prompts, str) else prompts)
+    return F.sha2(F.concat(F.array_join(parts, "\0"), F.lit("\0")), 256)
+
+
+def probe_domain(prompts_: DataFrame, backends: dict[str, Callable], threshold: float = 0.8) -> DataFrame:
+    """The same prompts to several models, and what they agree on."""
+    rows = reduce(DataFrame.unionByName, [extract.probe_facts(extract.probe(prompts_, b, m)) for m, b in backends.items()])
+    claims, _ = stage_table(rows.withColumns({"model": model_of(rows), "pos": F.monotonically_increasing_id()}), "probed")
+    return statement_tier(claims, threshold)
+
+
+def reextract(drops: DataFrame, engine: str, resolve: bool = False) -> DataFrame:
+    """Facts of every drop (``drop_id, source_text``) that has a text, extracted anew, as drops named for the engine."""
+    texts = drops.where("trim(source_text) <> ''").select(F.concat("drop_id", F.lit(f"-reextract-{engine}")).alias("drop_id"), F.col("source_text").alias("text"))
+    return extract.extract_facts(texts, "drop_id", engine, resolve).withColumnRenamed("source_id", "drop_id")
+
+
+def list_models(lister: Callable[[], list[str]]) -> list[str]:
+    """Names that a lister gives, without those that only embed; none where it fails."""
+    try:
+        return sorted({n for n in lister() if n and "embed" not in n.lower()})
+    except Exception:
+        return []
+
+
+def batch_report(rows: DataFrame) -> DataFrame:
+    """One row of a batch (``status, facts`` an item): items, dropped, skipped, errors, facts."""
+    n = lambda cond: F.count(F.when(cond, 1))
+    status = F.col("status")
+    return rows.agg(F.count("*").alias("items"), n(status == "ok").alias("dropped"), n(status == "skipped").alias("skipped"), n(status.startswith("error")).alias("errors"), F.coalesce(F.sum("facts"), F.lit(0)).alias("facts"))
+
+
 def consensus(docs: DataFrame, engines: list[str], id_column: str = "doc_id") -> DataFrame:
     """Facts that several extractors find in the same texts: an engine is a model."""
-    both = None
-    for name in engines:
-        rows = extract.extract_facts(docs, id_column, name).withColumn("model", F.lit(name))
-        both = rows if both is None else both.unionByName(rows)
-    return similarity.agree_exact(both)
+    return similarity.agree_exact(engine_claims(docs, engines, id_column))
+
+
+def engine_claims(docs: DataFrame, engines: list[str], id_column: str = "doc_id") -> DataFrame:
+    return reduce(DataFrame.unionByName, [extract.extract_facts(docs, id_column, name).withColumn("model", F.lit(name)) for name in engines])
+
+
+def consensus_graph(docs: DataFrame, engines: list[str], id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(facts, edges) of all engines: extracted, agreed on, put into a graph, linked, and contradictions demoted."""
+    agreed = consensus(docs, engines, id_column)
+    grade = F.create_map(*[F.lit(x) for kv in GRADE.items() for x in kv])
+    facts = agreed.withColumns({
+        "fact_statement": T.verbalize("subject", "predicate", "object"), "block_id": T.block_id("subject", "predicate", "object"),
+        "quality_score": (grade[F.col("reliability_rating")] + F.col("agreement")).cast("double"),
+    })
+    facts, _ = stage_table(graph.reconcile(facts), "consensus")
+    return facts, graph.link(facts)
 
 
 def critic(facts: DataFrame, backend: Callable[[str], bool] | None = None) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from factloom.schema import FACT, TIERS
+
 EXTENSIONS = ["htm", "html", "markdown", "md", "pdf", "txt"]
 _WS = r"(?U)^\s+|\s+$"
 
@@ -122,14 +125,43 @@ def load_facts_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_facts(table: DataFrame) -> DataFrame:
-    kinds = "map<string, struct<fact_statement: string, category: string, tags: string, reliability_rating: string, source_id: string, usage_count: int, subject: string, predicate: string, object: string>>"
-    rows = table.select(F.explode(F.from_json("value", kinds)).alias("fact_id", "f")).select("fact_id", "f.*")
-    return rows.withColumns({"tags": F.filter(F.transform(F.split("tags", ","), lambda t: F.trim(t)), lambda t: t != ""), "reliability_rating": valid_rating("reliability_rating")})
+    """All columns of the model (nulls where absent); tags and related facts are given as arrays or as text with commas."""
+    kinds = [(c.split()[0], c.split()[1]) for c in FACT.split(", ") if c.split()[0] != "fact_id"]
+    held = ", ".join(f"{n}: {'string' if k.startswith(('array', 'timestamp')) else k}" for n, k in kinds)
+    rows = table.select(F.explode(F.from_json("value", f"map<string, struct<{held}>>")).alias("fact_id", "f")).select("fact_id", "f.*")
+    out = {n: listed(n) if k.startswith("array") else F.try_to_timestamp(n) for n, k in kinds if k.startswith(("array", "timestamp"))}
+    return rows.withColumns(out | {"reliability_rating": valid_rating("reliability_rating")})
+
+
+def listed(column: str) -> Column:
+    """A JSON array, or text with commas, as an array of texts; null stays."""
+    many = F.coalesce(F.when(F.trim(column).startswith("["), F.from_json(column, "array<string>")), F.split(column, ","))
+    return F.filter(F.transform(many, lambda t: F.trim(t)), lambda t: t != "")
+
+
+def facts_of_pages(pages: DataFrame, parser: Callable[[str], list[dict]], url: str = "url", page: str = "html") -> DataFrame:
+    """Facts that a callback reads from each page (a list of attributes), with the page's address as source; what it raises
+    leaves the page without facts."""
+    names = ["fact_id", "fact_statement", "category", "reliability_rating", "subject", "predicate", "object"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for address, text in zip(pdf["url"], pdf["page"]):
+                try:
+                    found = parser(text) or []
+                except Exception:
+                    found = []
+                out += [(f"{address}#{i}", *[None if f.get(n) is None else str(f[n]) for n in names[1:]], address) for i, f in enumerate(found)]
+            yield pd.DataFrame(out, columns=[*names, "url_reference"])
+
+    rows = pages.where(F.col(page).isNotNull()).select(F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("page"))
+    found = rows.mapInPandas(run, ", ".join(f"{n} string" for n in [*names, "url_reference"]))
+    defaults = {"category": F.coalesce("category", F.lit("General")), "reliability_rating": valid_rating("reliability_rating"), "source_id": F.col("url_reference"), "access_level": F.lit("public"), "usage_count": F.lit(0)}
+    return found.withColumns(defaults)
 
 
 def valid_rating(column: str) -> Column:
-    from factloom.schema import TIERS
-
     return F.when(F.upper(column).isin(*TIERS), F.upper(column)).otherwise("UNVERIFIED")
 
 

@@ -7,8 +7,9 @@ from xml.sax.saxutils import quoteattr
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions import text as T
+from factloom import schema
 from factloom.operators import chain, extract
+from factloom.operators.facts import body_hash
 from factloom.session import stage_table
 
 FACT_LINE = "record string, drop_id string, source string, fact_statement string, subject string, predicate string, object string, question string, answer string, reliability_rating string, quality_score double, category string"
@@ -19,8 +20,8 @@ def write_drops(facts: DataFrame, path: str, created: str) -> DataFrame:
 
     A drop is named by its content; a source whose content is in the manifest already is left out. ``created`` is
     the ISO time of all of them. Returns the manifest's new rows."""
-    spark = facts.sparkSession
-    body = facts.groupBy("source").agg(F.count("*").alias("num_facts"), T.content_hash(F.array_join(F.array_sort(F.collect_list("fact_statement")), "\n")).alias("source_hash"))
+    spark, facts = facts.sparkSession, facts.drop("drop_id", "year", "month")
+    body = facts.groupBy("source").agg(F.count("*").alias("num_facts"), body_hash().alias("source_hash"))
     heads = body.select(F.substring("source_hash", 1, 16).alias("drop_id"), "source", "source_hash", "num_facts", F.lit(created).alias("created_at"), F.lit(created[:4]).alias("year"), F.lit(created[5:7]).alias("month"))
     old = read_manifest(spark, path)
     new = heads if old is None else heads.join(old.select("source_hash"), "source_hash", "left_anti")
@@ -32,9 +33,31 @@ def write_drops(facts: DataFrame, path: str, created: str) -> DataFrame:
     return new
 
 
+def write_texts(docs: DataFrame, drops: DataFrame, path: str) -> None:
+    """Keep the texts (``source_id, text``) of new drops, so that they can be extracted anew."""
+    kept = drops.select("drop_id", "source").join(docs.select(F.col("source_id").alias("source"), F.col("text").alias("source_text")), "source")
+    kept.select("drop_id", "source_text").write.mode("append").parquet(f"{path}/texts")
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``drop_id, source_text`` of the drops that kept their text."""
+    if not exists(spark, f"{path}/texts"):
+        return spark.createDataFrame([], "drop_id string, source_text string")
+    return spark.read.schema("drop_id string, source_text string").parquet(f"{path}/texts")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_json(spark: SparkSession, path: str, kinds: str) -> DataFrame:
+    """JSON lines of a folder; none where there is no folder yet."""
+    return spark.read.schema(kinds).json(path) if exists(spark, path) else spark.createDataFrame([], kinds)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, f"{path}/manifest"):
         return None
     return spark.read.schema("drop_id string, source string, source_hash string, num_facts long, created_at string").json(f"{path}/manifest")
 
@@ -68,10 +91,36 @@ def graph_xml(nodes: DataFrame, edges: DataFrame, kind: str = "graphml") -> str:
     raise ValueError(f"unknown kind of graph file {kind!r}")
 
 
+def write_snapshot(facts: DataFrame, edges: DataFrame, path: str) -> None:
+    """A whole graph as two tables of JSON lines; written again it is replaced."""
+    facts.write.mode("overwrite").json(f"{path}/facts")
+    edges.write.mode("overwrite").json(f"{path}/edges")
+
+
+def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(facts, edges) of a snapshot; facts have all columns of the model and those that were written beside."""
+    found = spark.read.json(f"{path}/facts")
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], schema.FACT).schema.fields}
+    facts = found.select(*[(F.col(c).cast(k) if c in found.columns else F.lit(None).cast(k)).alias(c) for c, k in kinds.items()], *[c for c in found.columns if c not in kinds])
+    return facts, spark.read.schema("src string, dst string, predicate string, weight double").json(f"{path}/edges")
+
+
+def write_facts_json(facts: DataFrame, path: str) -> None:
+    """Facts as JSON lines of id and attributes, times in ISO form."""
+    times = {c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") for c, k in facts.dtypes if k.startswith("timestamp")}
+    facts.withColumns(times).write.mode("overwrite").json(path)
+
+
 def write_chain(blocks: DataFrame, path: str) -> None:
     blocks.write.mode("overwrite").json(path)
 
 
+def import_chain(spark: SparkSession, path: str, attributes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(blocks, the facts that they say there are) of a chain that is whole."""
+    blocks = read_chain(spark, path)
+    return blocks, chain.rebuild(chain.fact_transactions(blocks), attributes)
+
+
 def read_chain(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of a chain that is whole; else a ValueError."""
     blocks = spark.read.schema(chain.BLOCK).json(path)
