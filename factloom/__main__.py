@@ -27,7 +27,7 @@ FILTERS = {"none": None, "standard": 80, "strict": 60}
 def documents_to_facts(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Facts of all files of a folder, of quality, with the columns of a store."""
     found = extract.extract_facts(ingest.load_folder(spark, args.path), "source_id", args.engine, args.coref)
-    longest = FILTERS[args.filter]
+    longest = args.longest if args.filter == "standard" else FILTERS[args.filter] and min(FILTERS[args.filter], args.longest)
     if longest is not None:
         found = found.where(T.is_acceptable("subject", "object", F.col("subject_type") if args.filter == "strict" else None, longest=longest))
     rated = found.withColumns({"reliability_rating": F.lit(args.reliability), "category": extract.category(), "usage_count": F.lit(1), "source": F.col("source_id")})
@@ -286,7 +286,7 @@ def parser() -> argparse.ArgumentParser:
 
     arg = lambda *flags, **options: (flags, options)
     store, form = arg("store"), arg("--format", default="chat", choices=["chat", "instruction", "text", "alpaca", "sharegpt", "plain"])
-    source = [arg("path"), arg("--engine", default="svo"), arg("--coref", action="store_true"), arg("--filter", default="standard", choices=list(FILTERS)), arg("--reliability", default="UNVERIFIED", choices=schema.TIERS)]
+    source = [arg("path"), arg("--engine", default="svo"), arg("--coref", action="store_true"), arg("--filter", default="standard", choices=list(FILTERS)), arg("--longest", type=int, default=80), arg("--reliability", default="UNVERIFIED", choices=schema.TIERS)]
     command("distill", distill, *source, arg("output"), form, arg("--dedup", type=float, default=0.8), arg("--top-k", type=int))
     command("drop", drop, *source, store)
     command("catalog", catalog, store, arg("--source"), arg("--reliability"), arg("--category"), arg("--min-quality", type=float), arg("--limit", type=int, default=20))

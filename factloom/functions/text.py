@@ -179,6 +179,16 @@ def split_words(text: str | None) -> list[str]:
     return [w for w in " ".join((text or "").lower().split()).split(" ") if w]
 
 
+def normal_predicate(p: str | Column) -> Column:
+    """Lower case with underscores for white space."""
+    return F.regexp_replace(F.lower(F.trim(F.coalesce(_c(p), F.lit("")))), r"(?U)\s+", "_")
+
+
+def utc_now() -> Column:
+    """The time of the query in ISO form."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def lenient_match(a: str | Column, b: str | Column) -> Column:
     x, y = norm(a), norm(b)
     return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))

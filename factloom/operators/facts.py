@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom import schema
@@ -201,6 +203,11 @@ def unseen(facts: DataFrame, seen: DataFrame) -> DataFrame:
     return first.join(seen.select("fingerprint"), "fingerprint", "left_anti")
 
 
+def load_seen(spark: SparkSession, path: str) -> DataFrame:
+    """``fingerprint`` of the facts that a table of Parquet files has, for :func:`unseen`."""
+    return spark.read.parquet(path).select(T.norm("fact_statement").alias("fingerprint")).distinct()
+
+
 def search(facts: DataFrame, query: str, fields: list[str]) -> DataFrame:
     """Facts by how many (term, field) hold, the whole phrase counting as all its terms once more for each field."""
     terms = query.lower().split()
@@ -210,14 +217,26 @@ def search(facts: DataFrame, query: str, fields: list[str]) -> DataFrame:
 
 
 def budget(records: DataFrame, max_tokens: int, order: list, group: list[str]) -> DataFrame:
-    """Greedy by rank within each group: a record is kept if what is left of the budget holds it, else skipped."""
-    cost = T.token_estimate("record")
-    ranked = records.withColumn("__o", F.struct(*order)).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__o", cost.alias("cost"), "record"))).alias("r"))
-    empty = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<struct<cost: bigint, record: string>>)").alias("kept"))
-    step = lambda acc, x: F.when(acc["used"] + x["cost"] > max_tokens, acc).otherwise(
-        F.struct((acc["used"] + x["cost"]).alias("used"), F.concat(acc["kept"], F.array(F.struct(x["cost"].alias("cost"), x["record"].alias("record")))).alias("kept"))
-    )
-    return ranked.select(*group, F.aggregate("r", empty, step).alias("a")).select(*group, F.posexplode("a.kept").alias("position", "k")).select(*group, "position", "k.cost", "k.record")
+    """Greedy by rank within each group: a record is kept if what is left of the budget holds it, else skipped. Groups are
+    read in order, a batch at a time, so one of any size is never held whole."""
+    kinds = dict(records.dtypes)
+    ranked = records.select(*group, T.token_estimate("record").alias("cost"), "record", F.struct(*order).alias("__o")).repartition(*group).sortWithinPartitions(*group, "__o").drop("__o")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used, n = None, 0, 0
+        for pdf in parts:
+            keep, at = [], []
+            for k, (key, cost) in enumerate(zip(zip(*[pdf[g] for g in group]), pdf["cost"])):
+                key = tuple(None if pd.isna(x) else x for x in key)
+                if key != now:
+                    now, used, n = key, 0, 0
+                if used + cost <= max_tokens:
+                    keep.append(k), at.append(n)
+                    used, n = used + cost, n + 1
+            out = pdf.iloc[keep]
+            yield out.assign(position=pd.Series(at, index=out.index, dtype="int32"))[[*group, "position", "cost", "record"]]
+
+    return ranked.mapInPandas(run, ", ".join([*(f"`{g}` {kinds[g]}" for g in group), "position int", "cost " + dict(ranked.dtypes)["cost"], "record string"]))
 
 
 def split(records: DataFrame, ratio: float, key: Column, seed: int = 42) -> DataFrame:

@@ -177,22 +177,36 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``block_id, component``: the least id reachable whatever the direction; labels jump to their label's label each
-    round, so rounds grow with the logarithm of the longest path."""
+    """``block_id, component``: the least id reachable whatever the direction. Large stars and small stars take turns: every
+    node's greater neighbours, then its smaller ones, are tied to the least of them, until nothing changes. Rounds grow with
+    the logarithm of the longest path, and no step joins on the label that a giant component shares."""
     spark = nodes.sparkSession
-    both, both_at = stage_table(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "both")
-    now, at = stage_table(nodes.select("block_id", F.col("block_id").alias("component")).distinct(), "labels")
+    u, v = F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
+    now, at = stage_table(edges.select(u, v).where("u <> v").distinct(), "stars")
+    old, before = [], None
     while True:
-        near = both.join(now, both["dst"] == now["block_id"]).groupBy("src").agg(F.min("component").alias("m"))
-        step = now.join(near, now["block_id"] == near["src"], "left").select("block_id", F.least("component", "m").alias("component"), F.col("component").alias("old"))
-        up = step.select(F.col("block_id").alias("component"), F.col("component").alias("upper"))
-        after, next_at = stage_table(step.join(up, "component", "left").select("block_id", F.coalesce("upper", "component").alias("component"), "old"), "labels")
-        moved = after.where("component <> old").limit(1).count()
-        drop_path(spark, at)
-        now, at = after.select("block_id", "component"), next_at
-        if not moved:
-            drop_path(spark, both_at)
-            return now
+        both = now.union(now.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        after, next_at = stage_table(small, "stars")
+        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        old.append(at)
+        now, at = after, next_at
+        if state == before:
+            break
+        before = state
+    found, _ = stage_table(nodes.select("block_id").distinct().join(now.toDF("block_id", "component"), "block_id", "left").select("block_id", F.coalesce("component", "block_id").alias("component")), "components")
+    drop_path(spark, *old, at)
+    return found
+
+
+def delete_facts(facts: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, edges) without some facts (``block_id``) and the links that touch them."""
+    gone = ids.select("block_id").distinct()
+    left = edges.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select(*edges.columns)
+    return facts.join(gone, "block_id", "left_anti").select(*facts.columns), left
 
 
 def hops(seeds: DataFrame, edges: DataFrame, most: int, blocked: DataFrame | None = None) -> DataFrame:

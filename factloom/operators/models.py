@@ -197,6 +197,15 @@ def list_models(lister: Callable[[], list[str]]) -> list[str]:
         return []
 
 
+def generate(backend: Callable[[str], str | tuple[str, float]], prompt: str) -> tuple[str, float]:
+    """What a back end says and its mean log probability: 0 where it gives none, no text where it fails."""
+    try:
+        said = backend(prompt)
+    except Exception:
+        return "", 0.0
+    return (str(said[0]), float(said[1] or 0.0)) if isinstance(said, tuple) else (str(said), 0.0)
+
+
 def batch_report(rows: DataFrame) -> DataFrame:
     """One row of a batch (``status, facts`` an item): items, dropped, skipped, errors, facts."""
     n = lambda cond: F.count(F.when(cond, 1))

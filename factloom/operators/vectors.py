@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,12 +41,33 @@ def remove(index: DataFrame, ids: DataFrame, key: str = "vec_id") -> DataFrame:
     return index.join(ids.select(key), key, "left_anti")
 
 
+#: centres that are sent to every task
+CENTRES = 4_096
+
+
 def assign_clusters(rows: DataFrame, centres: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """``key, cluster``: the most similar of few centres (``cluster, centre``)."""
+    """``key, cluster``: the most similar of at most ``CENTRES`` centres (``cluster, centre``)."""
+    if centres.limit(CENTRES + 1).count() > CENTRES:
+        raise ValueError(f"there may be {CENTRES} centres")
     pairs = rows.crossJoin(F.broadcast(centres)).select(key, "cluster", F.round(T.cosine(column, "centre"), 9).alias("s"))
     return pairs.groupBy(key).agg(F.max_by("cluster", F.struct("s", -F.col("cluster"))).alias("cluster"))
 
 
+def random_centres(rows: DataFrame, k: int, seed: int = 42, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """``cluster, centre``: k rows that a seeded hash picks."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(min(k, CENTRES)).select(F.col(key).alias("cluster"), F.col(column).alias("centre"))
+
+
+def cluster_vectors(rows: DataFrame, k: int, seed: int = 42, rounds: int = 1, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """``key, cluster``: each row with the most similar of k random rows; with more rounds centres become the means of
+    their rows, and the cluster is a number."""
+    if rounds <= 1:
+        return assign_clusters(rows, random_centres(rows, k, seed, key, column), key, column)
+    model = KMeans(k=k, seed=seed, maxIter=rounds, distanceMeasure="cosine", featuresCol="__v", predictionCol="cluster")
+    held = rows.where(F.exists(column, lambda x: x != 0)).select(key, array_to_vector(F.col(column).cast("array<double>")).alias("__v"))  # a cosine needs a length
+    return model.fit(held).transform(held).select(key, "cluster")
+
+
 def mean_similarity(rows: DataFrame, label: str = "label", column: str = "embedding") -> DataFrame:
     """``label, n, cohesion``: the mean cosine of unit vectors of a label to one another, from sums alone."""
     unit = rows.select(label, F.posexplode(column).alias("i", "x"))

@@ -70,6 +70,29 @@ def read_drops(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FACT_LINE).json(f"{path}/shards").where("record = 'fact'").join(manifest.select("drop_id").distinct(), "drop_id", "left_semi")
 
 
+def drop_summary(spark: SparkSession, path: str) -> DataFrame:
+    """Headers of a store's drops, without their facts, the latest first."""
+    manifest = read_manifest(spark, path)
+    kinds = "drop_id string, source string, source_hash string, num_facts long, created_at string"
+    return (spark.createDataFrame([], kinds) if manifest is None else manifest).orderBy(F.desc("created_at"), "drop_id")
+
+
+def drop_records(spark: SparkSession, path: str) -> DataFrame:
+    """``drop_id, record``: every drop as one JSON text, its header and its facts in order of their statements. A drop is what
+    one source gave, so it is made whole; a store isn't."""
+    facts = read_drops(spark, path)
+    body = facts.groupBy("drop_id").agg(F.array_sort(F.collect_list(F.struct("fact_statement", "subject", "predicate", "object", "reliability_rating", "quality_score", "category"))).alias("facts"))
+    heads = drop_summary(spark, path)
+    return heads.join(body, "drop_id").select("drop_id", F.to_json(F.struct("drop_id", "source", "source_hash", "num_facts", "created_at", "facts")).alias("record"))
+
+
+def rebuild_catalog(spark: SparkSession, store: str, path: str) -> DataFrame:
+    """The catalog table of a store, written anew from its drops; returns it as read."""
+    rows = read_drops(spark, store).withColumn("quality_score", F.round("quality_score").cast("int"))
+    rows.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_training(facts: DataFrame, path: str, fmt: str, order: list | None = None) -> int:
     """Training records as text files, in rank order within and across them; returns how many."""
     lines = facts.orderBy(*(order or [F.desc("quality_score"), "fact_id"])).select(extract.record(fmt).alias("value")).where("trim(value) <> ''")

@@ -179,3 +179,45 @@ def test_watched_files(spark, tmp_path):
     again = {r.path: r.state for r in events.scan_folder(spark, files(("a", day(1), "xy"), ("b", day(1), "ok"), ("c", day(2), "new")), store, process).collect()}
     assert again == {"b": "PROCESSED", "c": "PROCESSED"}
     assert {r.path: r.state for r in events.watched(spark, store).collect()} == {"a": "PROCESSED", "b": "PROCESSED", "c": "PROCESSED"}
+
+
+def test_budgets_of_long_groups(spark):
+    rows = [(g, i, "x" * (4 * ((i * 7) % 11 + 1))) for g in ("a", "b", None) for i in range(300)]
+    got = {}
+    for r in O.budget(spark.createDataFrame(rows, "g string, n int, record string"), 60, ["n"], ["g"]).collect():
+        got.setdefault(r.g, []).append((r.position, r.cost))
+    used, want = 0, []
+    for i in range(300):
+        cost = (i * 7) % 11 + 1
+        if used + cost <= 60:
+            want.append((len(want), cost))
+            used += cost
+    assert all(sorted(v) == want for v in got.values()) and set(got) == {"a", "b", None}
+
+
+def test_small_helpers(spark, tmp_path):
+    from factloom.functions import text as T
+    from factloom.operators import graph, vectors
+
+    row = spark.createDataFrame([(" Is  Located\tin ",)], "p string").select(T.normal_predicate("p").alias("p"), T.utc_now().alias("t")).first()
+    assert row.p == "is_located_in" and row.t.endswith("Z") and len(row.t) == 20
+    assert models.generate(lambda p: ("a", None), "x") == ("a", 0.0) and models.generate(lambda p: 1 / 0, "x") == ("", 0.0)
+    f = spark.createDataFrame([("a",), ("b",), ("c",)], "block_id string")
+    e = spark.createDataFrame([("a", "b", "p", 1.0), ("b", "c", "p", 1.0), ("c", "a", "p", 1.0)], "src string, dst string, predicate string, weight double")
+    left, links = graph.delete_facts(f, e, f.where("block_id = 'b'"))
+    assert {r.block_id for r in left.collect()} == {"a", "c"} and [r.src for r in links.collect()] == ["c"]
+    facts = spark.createDataFrame([("s1", "one.", "VERIFIED", 12.6), ("s1", "two.", "VERIFIED", 3.0), ("s2", "three.", "VERIFIED", 5.0)], "source string, fact_statement string, reliability_rating string, quality_score double")
+    store = f"file://{tmp_path}/store"
+    assert sinks.drop_summary(spark, store).count() == 0
+    sinks.write_drops(facts, store, "2024-01-01T00:00:00Z")
+    assert {r.source: r.num_facts for r in sinks.drop_summary(spark, store).collect()} == {"s1": 2, "s2": 1}
+    records = [json.loads(r.record) for r in sinks.drop_records(spark, store).collect()]
+    assert sorted(len(r["facts"]) for r in records) == [1, 2]
+    table = sinks.rebuild_catalog(spark, store, f"file://{tmp_path}/catalog")
+    assert {r.quality_score for r in table.collect()} == {13, 3, 5} and O.load_seen(spark, f"file://{tmp_path}/catalog").count() == 3
+    v = spark.createDataFrame([(i, [1.0, i / 100]) if i < 5 else (i, [i / 100, 1.0]) for i in range(10)], "vec_id long, embedding array<double>")
+    two = {r.vec_id: r.cluster for r in vectors.cluster_vectors(v, 2, rounds=10).collect()}
+    assert len({two[i] for i in range(5)}) == 1 and two[0] != two[9]
+    assert {r.cluster for r in vectors.cluster_vectors(v, 3).collect()} <= set(range(10))
+    with pytest.raises(ValueError):
+        vectors.assign_clusters(v, spark.range(vectors.CENTRES + 1).select(F.col("id").alias("cluster"), F.array(F.lit(1.0)).alias("centre")))
