@@ -20,21 +20,24 @@ def set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
     A set's words are put in order, the rarest first. Sets of n and m >= n words that reach t have o >= t (n + m) / (1 + t)
     words in common, so the first of these is among the n - 2t n / (1 + t) + 1 rarest of the smaller set and the m - t m + 1
-    rarest of the greater, with room for the others behind it in both: short prefixes meet long ones, and most meetings at
-    a common word are refused where they happen.
+    rarest of the greater, with room for the others behind it in both: short prefixes meet long ones. Most meetings at a
+    common word are refused where they happen, by 64 bits of each set's hashed words: bits that only one of two sets has are
+    words that only it has, and there may be n + m - 2 o of those.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be over 0 and 1 at most")
-    tokens = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("token"))
+    bits = F.expr("aggregate(w, 0L, (acc, x) -> acc | shiftleft(1L, cast(pmod(xxhash64(x), 64L) as int)))")
+    tokens = sets.select("id", F.size("w").alias("n"), bits.alias("s"), F.explode("w").alias("token"))
     freq = tokens.groupBy("token").agg(F.count("*").alias("df"))
     at = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
-    ranked = tokens.join(freq, "token").withColumn("at", at).select("id", "n", "at", "token")
-    x = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1).toDF("a", "na", "i", "token")
-    y = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).toDF("b", "nb", "j", "token")
+    ranked = tokens.join(freq, "token").withColumn("at", at).select("id", "n", "s", "at", "token")
+    x = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1).toDF("a", "na", "sa", "i", "token")
+    y = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).toDF("b", "nb", "sb", "j", "token")
     need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
     smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     room = 1 + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) >= need
-    found = x.join(y, "token").where(smaller & (F.col("na") >= F.col("nb") * threshold - 1e-9) & room).select("a", "b").distinct()
+    apart = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= F.col("na") + F.col("nb") - 2 * need
+    found = x.join(y, "token").where(smaller & (F.col("na") >= F.col("nb") * threshold - 1e-9) & room & apart).select("a", "b").distinct()
     full = found.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
     both = F.size(F.array_intersect("wa", "wb"))
     scored = full.select("a", "b", (both / (F.size("wa") + F.size("wb") - both)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
