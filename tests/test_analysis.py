@@ -41,6 +41,17 @@ def test_all_similar_pairs(spark, threshold):
     assert got == want and len(want) > 3
 
 
+def test_similar_pairs_of_more_words_than_signature_bits(spark):
+    r = random.Random(5)
+    rows = []
+    for i in range(24):
+        base = r.choice(rows)[1].split() if rows and i % 3 else [f"w{k}" for k in r.sample(range(400), r.choice([50, 64, 65, 150]))]
+        rows.append((i, " ".join(f"w{r.randrange(400)}" if r.random() < 0.08 else w for w in base)))
+    got = {(x.a, x.b): round(x.similarity, 9) for x in similarity.jaccard_pairs(spark.createDataFrame(rows, "id long, text string"), 0.7).collect()}
+    want = {(a, b): round(jaccard(x, y), 9) for (a, x), (b, y) in itertools.combinations(rows, 2) if jaccard(x, y) >= 0.7 - 1e-12}
+    assert got == want and len(want) > 3
+
+
 def test_greedy_choice_equals_a_scan(spark):
     r = random.Random(2)
     edges = {tuple(sorted(r.sample(range(50), 2))) for _ in range(90)}
