@@ -1,13 +1,20 @@
-"""N-gram Jaccard join by signature trees.
+"""N-gram Jaccard join by signature trees, exactly.
 
-Every document becomes the set of its word n-grams, a size, a bitmap of hashed n-grams whose width follows the
-size, and one MinHash route per permutation. Documents with equal sets are joined first, without comparing
-anything. The others meet under each of their routes (a pair of Jaccard J shares none of R routes with
-probability (1 - J)^R: 0.02 % at J = 0.5 and R = 12), and there a signature tree is built over them: leaves are
-sorted by size, an inner node holds the OR of its children's bitmaps and their size range, and a dual traversal
-drops every pair of nodes whose maximum possible overlap cannot reach the threshold. A route with very many documents
-is met in blocks, each pair of blocks by itself, so no task holds all of it. What the trees leave is compared exactly,
-by sets computed again from the texts of those documents alone.
+Every document becomes the set of its word n-grams. Documents with equal sets are joined first, without comparing
+anything. The n-grams of the others are put in one order, the rarest first. Sets of n and m n-grams that reach the
+threshold t have at least t (n + m) / (1 + t) in common, so the first of these stands where both sets still have room for
+the others behind it: within the first n - t n + 1 of each set. The sets meet under each n-gram of that beginning which
+more than one set has; no pair that reaches the threshold is lost, and most sets have few such n-grams or none.
+
+Where few sets meet, all pairs of them are looked at; of many, a signature tree is built: leaves are sorted by size, an
+inner node holds the OR of its children's bitmaps and their size range, and a dual traversal drops every pair of nodes
+whose maximum possible overlap cannot reach the threshold. An n-gram of very many documents is met in blocks, each pair
+of blocks by itself, so no task holds all of it. What is left is compared exactly, by sets computed again from the texts
+of those documents alone.
+
+The order needs all n-grams' counts. They are counted by their first ``KEY_BITS`` bits: any order does that is the same
+for all sets, so two n-grams of one key only cost a meeting more. Documents go in chunks of about ``CHUNK`` n-grams, whose
+keys are sent to be counted as sorted differences and come back, without those that occur once, to be ordered.
 
 Copies of a set are never paired with one another: pairs are made between the smallest ids of different sets
 (:func:`ngram_pairs`), and :func:`classes` gives each document its class (all that links connect) and its number of
@@ -27,31 +34,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.blocks import U64, blocks, fresh_name, mix, ngram_sets, text_buffer
 from factloom.session import drop_path, stage_table
 
-N, THRESHOLD, ROUTES = 3, 0.5, 12
+N, THRESHOLD = 3, 0.5
 FANOUT = 4
-#: bits of the filter that picks the documents to compare exactly: its size is fixed, so it can be sent to every task
+#: bits of an n-gram's hash by which it is counted and met, and n-grams of a chunk (of ``CHUNK_DOCS`` documents at most)
+KEY_BITS, CHUNK, CHUNK_DOCS = 40, 1 << 19, 1 << 16
+#: n-grams that are counted in one task
+COUNTED = 1_000_000
+#: bytes of a document's bitmap where it meets others, and the n-grams before the common one that it brings along
+MET_BYTES, BEFORE = 16, 4
+#: sets of one n-gram up to which all pairs are looked at, without a tree; pairs looked at in one step
+FEW, STEP = 64, 1 << 20
+#: bits of the filter that picks documents by id: its size is fixed, so it can be sent to every task
 PICK_BITS = 1 << 23
-#: documents of a route that meet in one block, and pairs that are compared in one place
+#: documents of an n-gram that meet in one block, and pairs that are compared in one place
 BLOCK_ROWS, LOT = 4_000, 50_000
-#: hot routes up to which their table is sent to every task
-SENT_ROUTES = 100_000
-_keys = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64)
-
-
-def min_routes(grams: np.ndarray, offsets: np.ndarray, routes: int) -> np.ndarray:
-    """Each row's smallest permuted n-gram hash for every permutation; rows must not be empty."""
-    out = np.empty((len(offsets) - 1, routes), np.uint64)
-    for k in range(routes):
-        x = (grams ^ _keys[k]) * U64(0xD6E8FEB86659FD93)
-        x ^= x >> U64(32)
-        out[:, k] = np.minimum.reduceat(x * U64(0xD6E8FEB86659FD93), offsets[:-1])
-    return out
 
 
 def bitmap_width(sizes: np.ndarray) -> np.ndarray:
@@ -59,8 +62,9 @@ def bitmap_width(sizes: np.ndarray) -> np.ndarray:
     return 1 << np.clip(np.ceil(np.log2(np.maximum(sizes, 1) * 3 / 8)), 3, 11).astype(np.int64)
 
 
-def signatures(n: int, routes: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("set_hash", pa.int64()), ("set_hash2", pa.int64()), ("size", pa.int32()), ("routes", pa.binary()), ("bitmap", pa.binary())])
+def signatures(n: int):
+    """Each document's set: two hashes, its size and its least n-gram, which documents that are alike often share."""
+    schema = pa.schema([("doc_id", pa.int64()), ("set_hash", pa.int64()), ("set_hash2", pa.int64()), ("size", pa.int32()), ("first_gram", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,28 +75,9 @@ def signatures(n: int, routes: int):
                 keep = np.flatnonzero(size > 0)
                 if not len(keep):
                     continue
-                bounds = np.concatenate([at[keep], [len(g)]])
-                r = min_routes(g, bounds, routes)
-                h1, h2 = np.add.reduceat(mix(g), bounds[:-1]), np.add.reduceat(mix(g ^ U64(99)), bounds[:-1])
-                width = bitmap_width(size[keep])
-                base = np.concatenate([[0], np.cumsum(width)])
-                bits = np.zeros(int(base[-1]), np.uint8)
-                owner = np.repeat(np.arange(len(keep)), size[keep])
-                bit = (g >> U64(20)).astype(np.int64) & (width[owner] * 8 - 1)
-                where = base[owner] + (bit >> 3)
-                np.bitwise_or.at(bits, where, (1 << (bit & 7)).astype(np.uint8))
-                data, rows = bits.tobytes(), r.astype("<u8").tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a).take(pa.array(keep)),
-                        pa.array(h1.view(np.int64)),
-                        pa.array(h2.view(np.int64)),
-                        pa.array(size[keep].astype(np.int32)),
-                        pa.array([rows[k * routes * 8 : (k + 1) * routes * 8] for k in range(len(keep))], pa.binary()),
-                        pa.array([data[x:y] for x, y in zip(base[:-1], base[1:])], pa.binary()),
-                    ],
-                    schema=schema,
-                )
+                h1, h2 = np.add.reduceat(mix(g), at[keep]), np.add.reduceat(mix(g ^ U64(99)), at[keep])
+                columns = [pa.array(x) for x in (h1.view(np.int64), h2.view(np.int64), size[keep].astype(np.int32), g[at[keep]].view(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(keep)), *columns], schema=schema)
 
     return run
 
@@ -188,7 +173,7 @@ def tree_pairs(x: tuple, y: tuple, threshold: float) -> Iterator[tuple[np.ndarra
 
 
 def bucket_pairs(sizes: np.ndarray, bitmaps: list[bytes], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All candidate pairs (positions) among documents that share a route, by trees of one bitmap width each."""
+    """All candidate pairs (positions) among documents that meet, by trees of one bitmap width each."""
     made = by_width(sizes, bitmaps)
     order = sorted(made)
     for a, w in enumerate(order):
@@ -211,69 +196,230 @@ def cross_pairs(sizes: np.ndarray, bitmaps: list[bytes], left: np.ndarray, thres
             yield from tree_pairs(x, y, threshold)
 
 
-def candidates(threshold: float, routes: int):
-    """(route, number, doc_id, size, routes, bitmap, x, y, block) to pairs. A route is met in blocks (x, y): pairs within
-    block x where both are equal, else pairs across. Pairs are homed by route, block and lot of ``LOT`` pairs, so that
-    what is compared in one place is bounded."""
-    schema = pa.schema([("home", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+def key_order(key: np.ndarray) -> np.ndarray:
+    """Positions that sort keys of ``KEY_BITS`` bits."""
+    if len(key) > 1 << 64 - KEY_BITS:
+        return np.argsort(key, kind="stable")
+    return (np.sort(key << U64(64 - KEY_BITS) | np.arange(len(key), dtype=np.uint64)) & U64((1 << 64 - KEY_BITS) - 1)).astype(np.int64)
+
+
+CHUNKED = "part int, chunk long, meta boolean, a binary, b binary, c binary"
+
+
+def chunk_rows(number: int, parts: int, docs: list[tuple]) -> pa.RecordBatch:
+    """A chunk's documents (set hashes, sizes and bitmaps, one row) and for each part of the keys that it has a row: sorted keys
+    as their lowest 16 bits and the differences of the others, and the document of each."""
+    sets, sizes, bits, grams = (np.concatenate(x) for x in zip(*docs))
+    key = grams >> U64(64 - KEY_BITS)
+    order = key_order(key)
+    key, owner = key[order], np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)[order]
+    part = (key * U64(parts) >> U64(KEY_BITS)).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+    rows = [(number % parts, number, True, sets.tobytes(), sizes.astype("<i4").tobytes(), bits.tobytes())]
+    for a, b in zip(cut[:-1], cut[1:]):
+        step = np.diff(key[a:b] >> U64(16), prepend=U64(0))
+        rows.append((int(part[a]), number, False, key[a:b].astype("<u2").tobytes(), step.astype(np.min_scalar_type(step.max())).tobytes(), owner[a:b].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), CHUNK_SCHEMA.types)], schema=CHUNK_SCHEMA)
+
+
+CHUNK_SCHEMA = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("meta", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+
+
+def spread(n: int, parts: int, picked: np.ndarray):
+    """(doc_id, text) to chunks, of the documents that the filter picks. They are numbered by partition, so a task that is
+    repeated must find its rows in the same order, as in a file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or table.num_rows < 2:
-            return
-        table = table.combine_chunks()
-        route, number, doc, size = (table.column(k).to_numpy() for k in range(4))
-        low, high, block = (table.column(k).to_numpy() for k in (6, 7, 8))
-        order = np.lexsort((high, low, number, route))
-        key = np.stack([route[order], number[order], low[order], high[order]], 1)
-        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
-        big = np.flatnonzero(np.diff(cut) > 1)
-        if not len(big):
+        number, docs, held, count = TaskContext.get().partitionId() << 32, [], 0, 0
+        for batch in batches:
+            batch = pick_rows(batch, picked)
+            raw, offs = text_buffer(batch.column(1))
+            for a, b in blocks(offs):
+                g, at = ngram_sets(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a], n)
+                size = np.diff(at)
+                keep = np.flatnonzero(size > 0)
+                for s in range(0, len(keep), CHUNK_DOCS // 4):
+                    own = keep[s : s + CHUNK_DOCS // 4]
+                    part = g[at[own[0]] : at[own[-1] + 1]]
+                    if count + len(own) > CHUNK_DOCS:
+                        yield chunk_rows(number, parts, docs)
+                        number, docs, held, count = number + 1, [], 0, 0
+                    flags = np.zeros((len(own), MET_BYTES * 8), bool)
+                    flags[np.repeat(np.arange(len(own)), size[own]), (part & U64(MET_BYTES * 8 - 1)).astype(np.int64)] = True
+                    docs.append((np.add.reduceat(mix(part), at[own] - at[own[0]]), size[own], np.packbits(flags, axis=1), part))
+                    held, count = held + len(part), count + len(own)
+                if held > CHUNK:
+                    yield chunk_rows(number, parts, docs)
+                    number, docs, held, count = number + 1, [], 0, 0
+        if docs:
+            yield chunk_rows(number, parts, docs)
+
+    return run
+
+
+def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the keys of a part those that occur more than once go back to their chunks: 5 bytes of key, the document and a
+    code that rises with the count. The documents of a chunk go on as they are."""
+    keys, owners, chunks = [], [], []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["meta"]:
+                yield pa.RecordBatch.from_pylist([row], schema=CHUNK_SCHEMA)
+                continue
+            low = np.frombuffer(row["a"], "<u2").astype(np.uint64)
+            step = np.frombuffer(row["b"], f"<u{len(row['b']) // len(low)}")
+            keys.append(np.cumsum(step, dtype=np.uint64) << U64(16) | low)
+            owners.append(np.frombuffer(row["c"], "<u2"))
+            chunks.append(row["chunk"])
+    if not keys:
+        return
+    key = np.concatenate(keys)
+    order = key_order(key)
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0, [True]]))
+    times = np.diff(cut)
+    code = np.empty(len(key), np.uint8)
+    code[order] = np.repeat(np.where(times > 1, 1 + np.minimum(np.rint(np.log2(times) * 8), 254), 0).astype(np.uint8), times)
+    at = 0
+    for own, owner, chunk in zip(keys, owners, chunks):
+        mine = code[at : at + len(own)]
+        at += len(own)
+        if (more := mine > 0).any():
+            data = np.ascontiguousarray(own[more].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8])
+            yield pa.RecordBatch.from_pylist([{"part": 0, "chunk": chunk, "meta": False, "a": data.tobytes(), "b": owner[more].tobytes(), "c": mine[more].tobytes()}], schema=CHUNK_SCHEMA)
+
+
+MET = ["key", "blocks", "set_hash", "size", "at", *(f"bits{k}" for k in range(MET_BYTES // 8)), *(f"before{k}" for k in range(BEFORE))]
+#: a pair of blocks x <= y and the document's own of the two
+BLOCK_BITS = 20
+
+
+def prefixes(threshold: float, block_rows: int):
+    """Chunks to the meetings of their documents: each with the place of the n-gram in the document's order and the n-grams
+    of more than one set before it. An n-gram that many documents have is met in blocks, as many as its count asks for."""
+    schema = pa.schema([(c, pa.int64()) for c in MET])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, list] = {}
+        metas = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["meta"]:
+                    metas[row["chunk"]] = row
+                else:
+                    chunks.setdefault(row["chunk"], []).append((row["a"], row["b"], row["c"]))
+        for number, rows in chunks.items():
+            meta = metas[number]
+            sets, sizes = np.frombuffer(meta["a"], np.int64), np.frombuffer(meta["b"], "<i4").astype(np.int64)
+            bits = np.frombuffer(meta["c"], np.int64).reshape(len(sets), -1)
+            data, owner, code = (b"".join(x) for x in zip(*rows))
+            key = np.zeros((len(code), 8), np.uint8)
+            key[:, : KEY_BITS // 8] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BITS // 8)
+            # 16 bits of document, 8 of code and 40 of key make one word, in the order that is wanted
+            word = key.view("<u8").ravel() | np.frombuffer(code, np.uint8).astype(np.uint64) << U64(40) | np.frombuffer(owner, "<u2").astype(np.uint64) << U64(48)
+            word.sort()
+            own, rank, key = (word >> U64(48)).astype(np.int64), (word >> U64(40) & U64(255)).astype(np.int64), (word & U64((1 << KEY_BITS) - 1)).astype(np.int64)
+            shared = np.bincount(own, minlength=len(sets))
+            size = sizes[own]
+            at = size - shared[own] + np.arange(len(own)) - (np.cumsum(shared) - shared)[own] + 1
+            before = np.full((BEFORE, len(key)), -1, np.int64)
+            for k in range(min(BEFORE, len(key) - 1)):
+                before[k, k + 1 :] = np.where(own[k + 1 :] == own[: -k - 1], key[: -k - 1], -1)
+            keep = np.flatnonzero(at <= size - np.ceil(size * threshold - 1e-9) + 1)
+            parts = np.ceil(np.exp2((rank[keep] - 0.5) / 8) / block_rows).astype(np.int64)
+            parts = np.minimum(parts, (1 << BLOCK_BITS) - 1)
+            block = (mix(sets[own[keep]].view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+            for few in np.array_split(np.arange(len(keep)), max(1, -(-int(parts.sum()) // 500_000))):
+                of = np.repeat(few, parts[few])
+                other = np.arange(len(of)) - np.repeat(np.cumsum(parts[few]) - parts[few], parts[few])
+                low, high = np.minimum(block[of], other), np.maximum(block[of], other)
+                k = keep[of]
+                columns = [key[k], low << 2 * BLOCK_BITS | high << BLOCK_BITS | block[of], sets[own[k]], size[k], at[k], *bits[own[k]].T, *before[:, k]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], schema=schema)
+
+    return run
+
+
+def meet(threshold: float):
+    """Meetings to pairs of set hashes that can reach the threshold. A pair that also met under one of the n-grams just
+    before is left to that one; copies of a set, which are in one block, are taken once."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    ratio = threshold / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (batches := list(batches)):
             return
-        all_routes, maps = table.column(4).chunk(0), table.column(5).chunk(0)
-        home, left, right, held = [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (home, left, right)], schema=schema)
-
-        for g in big:
-            own = order[cut[g] : cut[g + 1]]
-            k, at = int(number[own[0]]), own[0]
-            sizes, bits = size[own].astype(np.int64), maps.take(pa.array(own)).to_pylist()
-            r = np.frombuffer(b"".join(x.as_py() for x in all_routes.take(pa.array(own))), np.uint64).reshape(len(own), routes)
-            found = bucket_pairs(sizes, bits, threshold) if low[at] == high[at] else cross_pairs(sizes, bits, block[own] == low[at], threshold)
-            base = U64((int(route[at]) + (int(low[at]) << 40) + (int(high[at]) << 20)) & (1 << 64) - 1)
-            met = 0
+        table = pa.Table.from_batches(batches)
+        key, where, sets, size, at, *rest = (table.column(c).to_numpy() for c in MET)
+        pair = where >> BLOCK_BITS
+        order = np.lexsort((at, size, sets, pair, key))
+        same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (key, pair, sets, size, at)])
+        order = order[np.concatenate([[True], ~same])]
+        key, where, pair, sets, size, at, *rest = (x[order] for x in (key, where, pair, sets, size, at, *rest))
+        bits, before = np.stack(rest[: MET_BYTES // 8], 1).view(np.uint64), rest[MET_BYTES // 8 :]
+
+        def likely(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            need = np.ceil((low + high) * ratio - 1e-9)
+            ok = (sets[i] != sets[j]) & (low >= threshold * high - 1e-9) & (1 + np.minimum(size[i] - at[i], size[j] - at[j]) >= need)
+            i, j, spare = i[ok], j[ok], (low + high - 2 * need)[ok]
+            # bits that only one of two sets has are n-grams that only it has
+            ok = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= spare
+            i, j = i[ok], j[ok]
+            for x in before:
+                one = x[i]
+                ok = one < 0
+                if not ok.all():
+                    ok |= ~np.logical_or.reduce([one == y[j] for y in before])
+                    i, j = i[ok], j[ok]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(sets[i], sets[j])), pa.array(np.maximum(sets[i], sets[j]))], schema=schema)
+
+        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]), [True]]))
+        many = np.diff(cut)
+        x, y = pair[cut[:-1]] >> BLOCK_BITS, pair[cut[:-1]] & (1 << BLOCK_BITS) - 1
+        plain = (many <= FEW) & (x == y)
+        # every meeting with those before it in its group
+        earlier = np.where(np.repeat(plain, many), np.arange(len(key)) - np.repeat(cut[:-1], many), 0)
+        total = np.cumsum(earlier)
+        for a, b in zip(*step_ranges(total)):
+            j = np.repeat(np.arange(a, b), earlier[a:b])
+            if len(j):
+                back = np.arange(len(j)) - np.repeat(total[a:b] - earlier[a:b] - (total[a - 1] if a else 0), earlier[a:b])
+                yield likely(j - 1 - back, j)
+        for g in np.flatnonzero(~plain & (many > 1)):
+            s, e = cut[g], cut[g + 1]
+            maps = [row.tobytes() for row in bits[s:e]]
+            found = bucket_pairs(size[s:e], maps, threshold) if x[g] == y[g] else cross_pairs(size[s:e], maps, (where[s:e] & (1 << BLOCK_BITS) - 1) == x[g], threshold)
             for i, j in found:
-                first = ~(r[i, :k] == r[j, :k]).any(1)  # pairs that met under an earlier route are reported there
-                i, j = own[i[first]], own[j[first]]
-                home.append(mix(base + ((met + np.arange(len(i))) // LOT).astype(np.uint64)).view(np.int64))
-                left.append(np.minimum(doc[i], doc[j]))
-                right.append(np.maximum(doc[i], doc[j]))
-                met += len(i)
-                held += len(i)
-                if held > 100_000:
-                    yield flush()
-                    home, left, right, held = [], [], [], 0
-        if held:
-            yield flush()
+                for k in range(0, len(i), STEP):
+                    yield likely(i[k : k + STEP] + s, j[k : k + STEP] + s)
 
     return run
 
 
+def step_ranges(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of rows that together have about ``STEP`` pairs each, from running totals."""
+    cut = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(STEP, total[-1] if len(total) else 0, STEP)), [len(total)]]))
+    return cut[:-1], cut[1:]
+
+
 def pick_mask(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) & U64(PICK_BITS - 1)).astype(np.int64)
 
 
-def pick_filter(pairs: DataFrame) -> np.ndarray:
-    """A bit for each hash of a document that is in a pair: fixed size, ORed from one bitmap a partition."""
+def pick_rows(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    at = pick_mask(batch.column(0).to_numpy(zero_copy_only=False))
+    return batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+
+def pick_filter(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash of an id in any column: fixed size, ORed from one bitmap a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(PICK_BITS // 8, np.uint8)
         seen = False
         for batch in batches:
-            for k in (0, 1):
-                at = pick_mask(batch.column(k).to_numpy())
+            for column in batch.columns:
+                at = pick_mask(column.to_numpy())
                 np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
             seen |= batch.num_rows > 0
         if seen:
@@ -281,7 +427,7 @@ def pick_filter(pairs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bits[at].astype(np.int16))], ["at", "bits"])
 
     bits = np.zeros(PICK_BITS // 8, np.uint8)
-    found = pairs.select("a", "b").mapInArrow(run, "at int, bits smallint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = ids.mapInArrow(run, "at int, bits smallint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.uint8)
     return bits
 
@@ -291,8 +437,7 @@ def picked_sets(n: int, bits: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = pick_mask(batch.column(0).to_numpy(zero_copy_only=False))
-            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            batch = pick_rows(batch, bits)
             raw, offs = text_buffer(batch.column(1))
             for a, b in blocks(offs):
                 g, at = ngram_sets(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a], n)
@@ -337,41 +482,58 @@ def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
 
-def one_set_each(signed: DataFrame) -> DataFrame:
-    """Of different sets under one id that of the least hash. Only ids and hashes are shuffled, and nothing where no id repeats."""
+def one_set_each(signed: DataFrame) -> tuple[DataFrame, bool, str]:
+    """Of different sets under one id that of the least hash, whether an id repeats, and the path of a table to drop. Only
+    ids and hashes are shuffled, and nothing where no id repeats."""
     key = F.struct("set_hash", "set_hash2")
-    twice, _ = stage_table(signed.groupBy("doc_id").agg(F.min(key).alias("least"), F.max(key).alias("most")).where("least <> most").select("doc_id", "least"), "repeated-ids")
-    return signed if twice.isEmpty() else signed.join(twice, "doc_id", "left").where(F.col("least").isNull() | (F.col("least") == key)).drop("least")
+    again, path = stage_table(signed.groupBy("doc_id").agg(F.min(key).alias("least"), F.count("*").alias("rows")).where("rows > 1").select("doc_id", "least"), "repeated-ids")
+    if again.isEmpty():
+        return signed, False, path
+    return signed.join(again, "doc_id", "left").where(F.col("least").isNull() | (F.col("least") == key)).drop("least"), True, path
+
+
+def candidates(texts: DataFrame, reps: DataFrame, n: int, threshold: float, block_rows: int) -> DataFrame:
+    """``a, b``: all pairs of the sets of ``reps`` that can reach the threshold, by their hashes, some more than once.
+    Copies of a set only cost time, so the filter that leaves most of them out need not be exact."""
+    spark = texts.sparkSession
+    parts = partitions_for(spark, reps.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0, COUNTED)
+    picked = spark.sparkContext.broadcast(pick_filter(reps.select("doc_id")))
+
+    def chunked(batches):
+        yield from spread(n, parts, picked.value)(batches)
+
+    counted = texts.mapInArrow(chunked, CHUNKED).repartitionById(parts, "part").mapInArrow(weigh, CHUNKED)
+    met = counted.repartition(parts, "chunk").mapInArrow(prefixes(threshold, block_rows), ", ".join(f"{c} long" for c in MET))
+    return met.repartition(parts, "key", F.shiftright("blocks", BLOCK_BITS)).mapInArrow(meet(threshold), "a long, b long")
 
 
-def linked(docs: DataFrame, n: int, threshold: float, routes: int, forest: bool, block_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+def linked(docs: DataFrame, n: int, threshold: float, forest: bool, block_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """``doc_a, doc_b, jaccard, tree`` between different sets by their smallest ids, ``doc_id, rep`` of every document
     that has a set, and the paths of tables to drop. ``tree`` marks enough pairs to connect what all connect."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be over 0 and 1 at most")
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    signed, signed_at = stage_table(texts.mapInArrow(signatures(n, routes), "doc_id long, set_hash long, set_hash2 long, size int, routes binary, bitmap binary"), "signatures")
-    signed = one_set_each(signed)
-    sets = signed.groupBy("set_hash", "set_hash2").agg(F.min_by(F.struct("doc_id", "size", "routes", "bitmap"), "doc_id").alias("rep"))
+    signed, signed_at = stage_table(texts.mapInArrow(signatures(n), "doc_id long, set_hash long, set_hash2 long, size int, first_gram long"), "signatures")
+    signed, repeated, again_at = one_set_each(signed)
+    if repeated:  # rows that repeat are counted once; their order is the same whenever a task is repeated
+        texts = texts.distinct().sortWithinPartitions("doc_id", "text")
+    sets = signed.groupBy("set_hash", "set_hash2").agg(F.min_by(F.struct("doc_id", "size", "first_gram"), "doc_id").alias("rep"))
     reps, reps_at = stage_table(sets.select("set_hash", "set_hash2", "rep.*"), "sets")
-    total = reps.count()
-    each = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(routes - 1)), lambda k: F.xxhash64(F.substr("routes", k * 8 + 1, F.lit(8)), k)))
-    routed = reps.select(each.alias("number", "route"), "doc_id", "size", "routes", "bitmap").select("route", "number", "doc_id", "size", "routes", "bitmap")
-    # a route that many documents share (that of a common passage) is met in blocks, so that no task holds it whole
-    hot, hot_at = stage_table(routed.groupBy("route").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts")).where("parts > 1"), "hot-routes")
-    sent = hot if hot.count() > SENT_ROUTES else F.broadcast(hot)
-    block = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("parts")).cast("int"), F.lit(0))
-    blocks = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    met = routed.join(sent, "route", "left").withColumn("block", block).withColumn("other", blocks)
-    met = met.select("route", "number", "doc_id", "size", "routes", "bitmap", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
-    found, found_at = stage_table(met.repartition(partitions_for(spark, total * routes, 120_000), "route", "x", "y").mapInArrow(candidates(threshold, routes), "home long, a long, b long"), "candidates")
-    bits = spark.sparkContext.broadcast(pick_filter(found))
+    # what is alike is compared in one place, which then holds each of its sets once
+    x, y = reps.select(F.col("set_hash").alias("a"), F.col("doc_id").alias("x"), F.xxhash64("first_gram").alias("home")), reps.select(F.col("set_hash").alias("b"), F.col("doc_id").alias("y"))
+    pairs = candidates(texts, reps, n, threshold, block_rows).distinct().join(x, "a").join(y, "b")
+    found, found_at = stage_table(pairs.select("home", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "candidates")
+    crowded = found.groupBy("home").agg(F.ceil(F.count("*") / LOT).alias("lots")).where("lots > 1")
+    homed = found.join(crowded, "home", "left").select(F.when(F.col("lots").isNull(), F.col("home")).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("a"), "lots"))).alias("home"), "a", "b")
+    bits = spark.sparkContext.broadcast(pick_filter(found.select("a", "b")))
 
     def pick(batches):
         yield from picked_sets(n, bits.value)(batches)
 
     parts = partitions_for(spark, found.count(), 20_000)
     part = F.pmod("home", F.lit(parts)).alias("part")
-    homed, needed = found.select(part, "a", "b"), found.select(part, F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    homed, needed = homed.select(part, "a", "b"), homed.select(part, F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # of different texts under one id that whose set was chosen; of repeated rows any, as they are equal
     grams = texts.mapInArrow(pick, "doc_id long, set_hash long, grams binary").join(reps.select("doc_id", "set_hash"), ["doc_id", "set_hash"], "left_semi").dropDuplicates(["doc_id"])
     placed = needed.join(grams, "doc_id").select("part", "doc_id", "grams")
@@ -385,29 +547,29 @@ def linked(docs: DataFrame, n: int, threshold: float, routes: int, forest: bool,
     members, members_at = stage_table(
         signed.select("doc_id", "set_hash", "set_hash2").distinct().join(reps.select("set_hash", "set_hash2", F.col("doc_id").alias("rep")), ["set_hash", "set_hash2"]).select("doc_id", "rep"), "members"
     )
-    drop_path(spark, signed_at, reps_at, hot_at, found_at)
+    drop_path(spark, signed_at, again_at, reps_at, found_at)
     return near, members, [near_at, members_at]
 
 
-def ngram_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, routes: int = ROUTES, forest: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def ngram_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``doc_a, doc_b, jaccard``: every pair of distinct n-gram sets at or over the threshold, by the smallest document
     id of each set, and for every further document of a set one row with that smallest id and Jaccard 1.
 
     The full join follows from it without loss (:func:`expand_pairs`) but is quadratic in the copies of a text.
     With ``forest``, of the pairs only enough to connect what they connect.
     """
-    near, members, paths = linked(docs, n, threshold, routes, forest, block_rows)
+    near, members, paths = linked(docs, n, threshold, forest, block_rows)
     copies = members.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     result, _ = stage_table(near.drop("tree").unionByName(copies), "pairs")
     drop_path(docs.sparkSession, *paths)
     return result
 
 
-def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, routes: int = ROUTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``doc_id, class_id, links``: one row for each id. The class is all that links connect, by its smallest id; links
     are the other documents at or over the threshold, copies counted. A document without words is a class by itself."""
     spark = docs.sparkSession
-    near, members, paths = linked(docs, n, threshold, routes, False, block_rows)
+    near, members, paths = linked(docs, n, threshold, False, block_rows)
     group = components(near.where("tree"))
     copies = members.groupBy("rep").agg(F.count("*").alias("copies"))
     both = near.select(F.explode(F.array(F.struct(F.col("doc_a").alias("rep"), F.col("doc_b").alias("other")), F.struct(F.col("doc_b").alias("rep"), F.col("doc_a").alias("other")))).alias("e")).select("e.*")

@@ -58,6 +58,29 @@ def test_classes_equal_brute_force(spark):
     assert got == brute_classes(docs) and max(n for _, n in got.values()) > 2
 
 
+def test_pairs_at_the_threshold_that_share_no_minhash_are_found(spark):
+    # the 12 permutations that candidates once met under part each of these pairs, whose Jaccard is exactly 0.5
+    docs = [t for k in (6387, 12988) for t in (f"a{k} b{k} c{k} d{k}", f"a{k} b{k} c{k}")]
+    words = [f"x3147y{i}" for i in range(22)]
+    docs = list(enumerate([*docs, " ".join(words), " ".join(words[:12])]))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_a, r.doc_b) for r in J.ngram_pairs(df).collect()} == set(brute(docs)) == {(0, 1), (2, 3), (4, 5)}
+    assert {r.doc_id: (r.class_id, r.links) for r in J.classes(df).collect()} == brute_classes(docs)
+    assert sorted(r.doc_id for r in J.keep_one(df).collect()) == [0, 2, 4]
+
+
+def test_no_pair_is_lost_whatever_the_blocks(spark, monkeypatch):
+    # where more than two sets meet a tree is built, and n-grams of more than seven are met in blocks; copies fill both
+    monkeypatch.setattr(J, "FEW", 2)
+    docs = corpus(4) + [(200 + i, t) for i, t in corpus(5)] + [(400 + i, t) for i, t in corpus(4)[:60]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for full_filter in (False, True):  # which leaves out no copy before
+        if full_filter:
+            monkeypatch.setattr(J, "pick_filter", lambda ids: np.full(J.PICK_BITS // 8, 255, np.uint8))
+        full = {(r.doc_a, r.doc_b): round(r.jaccard, 6) for r in J.expand_pairs(J.ngram_pairs(df, block_rows=7)).collect()}
+        assert full == brute(docs)
+
+
 def test_different_texts_under_one_id(spark):
     base = " ".join(f"w{i}" for i in range(20))
     docs = [(1, base), (1, "quite another text of its own words"), (2, base + " tail"), (2, base), (3, base), (3, base)]
