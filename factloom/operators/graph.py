@@ -243,11 +243,14 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``block_id, centrality``: the normalised share of shortest paths through each node, directed.
 
     Searches from all sources advance together, a level at a time, as joins on (source, node) with path counts;
-    dependencies then flow back level by level. Work and state are nodes x reach, as in any exact algorithm."""
+    dependencies then flow back level by level, along the links that the search took: a node's other links into the next
+    level are of other sources. Only nodes with links out are sources. Work and state are sources x reach, as in any exact
+    algorithm."""
     spark = nodes.sparkSession
     e, e_at = stage_table(edges.select("src", "dst").where("src <> dst").distinct(), "links")
     n = nodes.select("block_id").distinct().count()
-    levels = [stage_table(nodes.select(F.col("block_id").alias("s"), F.col("block_id").alias("v"), F.lit(1.0).alias("paths")).distinct(), "level")]
+    sources = nodes.select(F.col("block_id").alias("s")).distinct().join(e.select(F.col("src").alias("s")).distinct(), "s", "left_semi")
+    levels = [stage_table(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")), "level")]
     seen, seen_at = stage_table(levels[0][0].select("s", "v"), "seen")
     trash = [e_at]
     while True:
@@ -265,7 +268,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         here = levels[depth][0]
         here = here.withColumn("d", F.lit(0.0)) if below is None else here.join(below, ["s", "v"], "left").fillna(0.0, ["d"])
         upper = levels[depth - 1][0].select("s", F.col("v").alias("u"), F.col("paths").alias("pu"))
-        give = here.join(e, F.col("v") == F.col("dst")).select("s", F.col("src").alias("u"), "paths", "d").join(upper, ["s", "u"]).groupBy("s", F.col("u").alias("v")).agg(F.sum(F.col("pu") / F.col("paths") * (1 + F.col("d"))).alias("d"))
+        give = upper.join(e, F.col("u") == F.col("src")).select("s", "u", "pu", F.col("dst").alias("v")).join(here, ["s", "v"]).groupBy("s", F.col("u").alias("v")).agg(F.sum(F.col("pu") / F.col("paths") * (1 + F.col("d"))).alias("d"))
         below, at = stage_table(give, "flow")
         trash.append(at)
         part = below.where("s <> v")

@@ -5,7 +5,23 @@ import random
 
 import pytest
 
-from factloom.operators import similarity
+from factloom.operators import graph, similarity
+
+
+def most_rows(spark, run):
+    """The most rows that one step gave while ``run`` ran."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    began = store.executionsCount()
+    run()
+    bus.waitUntilEmpty(30_000)
+    done, most = store.executionsList(began, 10_000), 0
+    for e in (done.apply(i) for i in range(done.size())):
+        values, kinds = store.executionMetrics(e.executionId()), e.metrics()
+        for m in (kinds.apply(i) for i in range(kinds.size())):
+            if m.name() == "number of output rows" and (v := values.get(m.accumulatorId())).isDefined():
+                most = max(most, int(v.get().split()[-1].replace(",", "")))
+    return most
 
 
 @pytest.fixture
@@ -61,3 +77,13 @@ def test_few_pairs_of_short_texts_are_compared(spark):
     alike = sum(len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)) for a, b in itertools.combinations(sets, 2))
     rare = sum(bool({x for x in a if x.isdigit()} & set(b)) for a, b in itertools.combinations(sets, 2))
     assert alike <= met < rare / 2
+
+
+def test_paths_flow_back_along_the_links_that_were_taken(spark):
+    links = [(f"s{i}", "hub") for i in range(300)] + [("hub", "end"), ("end", "last")]
+    nodes = spark.createDataFrame([(x,) for x in [*(a for a, _ in links), "last", *(f"alone{i}" for i in range(500))]], "block_id string")
+    edges, got = spark.createDataFrame(links, "src string, dst string"), {}
+    most = most_rows(spark, lambda: got.update({r.block_id: r.centrality for r in graph.betweenness(nodes, edges).collect()}))
+    n = 300 + 3 + 500
+    assert len(got) == n and {k: round(v * (n - 1) * (n - 2)) for k, v in got.items() if v} == {"hub": 600, "end": 301}
+    assert most < 3 * n  # not 300 sources for each of 300 links into the hub
