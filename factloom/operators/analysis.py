@@ -69,9 +69,9 @@ def connections(facts: DataFrame, edges: DataFrame, least: float = 0.4, key: str
 
 def similar_facts(facts: DataFrame, ident: str, least: float = 0.5, key: str = "fact_id") -> DataFrame:
     """``key, similarity`` of the other facts whose statements are like one fact's, the likest first."""
-    one = facts.where(F.col(key) == ident).select(F.col("fact_statement").alias("__one")).limit(1)
-    rows = facts.where(F.col(key) != ident).crossJoin(F.broadcast(one))  # one row
-    scored = rows.select(key, similarity.tf_similarity("fact_statement", "__one", SCALE).alias("similarity"))
+    one = facts.where(F.col(key) == ident).select(similarity.content_words("fact_statement").alias("w")).limit(1).collect()  # one row
+    rows = facts.where((F.col(key) != ident) if one else F.lit(False))
+    scored = rows.select(key, similarity.tf_similarity_to("fact_statement", one[0]["w"] if one else [], SCALE).alias("similarity"))
     return scored.where(F.col("similarity") >= least - 1e-12).orderBy(F.desc("similarity"), key)
 
 

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from factloom.operators import embed, graph, similarity
+from factloom.operators import analysis, embed, graph, similarity, vectors
 from factloom.sources import ingest
 
 
@@ -106,3 +106,20 @@ def test_entities_end_with_a_semicolon(spark):
     pages = {"a &lt;b&gt; &amp;lt; &#39;&#x41;&eacute;&nosuch; &copy;": "a <b> &lt; 'A\xe9&nosuch; \xa9", "token = &quot": "token = &quot", "?a=1&copy=2&amp=3&#39": "?a=1&copy=2&=3&#39"}
     rows = spark.createDataFrame([(k,) for k in pages], "html string").select("html", ingest.html_to_text("html").alias("text")).collect()
     assert {r.html: r.text for r in rows} == pages
+
+
+def test_words_of_a_fact_are_counted_once(spark):
+    rows = spark.createDataFrame([(1, "Old pump, old valve of iron"), (2, "old old pump"), (3, ""), (4, None), (5, "the of"), (6, "brand new")], "fact_id long, fact_statement string")
+    got = [(r.fact_id, round(r.similarity, 9)) for r in analysis.similar_facts(rows, 1, 0.0).collect()]
+    assert got == [(2, round(0.405 * 5 / (7 * 5) ** 0.5, 9)), (3, 0.0), (4, 0.0), (5, 0.0), (6, 0.0)]
+    assert analysis.similar_facts(rows, 99, 0.0).count() == 0
+    assert {r.similarity for r in analysis.similar_facts(rows, 5, 0.0).collect()} == {0.0}
+    plan = analysis.similar_facts(rows, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_replace") <= 12  # in the filter and in what is returned
+
+
+def test_hash_embeddings_are_made_where_their_rows_are(spark):
+    rows = spark.createDataFrame([(i, f"word{i} other{i % 3} word{i}" if i else "") for i in range(30)], "fact_id long, text string")
+    out = vectors.hash_embedding(rows, "fact_id", "text", 16)
+    assert {r.fact_id: [round(x, 9) for x in r.embedding] for r in out.collect()} == {i: [round(x, 9) for x in embed.hashed(f"word{i} other{i % 3} word{i}", 16)] for i in range(1, 30)}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
