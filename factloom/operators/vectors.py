@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -9,16 +11,36 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 
+#: vectors that are made at once
+VECTORS = 1_024
+
 
 def hash_embedding(rows: DataFrame, key: str, text: str, dim: int = 384) -> DataFrame:
-    """``key, embedding``: each word adds 1, 1/2 and 1/4 to three neighbouring places that its MD5 names; unit length."""
-    word = rows.select(key, F.explode(T.words(text)).alias("w"))
-    bucket = (F.conv(F.substring(F.md5("w"), 1, 12), 16, 10).cast("long") % dim).cast("int")
-    parts = word.select(key, F.explode(F.array(*[F.struct(((bucket + i) % dim).alias("i"), F.lit(x).alias("x")) for i, x in enumerate((1.0, 0.5, 0.25))])).alias("p"))
-    per = parts.groupBy(key, "p.i").agg(F.sum("p.x").alias("x"))
-    full = per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
-    value = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("n"))
-    return full.select(key, value.alias("embedding"))
+    """``key, embedding``: each word adds 1, 1/2 and 1/4 to three neighbouring places that its MD5 names; unit length. Texts
+    without words have none. A row's words are counted where the row is, so nothing is sent or held for others."""
+    place = lambda w: (F.conv(F.substring(F.md5(w), 1, 12), 16, 10).cast("long") % dim).cast("int")
+    words = rows.select(key, F.transform(T.words(text), place).alias("__at")).where(F.size("__at") > 0)
+    return words.select(key, spread("__at", dim).alias("embedding"))
+
+
+def spread(places: str, dim: int) -> Column:
+    """The unit vector of the places that words name."""
+
+    @F.pandas_udf("array<double>")
+    def run(at: pd.Series) -> pd.Series:
+        row, col = np.repeat(np.arange(len(at)), np.array([len(x) for x in at], np.int64)), np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64)
+        out = []
+        for begin in range(0, len(at), VECTORS):
+            mine = slice(*np.searchsorted(row, [begin, begin + VECTORS]))
+            n = min(VECTORS, len(at) - begin)
+            x = np.zeros(n * dim)
+            for i, v in enumerate((1.0, 0.5, 0.25)):
+                np.add.at(x, (row[mine] - begin) * dim + (col[mine] + i) % dim, v)
+            x = x.reshape(n, dim)
+            out += list(x / np.linalg.norm(x, axis=1, keepdims=True))
+        return pd.Series(out, dtype=object)
+
+    return run(places)
 
 
 def nearest_to(rows: DataFrame, query: list[float], k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
