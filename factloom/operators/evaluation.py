@@ -65,16 +65,6 @@ def _numbered(rows: DataFrame, item: str) -> DataFrame:
     return rows.select(item, "subject", "predicate", "object", at.alias("at"))
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    taken, hits = set(), 0
-    for _, own in pdf.sort_values(["i", "j"]).groupby("i", sort=True):
-        free = next((j for j in own["j"] if j not in taken), None)
-        if free is not None:
-            taken.add(free)
-            hits += 1
-    return pd.DataFrame({"tp": [hits]})
-
-
 def ratio(top: Column, bottom: Column, empty: Column | float) -> Column:
     return F.when(bottom == 0, empty).otherwise(top / bottom)
 
@@ -84,8 +74,11 @@ def evaluate(predicted: DataFrame, gold: DataFrame, item: str = "item") -> DataF
     order, takes the first gold triple that it matches and no other has taken. Nothing predicted is precise where
     nothing was to be found."""
     p, g = _numbered(predicted, item), _numbered(gold, item)
-    pairs = p.alias("p").join(g.alias("g"), p[item].eqNullSafe(g[item])).where(triple_matches("p", "g")).select(F.col(f"p.{item}").alias(item), F.col("p.at").alias("i"), F.col("g.at").alias("j"))
-    hits = pairs.groupBy(item).applyInPandas(_greedy, "tp long").agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"))
+    pairs = p.alias("p").join(g.alias("g"), p[item].eqNullSafe(g[item])).where(triple_matches("p", "g")).select(F.col(f"p.{item}").alias("item"), F.col("p.at").alias("i"), F.col("g.at").alias("j"))
+    per = pairs.groupBy("item", "i").agg(F.array_sort(F.collect_list("j")).alias("js")).groupBy("item").agg(F.array_sort(F.collect_list(F.struct("i", "js"))).alias("own"))
+    free = lambda used, js: F.slice(F.array_except(js, used), 1, 1)
+    taken = F.aggregate("own", F.array().cast("array<int>"), lambda used, x: F.concat(used, free(used, x["js"])))
+    hits = per.agg(F.coalesce(F.sum(F.size(taken)), F.lit(0)).alias("tp"))
     totals = hits.crossJoin(predicted.agg(F.count("*").alias("np"))).crossJoin(gold.agg(F.count("*").alias("ng")))  # one row each
     return totals.select("tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn")).select("tp", "fp", "fn", *scores(F.when(F.col("fn") == 0, 1.0).otherwise(0.0)))
 

@@ -4,9 +4,10 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from factloom.operators import analysis, embed, graph, similarity, vectors
+from factloom.operators import analysis, embed, evaluation, extract, graph, similarity, vectors
 from factloom.sources import ingest
 
 
@@ -123,3 +124,51 @@ def test_hash_embeddings_are_made_where_their_rows_are(spark):
     out = vectors.hash_embedding(rows, "fact_id", "text", 16)
     assert {r.fact_id: [round(x, 9) for x in r.embedding] for r in out.collect()} == {i: [round(x, 9) for x in embed.hashed(f"word{i} other{i % 3} word{i}", 16)] for i in range(1, 30)}
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_greedy_matches_need_no_python(spark):
+    r = random.Random(3)
+    kind = "item string, subject string, predicate string, object string"
+    words = ["ann", "ann lee", "lee", "bob"]
+    rows = lambda n: [(f"i{r.randrange(6)}", r.choice(words), r.choice(["met", "met_by"]), r.choice(words)) for _ in range(n)]
+    found, gold = rows(40), [*rows(30), (None, "ann", "met", "bob")]
+    holds = lambda a, b: a in b or b in a
+    tp = 0
+    for item in {g[0] for g in gold}:
+        free = sorted(g for g in gold if g[0] == item)
+        for p in sorted(f for f in found if f[0] == item):
+            hit = next((g for g in free if holds(p[1], g[1]) and holds(p[3], g[3])), None)
+            if hit:
+                free.remove(hit)
+                tp += 1
+    out = evaluation.evaluate(spark.createDataFrame(found, kind), spark.createDataFrame(gold, kind))
+    row = out.first()
+    assert (row.tp, row.fp, row.fn) == (tp, 40 - tp, 31 - tp) and tp < 30
+    assert "Pandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_rows_of_a_batch_are_python_objects(monkeypatch):
+    sizes = []
+
+    def run(rows):
+        sizes.append(len(rows))
+        return pa.array([len(t or "") for t in rows])
+
+    texts = ["a" * (i % 7) if i % 5 else None for i in range(1000)]
+    assert extract.in_slices(pa.array(texts), run).to_pylist() == [len(t or "") for t in texts] and max(sizes) <= extract.SLICE
+    assert extract.in_slices(pa.array([], pa.string()), run).to_pylist() == []
+    assert extract.triples([[], [("a", "b", "c", "d", "e", "f")], []]).to_pylist() == [[], [dict(zip("subject subject_type predicate object object_type text".split(), "abcdef"))], []]
+    assert extract.triples([[], []]).to_pylist() == [[], []]
+
+
+def test_extractors_read_arrow_batches(spark):
+    docs = spark.createDataFrame([(i, f"Marie Curie found Radium. She was a chemist. Text {i}.") for i in range(200)] + [(200, None), (201, "")], "doc_id long, text string")
+    for name, resolve in (("svo", False), ("svo", True), ("pattern", False)):
+        out = extract.extract_facts(docs, extractor=name, resolve=resolve)
+        assert "(200)" not in out._jdf.queryExecution().executedPlan().toString()  # 200: by pandas.Series
+        got = {}
+        for r in out.collect():
+            got.setdefault(int(r.source_id), []).append((r.ordinal, r.subject, r.predicate, r.object))
+        assert sorted(got) == list(range(200)) and len({tuple(sorted(v)[:1]) for v in got.values()}) == 1
+        assert (0, "Marie Curie", "found" if name == "svo" else "discovered", "Radium") in got[7]
+    assert all("Marie Curie" == s for r in range(3) for _, s, p, _ in got[r] if p == "discovered")
