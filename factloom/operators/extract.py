@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
@@ -89,10 +91,26 @@ def _kind(x: str) -> str:
 TRIPLES = K.ArrayType(K.StructType([K.StructField(x.split()[0], K.StringType()) for x in schema.TRIPLE.split(", ")]))
 
 
-@F.pandas_udf(TRIPLES)
-def svo(found: pd.Series) -> pd.Series:
+#: rows of a batch that are Python objects at once
+SLICE = 64
+
+
+def triples(rows: list[list[tuple]]) -> pa.Array:
+    """Lists of triples in Arrow's form."""
+    columns = list(zip(*(t for own in rows for t in own))) or [()] * len(TRIPLES.elementType)
+    parts = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], TRIPLES.elementType.names)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), parts)
+
+
+def in_slices(column: pa.Array, run: Callable[[list], pa.Array]) -> pa.Array:
+    """What ``run`` makes of a batch, ``SLICE`` rows at a time: however many rows a batch has, few are Python objects."""
+    return pa.concat_arrays([run(column.slice(at, SLICE).to_pylist()) for at in range(0, max(1, len(column)), SLICE)])
+
+
+@F.arrow_udf(TRIPLES)
+def svo(found: pa.Array) -> pa.Array:
     """Facts of each row's sentences; Arrow batches, as token logic is sequential."""
-    return found.map(lambda all_: [(s, _kind(s), p, o, _kind(o), x) for x in (all_ if all_ is not None else []) for s, p, o in sentence_facts(x)])
+    return in_slices(found, lambda rows: triples([[(s, _kind(s), p, o, _kind(o), x) for x in own or [] for s, p, o in sentence_facts(x)] for own in rows]))
 
 
 NAME = "[A-Z][a-z]+"
@@ -118,9 +136,9 @@ def resolve_pronouns(text: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf(K.StringType())
-def coref(x: pd.Series) -> pd.Series:
-    return x.map(lambda t: resolve_pronouns(t) if t else t)
+@F.arrow_udf(K.StringType())
+def coref(x: pa.Array) -> pa.Array:
+    return in_slices(x, lambda rows: pa.array([resolve_pronouns(t) if t else t for t in rows], pa.string()))
 
 
 EXTRACTORS = {"svo": lambda text: svo(T.sentences(text))}
@@ -256,10 +274,10 @@ def pattern_facts(sentence: str) -> Iterator[tuple[str, str, str, str, str]]:
                 yield (*before[-1][2:], predicate, *obj)
 
 
-@F.pandas_udf(TRIPLES)
-def by_patterns(text: pd.Series) -> pd.Series:
+@F.arrow_udf(TRIPLES)
+def by_patterns(text: pa.Array) -> pa.Array:
     split = re.compile(r"[^.?!]+[.?!]?")
-    return text.map(lambda t: [(s, sk, p, o, ok, x.strip()) for x in (split.findall(t) if t else []) for s, sk, p, o, ok in pattern_facts(x.strip())])
+    return in_slices(text, lambda rows: triples([[(s, sk, p, o, ok, x.strip()) for x in (split.findall(t) if t else []) for s, sk, p, o, ok in pattern_facts(x.strip())] for t in rows]))
 
 
 EXTRACTORS["pattern"] = by_patterns
