@@ -150,10 +150,12 @@ def verified_facts(agreed: DataFrame, min_models: int = 2) -> DataFrame:
 def manifest(agreed: DataFrame, name: str = "model_shard", min_agreement: int = 1, claims: DataFrame | None = None) -> DataFrame:
     """One row: the models that contributed, facts by tier, and how many claims they came from."""
     rows = agreed.where(F.col("agreement") >= min_agreement)
-    n = lambda t: F.count(F.when(F.col("reliability_rating") == t, 1)).alias(t.lower())
-    counts = rows.agg(F.count("*").alias("facts"), n("VERIFIED"), n("LIKELY_TRUE"), n("POSSIBLY_TRUE"))
-    names = rows.select(F.explode(F.split("source_models", ",")).alias("m")).where("m <> ''").distinct().agg(F.array_join(F.array_sort(F.collect_list("m")), ",").alias("models"))  # one a model
-    total = (rows if claims is None else claims).agg(F.count("*").alias("input_facts"))
+    tiers = ("VERIFIED", "LIKELY_TRUE", "POSSIBLY_TRUE")
+    # facts are counted once, by who said them
+    held, _ = stage_table(rows.groupBy("source_models").agg(F.count("*").alias("facts"), *[F.count(F.when(F.col("reliability_rating") == t, 1)).alias(t.lower()) for t in tiers]), "manifest")
+    counts = held.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in held.columns[1:]])
+    names = held.select(F.explode(F.split("source_models", ",")).alias("m")).where("m <> ''").distinct().agg(F.array_join(F.array_sort(F.collect_list("m")), ",").alias("models"))  # one a model
+    total = held.agg(F.coalesce(F.sum("facts"), F.lit(0)).alias("input_facts")) if claims is None else claims.agg(F.count("*").alias("input_facts"))
     return counts.crossJoin(names).crossJoin(total).select(F.lit(name).alias("shard"), "models", "facts", "verified", "likely_true", "possibly_true", F.lit(min_agreement).alias("min_agreement"), "input_facts")  # one row each
 
 

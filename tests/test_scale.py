@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from factloom.operators import analysis, embed, evaluation, extract, graph, similarity, vectors
+from factloom.operators import analysis, embed, evaluation, extract, graph, models, similarity, vectors
 from factloom.sources import ingest
 
 
@@ -172,3 +172,28 @@ def test_extractors_read_arrow_batches(spark):
         assert sorted(got) == list(range(200)) and len({tuple(sorted(v)[:1]) for v in got.values()}) == 1
         assert (0, "Marie Curie", "found" if name == "svo" else "discovered", "Radium") in got[7]
     assert all("Marie Curie" == s for r in range(3) for _, s, p, _ in got[r] if p == "discovered")
+
+
+def test_agreement_gathers_claims_before_it_sums_them(spark):
+    rows = [(f"s{i % 40}", "p", "O ", f"m{m}") for i in range(40) for m in range(i % 4)] + [("S1", "P", "o", None), ("none", "p", "o", None)]
+    claims = spark.createDataFrame([*rows, *rows], "subject string, predicate string, object string, model string")
+    agreed = similarity.agree_exact(claims)
+    plan = agreed._jdf.queryExecution().executedPlan().toString()
+    before = plan[plan.index("Exchange") :]
+    assert plan.count("Exchange") == 1 and "Aggregate" not in before  # nothing is sorted for sums on the way
+    got = {r.subject: (r.agreement, r.source_models, r.reliability_rating, r.weighted_rating) for r in agreed.collect()}
+    tiers = ["UNVERIFIED", "POSSIBLY_TRUE", "LIKELY_TRUE", "VERIFIED"]
+    want = {f"s{i}": (i % 4, ",".join(f"m{m}" for m in range(i % 4)), tiers[i % 4], tiers[i % 4]) for i in range(40) if i % 4}
+    assert got == want | {"none": (0, "", "UNVERIFIED", "UNVERIFIED")}
+    row = models.manifest(agreed, "x", 2, claims).first()
+    assert (row.models, row.facts, row.verified, row.likely_true, row.possibly_true, row.input_facts) == ("m0,m1,m2", 20, 10, 10, 0, 2 * len(rows))
+    empty = models.manifest(agreed.where("false"), "x").first()
+    assert (empty.models, empty.facts, empty.verified, empty.input_facts) == ("", 0, 0, 0)
+
+
+def test_a_manifest_reads_facts_once(spark, monkeypatch):
+    made, stage = [], models.stage_table
+    monkeypatch.setattr(models, "stage_table", lambda df, name, *more: made.append(name) or stage(df, name, *more))
+    agreed = spark.createDataFrame([("a", 2, "m0,m1", "LIKELY_TRUE")] * 50, "subject string, agreement long, source_models string, reliability_rating string")
+    plan = models.manifest(agreed)._jdf.queryExecution().executedPlan().toString()
+    assert made == ["manifest"] and "ExistingRDD" not in plan
