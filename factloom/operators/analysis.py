@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import schema
+from factloom.functions import text as T
 from factloom.operators import graph, similarity
 from factloom.session import drop_path, stage_table
 
@@ -36,7 +37,7 @@ def missing_links(facts: DataFrame, edges: DataFrame, threshold: float = 0.6, ke
     spark = facts.sparkSession
     have = {c for c in WEIGHTS if c in facts.columns}
     given = facts.select(key, *[F.col(c) if c in have else F.lit(None).cast("array<string>" if c == "tags" else "string").alias(c) for c in WEIGHTS])
-    rows, rows_at = stage_table(given, "facts")
+    rows, rows_at = stage_table(given.withColumn("__words", T.word_set("fact_statement")), "facts")
     held = rows.agg(*[F.max((F.size(c) > 0 if c == "tags" else F.col(c).isNotNull()).cast("int")).alias(c) for c in WEIGHTS if c != "fact_statement"]).first()
     most = sum(w for c, w in WEIGHTS.items() if c != "fact_statement" and held[c])
     need = (threshold - most) / WEIGHTS["fact_statement"]
@@ -52,8 +53,9 @@ def missing_links(facts: DataFrame, edges: DataFrame, threshold: float = 0.6, ke
             pairs = pairs.union(side("a").join(side("b"), some).where("a < b").select("a", "b"))
     if pairs is None:
         return rows.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("similarity")).limit(0)
-    side = lambda k: rows.select(F.col(key).alias(k), F.struct(*WEIGHTS).alias(f"f{k}"))
-    scored = unlinked(pairs.distinct(), edges).join(side("a"), "a").join(side("b"), "b").select("a", "b", similarity.attribute_similarity("fa", "fb").alias("similarity"))
+    # words are those that were split once for each fact, and attributes that no fact has aren't sent
+    side = lambda k: rows.select(F.col(key).alias(k), F.struct("__words", *[F.col(c) if held.asDict().get(c) else F.lit(None).cast("array<string>" if c == "tags" else "string").alias(c) for c in WEIGHTS if c != "fact_statement"]).alias(f"f{k}"))
+    scored = unlinked(pairs if need > 1e-9 else pairs.distinct(), edges).join(side("a"), "a").join(side("b"), "b").select("a", "b", similarity.attribute_similarity("fa", "fb", "__words").alias("similarity"))
     found, _ = stage_table(scored.where(F.col("similarity") >= threshold - 1e-9), "missing-links")
     drop_path(spark, rows_at)
     return found.orderBy(F.desc("similarity"), "a", "b")

@@ -197,3 +197,15 @@ def test_a_manifest_reads_facts_once(spark, monkeypatch):
     agreed = spark.createDataFrame([("a", 2, "m0,m1", "LIKELY_TRUE")] * 50, "subject string, agreement long, source_models string, reliability_rating string")
     plan = models.manifest(agreed)._jdf.queryExecution().executedPlan().toString()
     assert made == ["manifest"] and "ExistingRDD" not in plan
+
+
+def test_missing_links_split_words_once_a_fact(spark, monkeypatch):
+    plans, stage = [], analysis.stage_table
+    monkeypatch.setattr(analysis, "stage_table", lambda df, name, *more: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or stage(df, name, *more))
+    rows = spark.createDataFrame([(i, t, "x", "s") for i, t in few_words(120)], "fact_id long, fact_statement string, category string, source_id string")
+    edges = spark.createDataFrame([(1, 2)], "src long, dst long")
+    got = {(r.a, r.b): round(r.similarity, 9) for r in analysis.missing_links(rows, edges).collect()}
+    words = {i: set(t.split()) for i, t in few_words(120)}
+    like = {(a, b): 0.4 * len(words[a] & words[b]) / len(words[a] | words[b]) + 0.3 for a, b in itertools.combinations(range(120), 2) if (a, b) != (1, 2)}
+    assert got == {k: round(v, 9) for k, v in like.items() if v >= 0.6 - 1e-9} and got
+    assert "regexp_replace" not in dict(plans)["missing-links"]
